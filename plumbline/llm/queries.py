@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.llm import simhash
+from plumbline.llm._common import table
+
+
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+}
 ORACLE_SQL: dict = {}
