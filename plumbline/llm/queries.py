@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_codec, simhash, token_counts
-from plumbline.llm._common import table
+from plumbline.llm import bpe_codec, mixing, simhash, token_counts
+from plumbline.llm._common import materialize, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,17 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    sized = materialize(docs, "document-sizes")
+    mixed = mixing.mix(sized, size=F.col("size"))
+    return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "doc.source")
+
+
 QUERIES: dict = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op5_bpe_codec": op5_bpe_codec,
+    "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict = {}
