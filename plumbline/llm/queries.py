@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_codec, mixing, simhash, token_counts
+from plumbline.llm import bpe_codec, mixing, quality, simhash, token_counts, toxicity, winnow
 from plumbline.llm._common import materialize, table
 
 
@@ -18,10 +18,22 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op4_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_edits(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
     sized = materialize(docs, "document-sizes")
@@ -32,7 +44,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_winnow": op4_winnow,
     "op5_bpe_codec": op5_bpe_codec,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict = {}
