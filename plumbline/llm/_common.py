@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +53,19 @@ def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
 
+def by_size(records: Iterable[tuple], most: int = 4 << 20) -> Iterator[list[tuple]]:
+    """Groups of (id, text) with some ``most`` code points of text each, or one longer text."""
+    group, size = [], 0
+    for record in records:
+        group.append(record)
+        size += len(record[1])
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def batched(schema: pa.Schema, records: Iterator[tuple], limit: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of ``records``, cut by count and by the bytes of their strings so that memory stays bounded."""
     held: list[tuple] = []

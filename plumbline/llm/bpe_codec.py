@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, rows
+from plumbline.llm._common import batched, by_size, rows
 from plumbline.llm.bpe_model import BpeModel, load
 
-HELD = 400_000  # words whose encodings a worker keeps
-TRIE_LETTERS = 200_000  # letters of words in one trie, which bounds its memory
+HELD = 600_000  # words, and stretches between blanks, whose encodings a worker keeps
+TRIE_LETTERS = 400_000  # letters of words in one trie, which bounds its memory
 
 
 def encode_words(model: BpeModel, words: Iterable[str]) -> dict[str, list[int]]:
@@ -32,34 +32,52 @@ def encode_words(model: BpeModel, words: Iterable[str]) -> dict[str, list[int]]:
 
 
 def _walk(model: BpeModel, words: Iterable[str]) -> dict[str, list[int]]:
-    trie: dict = {}
-    for word in words:
-        node = trie
-        for letter in model.letters(word):
-            node = node.setdefault(letter, {})
-        node.setdefault("", []).append(word)
     found: dict[str, list[int]] = {}
-    letters: list[str] = []
-    lasts, starts = [""], [0]  # by depth
+    trie: dict = {}
+    path, before = [trie], ""
+    for letters, word in sorted((model.letters(w), w) for w in words):
+        keep = 0
+        for x, y in zip(before, letters, strict=False):
+            if x != y:
+                break
+            keep += 1
+        del path[keep + 1 :]
+        for letter in letters[keep:]:
+            path[-1][letter] = child = {}
+            path.append(child)
+        path[-1][""] = word
+        before = letters
+    if "" in trie:
+        found[trie.pop("")] = []
+    whole, known, longest = model.whole, model._apart, model.longest
+    letters, lasts, starts = [], [""], [0]  # of the path to the node, the latter two by depth
     stack = [(0, letter, child) for letter, child in trie.items()]
-    for word in trie.get("", ()):
-        found[word] = []
     while stack:
         depth, letter, node = stack.pop()
         del letters[depth:], lasts[depth + 1 :], starts[depth + 1 :]
         letters.append(letter)
-        text = "".join(letters[-model.longest :])
-        skipped = depth + 1 - len(text)
-        start = model.last_start(text, lasts, base=skipped)
-        starts.append(start)
-        lasts.append(text[start - skipped :])
+        base = max(0, depth + 1 - longest)
+        text = "".join(letters[base:])
+        for i in range(len(text)):
+            token = text[i:]
+            if token in whole:
+                if not base + i:
+                    break
+                pair = (lasts[base + i], token)
+                fits = known.get(pair)
+                if fits is None:
+                    fits = model.apart(*pair)
+                if fits:
+                    break
+        else:
+            raise ValueError(f"no token ends {text!r}")
+        lasts.append(token)
+        starts.append(base + i)
         for next_letter, child in node.items():
             if next_letter:
                 stack.append((depth + 1, next_letter, child))
             else:
-                ids = _unwind(model, "".join(letters), lasts, starts)
-                for word in child:
-                    found[word] = ids
+                found[child] = _unwind(model, "".join(letters), lasts, starts)
     return found
 
 
@@ -124,8 +142,8 @@ class Codec:
         """The decimal ids of each text joined by commas."""
         model = self.model
         out: list[bytes] = []
-        for group in _by_size(texts):
-            parts = [[(part, special, not special and model.evenly_spaced(part)) for part, special in model.sections(t)] for t in group]
+        for group in by_size((0, t) for t in texts):
+            parts = [[(part, special, not special and model.evenly_spaced(part)) for part, special in model.sections(t)] for _, t in group]
             if len(self._later) + len(self._first) > HELD:
                 self._later.clear()
                 self._first.clear()
@@ -155,18 +173,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(b","))).decode("utf-8", "replace") if ids else ""
 
 
-def _by_size(texts: list[str], most: int = 2 << 20):
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 _CODECS: dict[str, Codec] = {}
 
 
@@ -181,7 +187,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     Ids are the tokenizers library's with ``add_special_tokens=False``; special strings inside a text are special tokens. Null
     counts as empty: no tokens, both digests those of the empty string. Repeated rows and null ids stay; other columns are not
-    looked at. One pass without a shuffle; memory is that of one trie, the kept words and 2 MB of text or one longer text.
+    looked at. One pass without a shuffle; memory is that of one trie, the kept words and 4 MB of text or one longer text.
     """
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -189,13 +195,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         c = codec(tokenizer)
 
         def each():
-            for batch in batches:
-                ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-                at = 0
-                for group in _by_size(texts):
-                    for coded in c.encode(group):
-                        yield ids[at], coded.count(b",") + 1 if coded else 0, hashlib.sha256(coded).hexdigest(), hashlib.sha256(c.decode(coded).encode()).hexdigest()
-                        at += 1
+            for group in by_size(rows(batches, "id", "text")):
+                for (i, _), coded in zip(group, c.encode([t for _, t in group]), strict=True):
+                    yield i, coded.count(b",") + 1 if coded else 0, hashlib.sha256(coded).hexdigest(), hashlib.sha256(c.decode(coded).encode()).hexdigest()
 
         return batched(schema, each())
 

@@ -51,10 +51,10 @@ class BpeModel:
         self.letters_of_bytes = byte_letters()
         self._letters = dict(enumerate(self.letters_of_bytes))
         self._apart: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self._library = Tokenizer.from_file(path)
+        self.whole = self._self_encoding()
         self.lower = spec["normalizer"] is not None
         self._word = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -132,29 +132,32 @@ class BpeModel:
             known = self._apart[a, b] = self._first_across(a, b) == _NEVER
         return known
 
-    def whole(self, token: str) -> bool:
-        """Whether a token of the vocabulary is what its own text is encoded as."""
-        known = self._whole.get(token)
-        if known is None:
-            if token in self.parts:
-                a, b = self.parts[token]
-                known = self.whole(a) and self.whole(b) and self._first_across(a, b) == self.rank[a, b]
-            else:
-                known = len(token) == 1 or (bool(self.suffix) and len(token) == 1 + len(self.suffix) and token.endswith(self.suffix))
-            self._whole[token] = known
-        return known
+    def _self_encoding(self) -> frozenset[str]:
+        """The tokens of the vocabulary that are what their own text is encoded as."""
+        good = {t for t in self.ids if t not in self.parts and len(t.removesuffix(self.suffix) if self.suffix else t) == 1}
+        for pair in self.rank:  # parts come before what is made of them
+            if pair[0] in good and pair[1] in good and self._first_across(*pair) == self.rank[pair]:
+                good.add(pair[0] + pair[1])
+        return frozenset(good)
 
     def last_start(self, text: str, lasts: list[str], end: str = "", base: int = 0) -> int:
         """Where the last token of the encoding of a word's prefix, and ``end``, starts.
 
         ``text`` is the prefix from letter ``base`` on, as much as the longest token needs. ``lasts[i]`` is the last token of the
-        prefix of i letters, for all shorter prefixes (``lasts[0]`` is empty). Longer tokens are likelier, so they come first.
+        prefix of i letters, for all shorter prefixes (``lasts[0]`` is empty). There is one answer, so the order of search is free.
         """
-        whole, apart = self.whole, self.apart
+        whole, known = self.whole, self._apart
         for i in range(max(0, len(text) - self.longest), len(text)):
             token = text[i:] + end
-            if token in self.ids and whole(token) and (base + i == 0 or apart(lasts[base + i], token)):
-                return base + i
+            if token in whole:
+                if base + i == 0:
+                    return 0
+                pair = (lasts[base + i], token)
+                fits = known.get(pair)
+                if fits is None:
+                    fits = self.apart(*pair)
+                if fits:
+                    return base + i
         raise ValueError(f"no token ends {text!r}")
 
 

@@ -8,16 +8,17 @@ text, so truncation to a budget needs no second encoding.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterable
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, rows
+from plumbline.llm._common import batched, by_size, rows
 from plumbline.llm.bpe_model import BpeModel, load
 
-HELD = 300_000  # words whose counts a worker keeps
+HELD = 800_000  # words, and stretches between blanks, whose counts a worker keeps
 _SPLIT_IN_PREFIX = ("'r", "'v", "'l")  # a cut contraction is two words, not one
 
 
@@ -35,23 +36,35 @@ def prefix_counts(model: BpeModel, letters: str) -> list[int]:
     return closed if model.suffix else opened
 
 
-def word_count(model: BpeModel, word: str) -> int:
-    """The number of tokens of one word; only the last letter's closing row is needed for it."""
-    letters = model.letters(word)
-    if letters + model.suffix in model.ids and model.whole(letters + model.suffix):
-        return 1
-    opened, lasts = [0], [""]
-    for n in range(1, len(letters) + (not model.suffix)):
-        base = max(0, n - model.longest)
-        i = model.last_start(letters[base:n], lasts, base=base)
-        lasts.append(letters[i:n])
-        opened.append(opened[i] + 1)
-    base = max(0, len(letters) - model.longest)
-    return opened[model.last_start(letters[base:], lasts, model.suffix, base)] + 1 if model.suffix else opened[-1]
+def word_counts(model: BpeModel, words: Iterable[str]) -> dict[str, int]:
+    """The number of tokens of each word. In sorted order a word keeps the rows of the letters it begins with like the one before."""
+    found: dict[str, int] = {}
+    before = ""
+    lasts, opened = [""], [0]
+    for letters, word in sorted((model.letters(w), w) for w in words):
+        if letters + model.suffix in model.whole:
+            found[word] = 1
+            continue
+        keep = 0
+        for x, y in zip(before, letters, strict=False):
+            if x != y:
+                break
+            keep += 1
+        keep = min(keep, len(opened) - 1)
+        del lasts[keep + 1 :], opened[keep + 1 :]
+        for n in range(keep + 1, len(letters) + (not model.suffix)):
+            base = max(0, n - model.longest)
+            i = model.last_start(letters[base:n], lasts, base=base)
+            lasts.append(letters[i:n])
+            opened.append(opened[i] + 1)
+        before = letters
+        base = max(0, len(letters) - model.longest)
+        found[word] = opened[model.last_start(letters[base:], lasts, model.suffix, base)] + 1 if model.suffix else opened[-1]
+    return found
 
 
 class TokenCounter:
-    """Counts texts with one vocabulary; keeps the counts of up to ``HELD`` words and as many stretches between blanks."""
+    """Counts texts with one vocabulary; keeps the counts of words and of stretches between blanks."""
 
     def __init__(self, path: str):
         self.model = load(path)
@@ -59,35 +72,42 @@ class TokenCounter:
         self._runs: dict[str, int] = {}
 
     def of_words(self, words: list[str]) -> list[int]:
-        known = self._words
-        if len(known) > HELD:
-            known.clear()
-        out = []
-        for w in words:
-            n = known.get(w)
-            if n is None:
-                n = known[w] = word_count(self.model, w)
-            out.append(n)
+        self._learn(words)
+        return [self._words[w] for w in words]
+
+    def _learn(self, words: Iterable[str]) -> None:
+        if len(self._words) > HELD:
+            self._words.clear()
+        self._words.update(word_counts(self.model, {*words}.difference(self._words)))
+
+    def _by_runs(self, text: str) -> bool:
+        """Whether stretches between white space can be counted by themselves: words never reach over it."""
+        return self.model.lower and self.model.plain_letters(text)
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text. What isn't known yet of all texts is learnt together."""
+        model = self.model
+        parts = [[(part, special, not special and self._by_runs(part)) for part, special in model.sections(t)] for t in texts]
+        if len(self._runs) > HELD:
+            self._runs.clear()
+        runs, rest = set(), []
+        for each in parts:
+            for part, special, by_runs in each:
+                if by_runs:
+                    runs.update(part.split())
+                elif not special:
+                    rest.append(model.words(part))
+        cut = [(r, model.words(r)) for r in runs.difference(self._runs)]
+        self._learn(w for words in (*(c[1] for c in cut), *rest) for w in words)
+        known = self._words.__getitem__
+        self._runs.update((r, sum(map(known, words))) for r, words in cut)
+        known_runs, left, out = self._runs.__getitem__, iter(rest), []
+        for each in parts:
+            out.append(sum(1 if special else sum(map(known_runs, part.split())) if by_runs else sum(map(known, next(left))) for part, special, by_runs in each))
         return out
 
-    def _section(self, text: str) -> int:
-        if not self.model.lower or not self.model.plain_letters(text):
-            return sum(self.of_words(self.model.words(text)))
-        known = self._runs
-        runs = text.split()  # words never reach over white space, so a stretch without any is counted by itself
-        try:
-            return sum(map(known.__getitem__, runs))
-        except KeyError:
-            pass
-        if len(known) > HELD:
-            known.clear()
-        for run in runs:
-            if run not in known:
-                known[run] = sum(self.of_words(self.model.words(run)))
-        return sum(map(known.__getitem__, runs))
-
     def count(self, text: str) -> int:
-        return sum(1 if special else self._section(part) for part, special in self.model.sections(text))
+        return self.count_all([text])[0]
 
     def fit(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens, code points) of the longest prefix of the normalised text of at most ``budget`` tokens.
@@ -144,10 +164,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches):
         c = counter(tokenizer)
 
-        def one(i, text):
-            n = c.count(text)
-            return i, len(text.encode()), n, n > limit, c.fit(text, limit)[1] if n > limit else None
+        def each():
+            for group in by_size(rows(batches, "id", "text")):
+                for (i, text), n in zip(group, c.count_all([t for _, t in group]), strict=True):
+                    yield i, len(text.encode()), n, n > limit, c.fit(text, limit)[1] if n > limit else None
 
-        return batched(schema, (one(i, t) for i, t in rows(batches, "id", "text")))
+        return batched(schema, each())
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
