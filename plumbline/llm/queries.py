@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_codec, mixing, quality, simhash, token_counts, toxicity, winnow
+from plumbline.llm import bpe_codec, html_extract, mixing, quality, simhash, token_counts, toxicity, winnow
 from plumbline.llm._common import materialize, table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
@@ -43,6 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_token_counts": op3_token_counts,
     "op4_winnow": op4_winnow,
     "op5_bpe_codec": op5_bpe_codec,
