@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_codec, html_extract, mixing, quality, simhash, token_counts, toxicity, winnow
+from plumbline.llm import bpe_codec, html_extract, media, mixing, quality, simhash, token_counts, toxicity, warc, winnow
 from plumbline.llm._common import materialize, table
 
 
@@ -30,6 +30,11 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive_and_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -45,14 +50,36 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "doc.source")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_html_extract": op2_html_extract,
     "op3_token_counts": op3_token_counts,
     "op4_winnow": op4_winnow,
     "op5_bpe_codec": op5_bpe_codec,
+    "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
+    "op10_media": op10_media,
+}
+ORACLE_SQL: dict = {
+    "op6_warc": """
+        WITH held AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+        ), coded AS (
+            SELECT page_id, octet_length(payload) AS n,
+                   translate(upper(to_base(('0x' || substr(hex, 1, 15))::BIGINT, 32, 12) || to_base(('0x' || substr(hex, 16, 15))::BIGINT, 32, 12)
+                             || to_base(('0x' || substr(hex, 31, 10))::BIGINT, 32, 8)),
+                             '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS digest
+            FROM held
+        ), kept AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS keeper FROM coded)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+        FROM kept
+    """,
 }
-ORACLE_SQL: dict = {}
