@@ -159,6 +159,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     return full.select("doc", "size", "source_size", "target", draws.alias("draws"))
 
 
-def rows_of_mix(mixed: DataFrame) -> DataFrame:
-    """The mix itself: the document's columns, once a draw, dealt by shard and shuffled within it."""
-    return mixed.select("doc", F.explode("draws").alias("draw")).repartition("draw.shard").sortWithinPartitions("draw.shard", "draw.place").select("doc.*")
+def rows_of_mix(mixed: DataFrame, shards: int = 16) -> DataFrame:
+    """The mix itself: the document's columns, once a draw, each shard a partition of its own and shuffled within it."""
+    drawn = mixed.select("doc", F.explode("draws").alias("draw")).select("doc", "draw.shard", "draw.place")
+    return drawn.repartitionById(shards, F.col("shard")).sortWithinPartitions("place").select("doc.*")

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import bpe_codec, html_extract, media, mixing, quality, simhash, token_counts, toxicity, warc, winnow
 from plumbline.llm._common import materialize, table
 
@@ -65,6 +66,7 @@ QUERIES: dict = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict = {
     "op6_warc": """

@@ -79,7 +79,7 @@ def test_shards_draw_disjoint_blocks_and_the_mix_has_each_draw(spark):
     mixed = mixing.mix(spark.createDataFrame(data, SCHEMA), block_rows=10, shards=4)
     draws = [(r.doc.doc_id, d["pass"], d.shard) for r in mixed.collect() for d in r.draws]
     assert len({(i, p) for i, p, _ in draws}) == len(draws) and {s for *_, s in draws} == set(range(4))
-    out = mixing.rows_of_mix(mixed)
+    out = mixing.rows_of_mix(mixed, 4)
     assert out.columns == ["doc_id", "text", "source", "size", "mark"]
     assert Counter(r.doc_id for r in out.collect()) == Counter(i for i, *_ in draws)
 
