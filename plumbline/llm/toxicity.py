@@ -23,7 +23,7 @@ WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
-HELD = 500_000  # stretches whose sums a worker keeps
+HELD = 200_000  # stretches whose sums a worker keeps
 SAMPLE = {1: 1500, 0: 3500}  # labelled rows to fit on, by label
 LONGEST = 200_000  # code points of a text to fit on; longer ones are scored, not fitted on
 RARE = 4  # texts of the sample that a table row must occur in to be fitted
@@ -73,7 +73,12 @@ class Bags:
 
 
 class Model:
-    """A fitted scorer: one number for each table row, and a bias. Its size is fixed, whatever it was fitted on."""
+    """A fitted scorer: one number for each table row, and a bias. Its size is fixed, whatever it was fitted on.
+
+    Of the models that a worker has met, only the one in use keeps sums of stretches.
+    """
+
+    _in_use: Model | None = None
 
     def __init__(self, weigh: np.ndarray, table: np.ndarray, bias: float):
         self.weigh, self.table, self.bias = weigh.astype(np.float32), table.astype(np.float32), float(bias)
@@ -86,6 +91,13 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def _take_turn(self) -> None:
+        """Make this the model in use; the one before forgets what it kept."""
+        if Model._in_use is not None:
+            Model._in_use._values, Model._in_use._known = [], {}
+        self._values = (self.weigh * (self.table + 1j)).tolist()
+        Model._in_use = self
+
     def _sum(self, run: str) -> complex:
         """The sum of a stretch's weighted row values, and, as imaginary part, of their weights."""
         total = 0j
@@ -96,8 +108,8 @@ class Model:
 
     def score(self, text: str) -> float:
         """The probability of label 1; of a text without words, that of the bias."""
-        if not self._values:
-            self._values = (self.weigh * (self.table + 1j)).tolist()
+        if Model._in_use is not self:
+            self._take_turn()
         known = self._known
         if len(known) > HELD:
             known.clear()
@@ -121,11 +133,11 @@ def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 15, bat
     # A row that hardly occurs can only remember its text, and one that occurs everywhere says little: the average is weighted.
     spread = bags.spread()
     weigh = np.where(spread >= RARE, COMMON / (COMMON + spread / len(texts)), 0.0).astype(np.float32)
-    rows_, weights = [], []
-    for row, share in zip(bags.rows, bags.weights, strict=True):
+    rows_, weights = bags.rows, bags.weights
+    for i, (row, share) in enumerate(zip(rows_, weights, strict=True)):
         w = share * weigh[row]
-        rows_.append(row[w > 0])
-        weights.append((w[w > 0] / max(float(w.sum()), 1e-12)).astype(np.float32))
+        rows_[i] = row[w > 0]
+        weights[i] = (w[w > 0] / max(float(w.sum()), 1e-12)).astype(np.float32)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 1, DIM).astype(np.float32)  # the difference of the two softmax outputs
     out /= np.linalg.norm(out)
