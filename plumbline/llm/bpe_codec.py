@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.llm._common import batched, by_size, rows
 from plumbline.llm.bpe_model import BpeModel, load
 
-HELD = 600_000  # words, and stretches between blanks, whose encodings a worker keeps
+HELD = 200_000  # words, and stretches between blanks, whose encodings a worker keeps
 TRIE_LETTERS = 400_000  # letters of words in one trie, which bounds its memory
 
 
