@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,18 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.scratch import materialize, scratch_path
 
-__all__ = ["batched", "by_size", "materialize", "rows", "scratch_path", "table", "text_bytes"]
+__all__ = ["batched", "by_size", "column_of", "kept", "materialize", "rows", "scratch_path", "table", "text_bytes"]
+
+SLICE = 128  # rows of an Arrow batch that are Python objects at a time
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The one large object that a worker keeps between batches. Workers outlive jobs, so that of another key makes way."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +37,19 @@ def text_bytes(column: str = "text"):
 def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """The values of the named columns, row by row."""
     for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
+def column_of(f: Callable[[Any], Any], kind: pa.DataType) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """For an Arrow UDF: ``f`` of each value, some values at a time."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in parts:
+            yield pa.array((f(v) for at in range(0, len(values), SLICE) for v in values.slice(at, SLICE).to_pylist()), kind, size=len(values))
+
+    return run
 
 
 def by_size(records: Iterable[tuple], most: int = 4 << 20) -> Iterator[list[tuple]]:

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, by_size, rows
-from plumbline.llm.bpe_model import BpeModel, load
+from plumbline.llm._common import batched, by_size, kept, rows
+from plumbline.llm.bpe_model import BpeModel
 
 HELD = 200_000  # words, and stretches between blanks, whose encodings a worker keeps
 TRIE_LETTERS = 400_000  # letters of words in one trie, which bounds its memory
@@ -99,7 +99,7 @@ class Codec:
     """Encodes and decodes texts with one byte-level vocabulary."""
 
     def __init__(self, path: str):
-        self.model = load(path)
+        self.model = BpeModel(path)
         byte_of = {letter: b for b, letter in enumerate(self.model.letters_of_bytes)}
         self.bytes_of: dict[bytes, bytes] = {}
         for token, i in [*self.model.ids.items(), *self.model.special.items()]:
@@ -173,13 +173,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(b","))).decode("utf-8", "replace") if ids else ""
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept((Codec, path), lambda: Codec(path))
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

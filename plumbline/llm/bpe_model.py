@@ -11,7 +11,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import regex
 from tokenizers import Tokenizer
@@ -159,9 +158,3 @@ class BpeModel:
                 if fits:
                     return base + i
         raise ValueError(f"no token ends {text!r}")
-
-
-@lru_cache(maxsize=4)
-def load(path: str) -> BpeModel:
-    """The model of a file, once a process."""
-    return BpeModel(path)

@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import materialize
+from plumbline.llm._common import column_of, materialize
 
 BUCKETS = 1 << 14
 SAMPLE = 6000  # rows that the scorer is fitted on, at most
@@ -186,11 +186,15 @@ def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tup
     hash, of each of a pattern's two hundred slots of hashes, so rare patterns are learnt as well; then ``sample`` of those.
     """
 
-    @F.pandas_udf("struct<pattern string, x array<double>>")
-    def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            stats = [statistics(t) for t in texts]
-            yield pd.DataFrame({"pattern": [pattern(x) for x in stats], "x": [x.tolist() for x in stats]})
+    kind = pa.struct([("pattern", pa.string()), ("x", pa.list_(pa.float64()))])
+
+    def seen_in(text: str) -> dict:
+        x = statistics(text)
+        return {"pattern": pattern(x), "x": x.tolist()}
+
+    @F.arrow_udf("struct<pattern string, x array<double>>")
+    def look(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return column_of(seen_in, kind)(parts)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     seen = docs.select(look(text).alias("v"), F.xxhash64(text).alias("mark")).select("v.pattern", "v.x", "mark")
@@ -209,11 +213,9 @@ def scorer(spark: SparkSession, model: Scorer):
     """A column function from text to score."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score_texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        for texts in parts:
-            yield texts.map(model.score).astype("float64")
+    @F.arrow_udf("double")
+    def score_texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return column_of(shared.value.score, pa.float64())(parts)
 
     return score_texts
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, by_size, rows
-from plumbline.llm.bpe_model import BpeModel, load
+from plumbline.llm._common import batched, by_size, kept, rows
+from plumbline.llm.bpe_model import BpeModel
 
 HELD = 800_000  # words, and stretches between blanks, whose counts a worker keeps
 _SPLIT_IN_PREFIX = ("'r", "'v", "'l")  # a cut contraction is two words, not one
@@ -67,7 +67,7 @@ class TokenCounter:
     """Counts texts with one vocabulary; keeps the counts of words and of stretches between blanks."""
 
     def __init__(self, path: str):
-        self.model = load(path)
+        self.model = BpeModel(path)
         self._words: dict[str, int] = {}
         self._runs: dict[str, int] = {}
 
@@ -142,13 +142,8 @@ class TokenCounter:
         return used, at
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path)
-    return _COUNTERS[path]
+    return kept((TokenCounter, path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

@@ -15,10 +15,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm._common import column_of, kept
+
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 DIM = 8
@@ -73,51 +75,29 @@ class Bags:
 
 
 class Model:
-    """A fitted scorer: one number for each table row, and a bias. Its size is fixed, whatever it was fitted on.
-
-    Of the models that a worker has met, only the one in use keeps sums of stretches.
-    """
-
-    _in_use: Model | None = None
+    """A fitted scorer: one number for each table row, and a bias. Its size is fixed, whatever it was fitted on."""
 
     def __init__(self, weigh: np.ndarray, table: np.ndarray, bias: float):
         self.weigh, self.table, self.bias = weigh.astype(np.float32), table.astype(np.float32), float(bias)
-        self._values: list[complex] = []
-        self._known: dict[str, complex] = {}
-
-    def __getstate__(self):
-        return self.weigh, self.table, self.bias
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def _take_turn(self) -> None:
-        """Make this the model in use; the one before forgets what it kept."""
-        if Model._in_use is not None:
-            Model._in_use._values, Model._in_use._known = [], {}
-        self._values = (self.weigh * (self.table + 1j)).tolist()
-        Model._in_use = self
 
-    def _sum(self, run: str) -> complex:
+    def _sum(self, run: str, values: list[complex]) -> complex:
         """The sum of a stretch's weighted row values, and, as imaginary part, of their weights."""
         total = 0j
         for w in WORD.findall(run):
             g = grams(w)
-            total += sum(map(self._values.__getitem__, g)) / len(g)
+            total += sum(map(values.__getitem__, g)) / len(g)
         return total
 
     def score(self, text: str) -> float:
         """The probability of label 1; of a text without words, that of the bias."""
-        if Model._in_use is not self:
-            self._take_turn()
-        known = self._known
+        values, known = kept(self, lambda: ((self.weigh * (self.table + 1j)).tolist(), {}))
         if len(known) > HELD:
             known.clear()
         both = 0j
         for run in dict.fromkeys(text.lower().split()):  # in their order, so that equal texts get equal sums
             value = known.get(run)
             if value is None:
-                value = known[run] = self._sum(run)
+                value = known[run] = self._sum(run, values)
             both += value
         z = self.bias + (SCALE * both.real / both.imag if both.imag else 0.0)
         return float(1.0 / (1.0 + np.exp(-min(max(z, -500.0), 500.0))))
@@ -197,11 +177,9 @@ def scorer(spark: SparkSession, model: Model):
     """A column function from text to score; what is sent to workers has a fixed size of a megabyte."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score_texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        for texts in parts:
-            yield texts.map(model.score).astype("float64")
+    @F.arrow_udf("double")
+    def score_texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return column_of(shared.value.score, pa.float64())(parts)
 
     return score_texts
 

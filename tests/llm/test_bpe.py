@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from plumbline.llm import bpe_codec, token_counts
 from plumbline.llm.bpe_codec import Codec, encode_words
-from plumbline.llm.bpe_model import load
+from plumbline.llm.bpe_model import BpeModel
 from plumbline.llm.token_counts import TokenCounter, prefix_counts
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -42,7 +42,7 @@ def test_every_prefix_has_its_count(libraries):
     word, byte = libraries
     for w in ("internationalisation", "aaaaaaaaaaa", "thththing"):
         for path, library in ((WORD, word), (BYTE, byte)):
-            assert prefix_counts(load(path), w) == [len(library.encode(w[:n], add_special_tokens=False).ids) for n in range(len(w) + 1)]
+            assert prefix_counts(BpeModel(path), w) == [len(library.encode(w[:n], add_special_tokens=False).ids) for n in range(len(w) + 1)]
 
 
 def test_fit_is_the_longest_prefix_within_the_budget(libraries):
@@ -62,7 +62,7 @@ def test_a_trie_serves_words_of_either_vocabulary(libraries):
     word, byte = libraries
     words = ["in", "inter", "internal", "internals", "", "int", "zzz"]
     for path, library in ((WORD, word), (BYTE, byte)):
-        for w, ids in encode_words(load(path), words[:4] + words[5:]).items():
+        for w, ids in encode_words(BpeModel(path), words[:4] + words[5:]).items():
             assert ids == library.encode(w, add_special_tokens=False).ids
 
 
