@@ -2,8 +2,7 @@
 
 At a similarity of 0.8 two 64-bit fingerprints of shingles differ in some ten bits, which no key of useful length survives. So a text gets two
 wide SimHashes: one of its different words, whose bits hardly move under small edits and serve as keys, and one of its shingles, whose
-distance measures the similarity. Candidates share a segment of the first; the chain of segments that begins there, round the ring, must keep
-its differences within the proportional budgets; then the whole distances of both decide.
+distance measures the similarity. Candidates share a segment of the first; then the whole distances of both decide.
 """
 
 from __future__ import annotations
@@ -72,26 +71,14 @@ def signatures(data: bytes, words: int = 5) -> tuple[list[int], list[int]]:
     return [int.from_bytes(ring[i : i + step]) for i in range(0, len(ring), step)], np.frombuffer(grams.bytes(), np.int64).tolist()
 
 
-def _chain_holds() -> Column:
-    """From the shared segment on, each chain of segments keeps its differences within its share of ``WORD_BUDGET``."""
-    diffs = F.zip_with("ring_a", "ring_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    turned = F.concat(F.slice(diffs, F.col("start") + 1, SEGMENTS), F.slice(diffs, F.lit(1), F.col("start")))
-    sums = F.aggregate(
-        turned,
-        F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"), F.lit(True).alias("ok")),
-        lambda s, d: F.struct((s.n + 1).alias("n"), (s["sum"] + d).alias("sum"), (s.ok & ((s["sum"] + d) * SEGMENTS <= (s.n + 1) * WORD_BUDGET)).alias("ok")),
-        lambda s: s.ok,
-    )
-    return sums
-
-
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of candidates (start, a, b) the edges (a, b): chains from the shared segment on, then the whole distances."""
-    pairs = pairs.groupBy("a", "b").agg(F.min("start").alias("start"))
+    """Of candidates (start, a, b) the edges (a, b): the whole distances decide, wherever the shared segments are."""
+    pairs = pairs.select("a", "b").distinct()
     one = nodes.select(F.col("node").alias("a"), F.col("ring").alias("ring_a"), F.col("grams").alias("grams_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), F.col("grams").alias("grams_b"))
-    near = F.aggregate(F.zip_with("grams_a", "grams_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d) <= SHINGLE_BUDGET
-    return materialize(pairs.join(one, "a").join(two, "b").where(_chain_holds()).where(near).select("a", "b"), "near-nodes")
+    differ = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
+    near = (differ("ring") <= WORD_BUDGET) & (differ("grams") <= SHINGLE_BUDGET)
+    return materialize(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"), "near-nodes")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -107,7 +94,7 @@ def _in_bands(crowd: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, most: int = 32, outsiders: int = 8) -> DataFrame:
-    """Edges (a, b) between nodes (node, ring, grams) that share a segment and pass the chain and both distances.
+    """Edges (a, b) between nodes (node, ring, grams) that share a segment and pass both distances.
 
     Of a segment that up to ``most`` nodes share all pairs are tried. Of a fuller one each node is first tried with three of them, the
     least, the largest and one by hash. Components of the edges so far then tell what is left to do, as only components count: nothing where

@@ -81,3 +81,12 @@ def test_keep_first_keeps_columns_and_null_ids(spark):
     assert kept.columns == ["doc_id", "text", "id", "node", "ring"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 2, 9, None]
     assert simhash_groups.keep_first(frame(spark, [])).collect() == []
+
+
+def test_any_shared_segment_may_start_the_chain(spark):
+    """Two nodes share segments 3 and 9; nine bits differ in segment 4, so the chain from 3 breaks though both whole distances hold."""
+    ring = list(range(100, 100 + simhash_groups.SEGMENTS))
+    other = [x if i in (3, 9) else x ^ (0x1FF if i == 4 else 1) for i, x in enumerate(ring)]
+    grams = [0] * simhash_groups.SHINGLE_LONGS
+    df = spark.createDataFrame([(1, ring, grams), (2, other, grams)], "node long, ring array<int>, grams array<long>")
+    assert [tuple(e) for e in simhash_groups.links(df).collect()] == [(1, 2)]
