@@ -7,6 +7,7 @@ distance measures the similarity. Candidates share a segment of the first; then
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -23,8 +24,7 @@ SEGMENTS, WIDTH = 16, 24  # of the word fingerprint
 SHINGLE_LONGS = 8  # 512 bits of the shingle fingerprint
 WORD_BUDGET = 64  # differing bits of 384
 SHINGLE_BUDGET = 90  # differing bits of 512: at a similarity of 0.8 some 78 are expected, with a deviation of 8
-BAND = 12  # bits of the shingle fingerprint that split a crowded segment: at a similarity of 0.8 two texts share one of 20 such bands with odds of 0.95
-SPLITS = 2
+SALT = 512  # rows of a bucket that one task holds against all of it
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,67 +71,57 @@ def signatures(data: bytes, words: int = 5) -> tuple[list[int], list[int]]:
     return [int.from_bytes(ring[i : i + step]) for i in range(0, len(ring), step)], np.frombuffer(grams.bytes(), np.int64).tolist()
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of candidates (start, a, b) the edges (a, b): the whole distances decide, wherever the shared segments are."""
-    pairs = pairs.select("a", "b").distinct()
-    one = nodes.select(F.col("node").alias("a"), F.col("ring").alias("ring_a"), F.col("grams").alias("grams_a"))
-    two = nodes.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), F.col("grams").alias("grams_b"))
-    differ = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-    near = (differ("ring") <= WORD_BUDGET) & (differ("grams") <= SHINGLE_BUDGET)
-    return materialize(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"), "near-nodes")
-
-
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.col("start"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def _search(held: DataFrame, close: Callable[[DataFrame], DataFrame], may: Column, most: int, outsiders: int) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs that share a bucket, ``may`` be close and are.
 
-
-def _in_bands(crowd: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of crowded buckets, each in a bucket for every later band of its shingle fingerprint."""
-    shifts = range(0, 64 - BAND + 1, BAND)
-    bands = F.flatten(F.transform(F.slice("grams", 1, 4), lambda g: F.array(*(F.shiftrightunsigned(g, i).bitwiseAND(F.lit((1 << BAND) - 1).cast("long")) for i in shifts))))
-    spread = crowd.join(nodes.select("node", bands.alias("bands")), "node").select("node", "start", "bucket", F.col("band").alias("after"), F.posexplode("bands").alias("band", "value"))
-    return spread.where("band > after").select("node", "start", F.xxhash64("bucket", "band", "value").alias("bucket"), "band")
+    ``held`` has (node, bucket, at); ``may`` looks at ``at_a`` and ``at_b``, ``close`` takes distinct candidates (a, b). Of a bucket of up
+    to ``most`` nodes all pairs are tried. In a fuller one each node is first tried with some hubs; then, as only components count, with all
+    nodes of other components: first in buckets with up to ``outsiders`` nodes outside the largest component, then in all that are left.
+    """
+    hubs = [F.min("node"), F.max("node"), *(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(4))]
+    load = held.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs")).where("n > 1")
+    shared = materialize(held.join(load, "bucket"), "shared-buckets")
+
+    def tried(one: DataFrame, two: DataFrame, on: list[str], where: str) -> DataFrame:
+        one = one.withColumnsRenamed({"node": "node_a", "at": "at_a", "root": "root_a"})
+        two = two.withColumnsRenamed({"node": "node_b", "at": "at_b", "root": "root_b"})
+        found = one.join(two, on).where(where).where(may)
+        return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+    few = shared.where(F.col("n") <= most).select("bucket", "node", "at")
+    full = shared.where(F.col("n") > most)
+    first = tried(few, few, ["bucket"], "node_a < node_b")
+    centres = full.where(F.array_contains("hubs", F.col("node"))).select("bucket", "node", "at")
+    edges = close(first.unionByName(tried(full.select("bucket", "node", "at"), centres, ["bucket"], "node_a <> node_b")).distinct())
+    if full.isEmpty():
+        return edges
+    for limit in (outsiders, None):
+        roots = connected_components(edges).withColumnRenamed("node", "member")
+        crowd = full.join(roots, F.col("node") == F.col("member"), "left").select("bucket", "node", "at", "n", F.coalesce("root", "node").alias("root"))
+        crowd = materialize(crowd, "crowd")
+        parts = crowd.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+        parts = parts.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
+        crowd = materialize(crowd.join(parts if limit is None else parts.where(F.col("outside") <= limit), "bucket"), "mixed-crowd")
+        if crowd.isEmpty():
+            continue
+        salts = F.ceil(F.col("n") / SALT).cast("int")
+        one = crowd.where("root <> main").select("bucket", "node", "at", "root", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
+        two = crowd.select("bucket", "node", "at", "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        edges = edges.unionByName(close(tried(one, two, ["bucket", "salt"], "root_a <> root_b").distinct()))
+    return edges
 
 
 def links(nodes: DataFrame, most: int = 32, outsiders: int = 8) -> DataFrame:
-    """Edges (a, b) between nodes (node, ring, grams) that share a segment and pass both distances.
+    """Edges (a, b) between nodes (node, ring, grams) whose components are those of all pairs that share a segment and pass both whole distances."""
+    held = nodes.select("node", F.posexplode("ring").alias("start", "key")).select("node", F.xxhash64("start", "key").alias("bucket"), F.lit(0).alias("at"))
+    differ = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
 
-    Of a segment that up to ``most`` nodes share all pairs are tried. Of a fuller one each node is first tried with three of them, the
-    least, the largest and one by hash. Components of the edges so far then tell what is left to do, as only components count: nothing where
-    all nodes are in one; where up to ``outsiders`` nodes are outside the largest, these are tried with all others; else
-    the bucket is split by the bands of the shingle fingerprint, of which near copies share some, and each part goes the same way,
-    ``SPLITS`` times at most. So work stays in proportion to the nodes.
-    """
-    held = nodes.select("node", F.posexplode("ring").alias("start", "key")).select("node", "start", F.xxhash64("start", "key").alias("bucket"), F.lit(-1).alias("band"))
-    held = materialize(held.withColumn("root", F.col("node")), "segment-keys")
-    edges = None
-    for split in range(SPLITS + 1):
-        mid = F.min_by("node", F.xxhash64("node", "bucket"))
-        load = held.groupBy("start", "bucket").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), mid.alias("mid"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-        shared = materialize(held.join(load.where("n > 1 and r0 < r1"), ["start", "bucket"]), "shared-segments")
-        few = shared.where(F.col("n") <= most).select("start", "bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        other = few.select("start", "bucket", F.col("a").alias("b"), F.col("root_a").alias("root_b"))
-        pairs = few.join(other, ["start", "bucket"]).where("a < b and root_a <> root_b").select("start", "a", "b")
-        hubs = shared.where(F.col("n") > most).select("start", "node", F.explode(F.array_distinct(F.array("lo", "hi", "mid"))).alias("hub")).where("node <> hub")
-        found = _close(pairs.unionByName(hubs.select(*_ordered("node", "hub"))), nodes)
-        edges = found if edges is None else edges.unionByName(found)
-        crowd = shared.where(F.col("n") > most).select("node", "start", "bucket", "band")
-        if split == SPLITS or crowd.isEmpty():
-            break
-        roots = connected_components(edges).withColumnRenamed("node", "member")
-        crowd = materialize(crowd.join(roots, F.col("node") == F.col("member"), "left").select("node", "start", "bucket", "band", F.coalesce("root", "node").alias("root")), "crowd")
-        parts = crowd.groupBy("start", "bucket", "root").agg(F.count("*").alias("m"))
-        parts = parts.groupBy("start", "bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
-        crowd = materialize(crowd.join(parts, ["start", "bucket"]), "mixed-crowd")
-        some = crowd.where(F.col("outside") <= outsiders)
-        apart = some.where("root <> main").select("start", "bucket", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        edges = edges.unionByName(_close(some.join(apart, ["start", "bucket"]).where("root <> other_root").select(*_ordered("node", "other")), nodes))
-        rest = crowd.where(F.col("outside") > outsiders)
-        if rest.isEmpty():
-            break
-        held = _in_bands(rest, nodes).join(roots, F.col("node") == F.col("member"), "left").select("node", "start", "bucket", "band", F.coalesce("root", "node").alias("root"))
-        held = materialize(held, "segment-bands")
-    return edges
+    def close(pairs: DataFrame) -> DataFrame:
+        one = nodes.select(F.col("node").alias("a"), F.col("ring").alias("ring_a"), F.col("grams").alias("grams_a"))
+        two = nodes.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), F.col("grams").alias("grams_b"))
+        return materialize(pairs.join(one, "a").join(two, "b").where((differ("ring") <= WORD_BUDGET) & (differ("grams") <= SHINGLE_BUDGET)).select("a", "b"), "near-nodes")
+
+    return _search(materialize(held, "segment-keys"), close, F.lit(True), most, outsiders)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:

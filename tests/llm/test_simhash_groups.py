@@ -90,3 +90,17 @@ def test_any_shared_segment_may_start_the_chain(spark):
     grams = [0] * simhash_groups.SHINGLE_LONGS
     df = spark.createDataFrame([(1, ring, grams), (2, other, grams)], "node long, ring array<int>, grams array<long>")
     assert [tuple(e) for e in simhash_groups.links(df).collect()] == [(1, 2)]
+
+
+def test_crowds_are_searched_to_the_end(spark):
+    """All nodes share a segment, and pairs differ in a bit of every band of the shingle fingerprint."""
+    rnd = random.Random(8)
+    ring = lambda: [7, *(rnd.getrandbits(24) for _ in range(simhash_groups.SEGMENTS - 1))]
+    nodes = []
+    for i in range(40):
+        r, g = ring(), [rnd.getrandbits(62) for _ in range(simhash_groups.SHINGLE_LONGS)]
+        far = [x ^ sum(1 << b for b in range(0, 60, 12)) for x in g[:4]] + g[4:]
+        nodes += [(2 * i, r, g), (2 * i + 1, [7, *(x ^ 1 for x in r[1:])], far)]
+    df = spark.createDataFrame(nodes, "node long, ring array<int>, grams array<long>")
+    found = {tuple(e) for e in simhash_groups.links(df, most=4, outsiders=0).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(40)}
