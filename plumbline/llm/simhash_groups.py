@@ -1,12 +1,16 @@
 """Near-duplicate groups by similarity of five-word shingles, for thresholds that are too wide for a short fingerprint.
 
-At a similarity of 0.8 two 64-bit fingerprints of shingles differ in some ten bits, which no key of useful length survives. So a text gets two
-wide SimHashes: one of its different words, whose bits hardly move under small edits and serve as keys, and one of its shingles, whose
-distance measures the similarity. Candidates share a segment of the first; then the whole distances of both decide.
+``groups`` is exact: texts whose shingle sets have a Jaccard similarity of ``LEAST`` or more are linked. In any one order of all shingles two such
+sets share one among the first few of each (prefix filtering), so these are the keys of an equi-join; the order puts shingles that a
+sample finds often last, which only saves work. Candidates are held against each other by their whole sets.
+
+``links`` does the same for wide SimHashes, one of the different words and one of the shingles: candidates share a segment of the
+first, and both whole distances decide.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from itertools import islice
 
@@ -24,6 +28,8 @@ SEGMENTS, WIDTH = 16, 24  # of the word fingerprint
 SHINGLE_LONGS = 8  # 512 bits of the shingle fingerprint
 WORD_BUDGET = 64  # differing bits of 384
 SHINGLE_BUDGET = 90  # differing bits of 512: at a similarity of 0.8 some 78 are expected, with a deviation of 8
+LEAST = 800  # thousandths of Jaccard similarity
+COMMON = 200_000  # shingles, at most, that are known to be frequent and come last in the order
 SALT = 512  # rows of a bucket that one task holds against all of it
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,23 +130,85 @@ def links(nodes: DataFrame, most: int = 32, outsiders: int = 8) -> DataFrame:
     return _search(materialize(held, "segment-keys"), close, F.lit(True), most, outsiders)
 
 
+def shingle_set(data: bytes, words: int = 5) -> np.ndarray:
+    """The different shingle hashes of a text's bytes, ascending."""
+    held = np.zeros(0, np.uint64)
+    for hashes in shingle_hashes(data, words):
+        held = np.union1d(held, hashes)
+    return held
+
+
+def prefix(held: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Those shingles of a set, rare ones first, of which every set of similarity ``LEAST`` or more has one among its own.
+
+    ``common`` (ascending) are frequent shingles and ``often`` their counts; the order is by count, then by hash.
+    """
+    n = len(held)
+    if not n:
+        return held
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+        count = np.where(common[at] == held, often[at], 0)
+    return held[np.lexsort((held, count))[: n - -(-LEAST * n // 1000) + 1]]
+
+
+def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): the shingles met most often in a sixteenth of the different texts, a bounded number."""
+
+    def run(batches):
+        return batched(pa.schema([("h", pa.int64())]), ((h,) for (b,) in rows(batches, "data") for h in shingle_set(b, words).view(np.int64).tolist()))
+
+    some = texts.where(F.pmod(F.xxhash64("data"), F.lit(16)) == 0).withColumn("mark", F.xxhash64("data")).dropDuplicates(["mark"]).select("data")
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """(id, group) for every row: the group is the smallest id of the near copies that a row reaches.
 
-    Rows of equal signatures are one node, so exact copies make no pairs. Null and empty texts are copies of each other. Rows with equal ids
+    Rows of equal shingle sets are one node, so exact copies make no pairs. Null and empty texts are copies of each other. Rows with equal ids
     are one document; null ids get no group. Other columns are not looked at.
     """
-    schema = pa.schema([("id", pa.int64()), ("ring", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64()))])
+    held = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(held, words))
+    signs = pa.schema([("id", pa.int64()), ("sign", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    sets = pa.schema([("node", pa.int64()), ("sign", pa.binary()), ("held", pa.list_(pa.int64()))])
+    sign = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    def run(batches):
-        return batched(schema, ((i, *signatures(b, words)) for i, b in rows(batches, "id", "data")))
+    def keyed(batches):
+        def each():
+            for i, b in rows(batches, "id", "data"):
+                s = shingle_set(b, words)
+                yield i, sign(s), len(s), prefix(s, *frequent.value).view(np.int64)
 
-    held = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data"))
-    each = materialize(held.mapInArrow(run, "id long, ring array<int>, grams array<long>"), "signatures")
-    each = each.withColumn("sign", F.sha2(F.concat_ws(",", F.col("ring").cast("array<string>"), F.col("grams").cast("array<string>")), 256))
-    nodes = each.where("id is not null").groupBy("sign").agg(F.min("id").alias("node"), F.any_value("ring").alias("ring"), F.any_value("grams").alias("grams"))
+        return batched(signs, each(), 512)
+
+    def whole(batches):
+        return batched(sets, ((i, sign(s), s.view(np.int64)) for i, b in rows(batches, "id", "data") for s in [shingle_set(b, words)]), 512)
+
+    each = materialize(held.mapInArrow(keyed, "id long, sign binary, size long, keys array<long>"), "signatures")
+    nodes = each.where("id is not null").groupBy("sign").agg(F.min("id").alias("node"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
     nodes = materialize(nodes, "signature-nodes")
-    roots = connected_components(links(nodes.select("node", "ring", "grams")))
+    at = F.struct("size", (F.col("size") - F.col("pos")).alias("left"))
+    keys = materialize(nodes.select("node", "size", F.posexplode("keys").alias("pos", "bucket")).select("node", "bucket", at.alias("at")), "prefix-keys")
+    few = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    keys = materialize(keys.join(few, "bucket", "left_semi"), "shared-keys")
+    wanted = keys.select(F.col("node").alias("id")).distinct()
+    full = materialize(held.join(wanted, "id", "left_semi").mapInArrow(whole, "node long, sign binary, held array<long>").dropDuplicates(["node", "sign"]).select("node", "held"), "shingle-sets")
+    # what two sets share is at most what is left of the smaller from their first shared shingle on
+    may = F.least("at_a.left", "at_b.left") * (1000 + LEAST) >= LEAST * (F.col("at_a.size") + F.col("at_b.size"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        one, two = (full.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
+        both = F.size(F.array_intersect("held_a", "held_b")).cast("long")
+        found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("held_a") + F.size("held_b")).alias("sum"))
+        return materialize(found.where(F.col("both") * 1000 >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b").distinct(), "near-nodes")
+
+    roots = connected_components(_search(keys, close, may, 32, 8))
     named = nodes.select("sign", "node").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("sign").alias("s"), F.coalesce("root", "node").alias("group"))
     return each.select("id", "sign").join(named, F.col("sign") == F.col("s"), "left").select("id", F.when(F.col("id").isNotNull(), F.col("group")).alias("group"))
 

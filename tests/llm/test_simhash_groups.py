@@ -104,3 +104,29 @@ def test_crowds_are_searched_to_the_end(spark):
     df = spark.createDataFrame(nodes, "node long, ring array<int>, grams array<long>")
     found = {tuple(e) for e in simhash_groups.links(df, most=4, outsiders=0).collect()}
     assert found == {(2 * i, 2 * i + 1) for i in range(40)}
+
+
+def test_edges_of_the_threshold(spark):
+    """Appended, truncated and short texts at 0.80 to 0.85, as all pairs have it."""
+    rnd = random.Random(21)
+    fresh = lambda n: [f"w{rnd.getrandbits(40)}" for _ in range(n)]
+    texts = []
+    for _ in range(30):
+        base = fresh(rnd.randint(60, 200))
+        texts += [base, base + fresh(int(len(base) * rnd.uniform(0.17, 0.27)))]
+        long = fresh(rnd.randint(60, 200))
+        texts += [long, long[: int(len(long) * rnd.uniform(0.78, 0.86))]]
+        short = fresh(25)
+        texts += [short, short[:-2] + fresh(2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, simhash_groups.groups(frame(spark, rows)).collect())) == brute(rows)
+
+
+def test_shared_passages_hide_no_copies(spark):
+    """A passage that 120 otherwise different texts share, and 20 near copies among them."""
+    rnd = random.Random(22)
+    passage = [f"p{i}" for i in range(150)]
+    texts = [passage + [f"w{rnd.getrandbits(40)}" for _ in range(rnd.choice([20, 30, 60]))] for _ in range(120)]
+    texts += [t[:-3] + ["x", "y", f"z{i}"] for i, t in enumerate(texts[:20])]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, simhash_groups.groups(frame(spark, rows)).collect())) == brute(rows)
