@@ -2,8 +2,9 @@
 
 The standard library's streaming parser yields events; each block of a page becomes a line with its text, its number of tags and the
 elements it stands in. Lines in menus, headers, footers, asides, forms, notices, adverts and comments count with no text. A line's ratio of
-text to tags is smoothed with a Gaussian over its neighbours; lines above a threshold are clustered, and the element that holds nearly all of
-them is the content region, whose blocks are the text: so short paragraphs stay with their long neighbours.
+text to tags is smoothed with a Gaussian over its neighbours; lines above a threshold are clustered. Where the element that holds nearly all of
+them is part of an article, that is the content region, else the smallest element that holds all of them, widened as long as that adds
+nothing that is left out. The region's blocks are the text: so leads, headings and short paragraphs stay with their long neighbours.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ WORDS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WIDTH = 1.5  # of the Gaussian, in lines
 THRESHOLD = 0.5  # of the mean smoothed ratio
-SHARE = 0.9  # of the clustered text that the content region holds
+SHARE = 0.9  # of the clustered text that an element holds whose article is the content region
 
 _PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -42,13 +43,13 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Line:
-    """A block: its text, tags, letters inside links, the regions it is in (outermost first), and whether it is a heading or left out."""
+    """A block: its text, tags, letters inside links, the regions it is in (number and tag, outermost first), and whether it is a heading or left out."""
 
     parts: list[str] = field(default_factory=list)
     text: str = ""
     tags: int = 0
     linked: int = 0
-    regions: tuple[int, ...] = ()
+    regions: tuple[tuple[int, str], ...] = ()
     heading: bool = False
     out: bool = False
 
@@ -60,7 +61,7 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.stack: list[tuple[str, bool, bool]] = []  # open elements: tag, whether they are left out, whether they are regions
-        self.regions: list[int] = []
+        self.regions: list[tuple[int, str]] = []
         self.out = self.links = self.made = self.articles = 0
         self.line = Line()
 
@@ -110,7 +111,7 @@ class _Events(HTMLParser):
         self.links += tag == "a"
         if region:
             self.made += 1
-            self.regions.append(self.made)
+            self.regions.append((self.made, tag))
         if tag in BLOCKS:
             self.line.regions, self.line.out = tuple(self.regions), self.out > 0
             self.line.heading = tag in HEADINGS
@@ -175,6 +176,30 @@ def smooth(values: np.ndarray, width: float = WIDTH) -> np.ndarray:
     return sums / mass
 
 
+def content_region(lines: list[Line], chosen: np.ndarray) -> tuple[int, str] | None:
+    """The element that holds the article of which the chosen lines are part; None is the whole page."""
+    weight: dict[tuple[int, str], int] = {}
+    path: dict[tuple[int, str], tuple] = {}
+    total = 0
+    for line, take in zip(lines, chosen, strict=True):
+        if take:
+            total += len(line.text)
+            for d, r in enumerate(line.regions):
+                weight[r] = weight.get(r, 0) + len(line.text)
+                path[r] = line.regions[: d + 1]
+    most = max((r for r, n in weight.items() if n >= SHARE * total), key=lambda r: len(path[r]), default=None)
+    for tag in ("article", "main"):
+        for r in path.get(most, ()):
+            if r[1] == tag:
+                return r
+    region = max((r for r, n in weight.items() if n == total), key=lambda r: len(path[r]), default=None)
+    for wider in (*path.get(region, ())[-2::-1], None):
+        if any(x.out and x.text and region not in x.regions and (wider is None or wider in x.regions) for x in lines):
+            break
+        region = wider
+    return region
+
+
 def main_text(html: str) -> str:
     """The blocks of the content region in page order, joined by line feeds; empty where there is none."""
     lines = lines_of(html)
@@ -185,25 +210,11 @@ def main_text(html: str) -> str:
     chosen = (even >= THRESHOLD * even.mean()) & (own > 0)
     if not chosen.any():
         return ""
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for line, take in zip(lines, chosen, strict=True):
-        if take:
-            total += len(line.text)
-            for d, r in enumerate(line.regions):
-                weight[r] = weight.get(r, 0) + len(line.text)
-                depth[r] = d
-    holding = [r for r, n in weight.items() if n >= SHARE * total]
-    region = max(holding, key=lambda r: depth[r], default=0)
-    named = region and depth[region] > 0
-    first, last = np.flatnonzero(chosen)[[0, -1]]
+    region = content_region(lines, chosen)
     kept = []
     for i, line in enumerate(lines):
         if line.out or not line.text or (region and region not in line.regions):
             continue
-        if not named and not first <= i <= last and not line.heading:
-            continue  # without an element of its own, the region is where the clusters are
         if 2 * line.linked > len(line.text) and not line.heading and not chosen[max(0, i - 1) : i + 2].any():
             continue  # a list of links
         kept.append(line.text)

@@ -46,3 +46,27 @@ def test_query_handles_odd_rows(spark):
     by = sorted(((r.page_id or 0, r.n_chars) for r in got.collect()))
     assert by == [(0, 0), (1, len(WANT)), (1, len(WANT)), (2, 0), (3, 499_999)]
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story, with enough words in it to be told from a menu and such things.</p>" for i in range(40))
+TOLD = [f"Paragraph {i} of the story, with enough words in it to be told from a menu and such things." for i in range(40)]
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body>{NAV}<article><h1>T</h1><p>A lead.</p><div>{STORY}</div><p>The end.</p></article>{FOOT}",
+        f"<body>{NAV}<article><h1>T</h1><section><p>A lead.</p></section><section>{STORY}</section><section><p>The end.</p></section></article>{FOOT}",
+        f"<body>{NAV}<main><h1>T</h1><p>A lead.</p><blockquote>{STORY}</blockquote><p>The end.</p></main>{FOOT}",
+        f"<body>{NAV}<div class=post><h1>T</h1><p>A lead.</p><div>{STORY}</div><p>The end.</p></div>{FOOT}",
+        f"<body>{NAV}<h1>T</h1><p>A lead.</p>{STORY}<p>The end.</p>{FOOT}",
+    ],
+)
+def test_nothing_outside_the_long_part_is_lost(html):
+    assert main_text(html).split("\n") == ["T", "A lead.", *TOLD, "The end."]
+
+
+def test_sections_of_unequal_length_stay():
+    first = "<p>The first section is a short one, yet it has a sentence that is as long as any other here.</p>" * 3
+    html = f"<body>{NAV}<div><section>{first}</section><section>{STORY}</section></div>{FOOT}"
+    assert len(main_text(html).split("\n")) == 43
