@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from plumbline.llm._common import column_of, materialize
 
 BUCKETS = 1 << 14
+WINDOW = 400  # words over which variety, which falls with length, is taken
 SAMPLE = 6000  # rows that the scorer is fitted on, at most
-STATISTICS = ("words", "symbols", "capitals", "digits", "bars", "shouts", "echo", "variety", "word_length", "line_repeats", "stops", "letters")
+STATISTICS = ("words", "symbols", "capitals", "digits", "bars", "shouts", "echo", "variety", "word_length", "line_repeats", "stops", "letters", "distinct", "passages")
 
 _KIND = np.zeros(256, np.uint8)  # of a byte: 1 letter, 2 capital, 3 digit, 4 white space, 5 sentence mark, 6 symbol
 _KIND[33:127] = 6
@@ -31,6 +32,7 @@ _KIND[65:91] = 2
 _KIND[48:58] = 3
 _KIND[[32, *range(9, 14)]] = 4
 _KIND[[ord(c) for c in ".,;:'\"-()?"]] = 5
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def statistics(text: str) -> np.ndarray:
@@ -44,7 +46,11 @@ def statistics(text: str) -> np.ndarray:
     shown = len(data) - kinds[4]
     letters = kinds[1] + kinds[2]
     lines = [x for x in data.split(b"\n") if x]
-    window = words if n <= 400 else words[:: n // 400 + 1]  # variety falls with length, so it is taken over a fixed number of places
+    # all windows have the same length, so the last one goes back into the one before
+    starts = [*range(0, n - WINDOW, WINDOW), max(n - WINDOW, 0)]
+    variety = sum(len(set(words[i : i + WINDOW])) for i in starts) / (len(starts) * min(n, WINDOW))
+    marks = np.fromiter(map(zlib.crc32, words), np.uint64, n)
+    fives = sum((marks[i : max(n - 4 + i, i)] * _MIX[i] for i in range(5)), np.zeros(max(n - 4, 0), np.uint64))  # a hash of every five words in a row
     return np.array([
         n,
         kinds[6] / shown,
@@ -53,11 +59,13 @@ def statistics(text: str) -> np.ndarray:
         data.count(b" | ") / n,
         data.count(b"!!") / n,
         sum(map(bytes.__eq__, words, words[1:])) / n,
-        len(set(window)) / len(window),
+        variety,
         shown / n,
         1 - len(set(lines)) / max(len(lines), 1),
         data.count(b". ") / n,
         letters / shown,
+        len(set(words)) / n,
+        1 - len(np.unique(fives)) / max(len(fives), 1) if n > 4 else 0.0,
     ])
 
 
@@ -90,6 +98,7 @@ LABELLERS = (
     Labeller("word length", "word_length", 9.0, 16.0),
     Labeller("letter share", "letters", 0.9, 0.8),
     Labeller("repeated lines", "line_repeats", 0.1, 0.4, least=30),
+    Labeller("repeated passages", "passages", 0.1, 0.4, least=30),
 )
 
 

@@ -72,3 +72,13 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     kept = quality.keep_good(df)
     assert kept.columns == df.columns and kept.count() == len(good) + 1 + sum(got[i] for i in range(260, 264))
     assert quality.score(df.limit(0)).count() == 0
+
+
+def test_statistics_take_every_word():
+    at = {k: i for i, k in enumerate(quality.STATISTICS)}
+    half = quality.statistics(" ".join(w for i in range(250) for w in (f"w{i}", "x")))  # every second word is the same
+    assert abs(half[at["variety"]] - 201 / 400) < 1e-9
+    short, longer = (quality.statistics(" ".join(f"w{i % 100}" for i in range(n))) for n in (400, 401))
+    assert abs(short[at["variety"]] - longer[at["variety"]]) < 1e-9
+    far = quality.statistics(" ".join([f"w{i}" for i in range(300)] * 1000))
+    assert abs(far[at["distinct"]] - 0.001) < 1e-9 and far[at["passages"]] > 0.99 and "-" in quality.pattern(far)
