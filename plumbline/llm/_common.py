@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Iterable, Iterator
-from typing import Any
+from typing import Any, Generic, TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.scratch import materialize, scratch_path
 
-__all__ = ["batched", "by_size", "column_of", "kept", "materialize", "rows", "scratch_path", "table", "text_bytes"]
+__all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "fresh", "kept", "materialize", "rows", "scratch_path", "table", "text_bytes"]
+
+K, V = TypeVar("K", bound=Hashable), TypeVar("V")
 
 SLICE = 128  # rows of an Arrow batch that are Python objects at a time
 _KEPT: dict[Hashable, Any] = {}
@@ -25,10 +27,39 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+class Recent(Generic[K, V]):
+    """A dictionary in two generations: what isn't asked for while some ``most`` others come in is forgotten, what is asked for stays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[K, V] = {}
+        self.old: dict[K, V] = {}
+
+    def missing(self, keys: set[K]) -> set[K]:
+        """Those of ``keys`` that aren't known; all the others are in ``young`` from now on."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        absent = keys.difference(young)
+        young.update({k: old[k] for k in absent if k in old})
+        return absent.difference(young)
+
+    def add(self, found: dict[K, V]) -> None:
+        self.young.update(found)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name that none of ``taken`` is."""
+    held = {t.lower() for t in taken}
+    while name in held:
+        name += "_"
+    return name
+
+
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -52,6 +83,19 @@ def column_of(f: Callable[[Any], Any], kind: pa.DataType) -> Callable[[Iterator[
     return run
 
 
+def columns_of(f: Callable[[list], list], kind: pa.DataType) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """For an Arrow UDF: ``f`` of some values at a time, in order."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in parts:
+            found: list = []
+            for at in range(0, len(values), SLICE):
+                found += f(values.slice(at, SLICE).to_pylist())
+            yield pa.array(found, kind)
+
+    return run
+
+
 def by_size(records: Iterable[tuple], most: int = 4 << 20) -> Iterator[list[tuple]]:
     """Groups of (id, text) with some ``most`` code points of text each, or one longer text."""
     group, size = [], 0

@@ -1,98 +1,51 @@
 """BPE encoding and decoding of whole texts, over a trie of distinct words.
 
-The distinct words of a batch are put into a trie and walked depth first. A node is a prefix; its state is where the last token
-of the prefix's encoding starts, which follows from the states above it. Words that begin alike share those states, so a common
-prefix is encoded once for all of them.
+The distinct words of some texts are put into a trie, which is walked depth first. A node is a prefix; its state is the last token of the
+prefix's encoding, which follows from the states above it. Words that begin alike share those states, so a common prefix is
+encoded once for all of them. The trie is kept as its words in order: each is inserted where it leaves the branch of the one before, and
+the states of the branch that the walk is on are all that it needs.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, by_size, kept, rows
+from plumbline.llm._common import Recent, batched, by_size, kept, rows
 from plumbline.llm.bpe_model import BpeModel
 
-HELD = 200_000  # words, and stretches between blanks, whose encodings a worker keeps
-TRIE_LETTERS = 400_000  # letters of words in one trie, which bounds its memory
+HELD = 240_000  # stretches between blanks, and words, whose encodings a worker keeps at least
 
 
-def encode_words(model: BpeModel, words: Iterable[str]) -> dict[str, list[int]]:
-    """The ids of each word, by one depth-first walk over the trie of their letters."""
-    gc.disable()  # the trie has no cycles, and looking for some in its many nodes takes longer than all else
-    try:
-        return _walk(model, words)
-    finally:
-        gc.enable()
-
-
-def _walk(model: BpeModel, words: Iterable[str]) -> dict[str, list[int]]:
-    found: dict[str, list[int]] = {}
-    trie: dict = {}
-    path, before = [trie], ""
+def walk(model: BpeModel, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+    """(word, its tokens) of each word, depth first over the trie of their letters."""
+    lasts, states, before = [""], [""], ""
     for letters, word in sorted((model.letters(w), w) for w in words):
-        keep = 0
+        shared = 0
         for x, y in zip(before, letters, strict=False):
             if x != y:
                 break
-            keep += 1
-        del path[keep + 1 :]
-        for letter in letters[keep:]:
-            path[-1][letter] = child = {}
-            path.append(child)
-        path[-1][""] = word
+            shared += 1
+        del lasts[shared + 1 :], states[shared + 1 :]
+        model.extend(letters, lasts, states)
         before = letters
-    if "" in trie:
-        found[trie.pop("")] = []
-    whole, known, longest = model.whole, model._apart, model.longest
-    letters, lasts, starts = [], [""], [0]  # of the path to the node, the latter two by depth
-    stack = [(0, letter, child) for letter, child in trie.items()]
-    while stack:
-        depth, letter, node = stack.pop()
-        del letters[depth:], lasts[depth + 1 :], starts[depth + 1 :]
-        letters.append(letter)
-        base = max(0, depth + 1 - longest)
-        text = "".join(letters[base:])
-        for i in range(len(text)):
-            token = text[i:]
-            if token in whole:
-                if not base + i:
-                    break
-                pair = (lasts[base + i], token)
-                fits = known.get(pair)
-                if fits is None:
-                    fits = model.apart(*pair)
-                if fits:
-                    break
-        else:
-            raise ValueError(f"no token ends {text!r}")
-        lasts.append(token)
-        starts.append(base + i)
-        for next_letter, child in node.items():
-            if next_letter:
-                stack.append((depth + 1, next_letter, child))
-            else:
-                found[child] = _unwind(model, "".join(letters), lasts, starts)
-    return found
-
-
-def _unwind(model: BpeModel, text: str, lasts: list[str], starts: list[int]) -> list[int]:
-    """The ids from the last token back; a closing suffix has its own last token."""
-    end, ids = len(text), []
-    if model.suffix:
-        tail = text[-model.longest :]
-        i = model.last_start(tail, lasts, model.suffix, len(text) - len(tail))
-        ids.append(model.ids[text[i:] + model.suffix])
-        end = i
-    while end:
-        ids.append(model.ids[lasts[end]])
-        end = starts[end]
-    return ids[::-1]
+        n, tokens = len(letters), []
+        if n and model.suffix:
+            tokens.append(model.closing(n, lasts, states))
+            n -= len(tokens[0]) - len(model.suffix)
+        while n:
+            tokens.append(lasts[n])
+            n -= len(lasts[n])
+        yield word, tokens[::-1]
+
+
+def encode_words(model: BpeModel, words: Iterable[str]) -> dict[str, list[int]]:
+    """The ids of each word."""
+    return {word: [model.ids[t] for t in tokens] for word, tokens in walk(model, words)}
 
 
 class Codec:
@@ -104,37 +57,24 @@ class Codec:
         self.bytes_of: dict[bytes, bytes] = {}
         for token, i in [*self.model.ids.items(), *self.model.special.items()]:
             self.bytes_of[b"%d" % i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self._words: dict[str, bytes] = {}
-        self._first: dict[str, bytes] = {}  # stretches that begin a line
-        self._later: dict[str, bytes] = {}  # stretches after a blank
+        self.decimal = {token: b"%d" % i for token, i in self.model.ids.items()}
+        self._words: Recent[str, bytes] = Recent(HELD)
+        self._runs: Recent[str, bytes] = Recent(HELD)  # stretches after a blank, with it, and those that begin a line, without
         self.newline = b"%d" % self.model.ids[self.model.letters("\n")]
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Encode those words that aren't known yet, with a trie for some at a time."""
-        known = self._words
-        if len(known) > HELD:
-            known.clear()
-        group, size = [], 0
-        for w in {*words}.difference(known):
-            group.append(w)
-            size += len(w)
-            if size >= TRIE_LETTERS:
-                self._add(group)
-                group, size = [], 0
-        self._add(group)
-
-    def _add(self, words: list[str]) -> None:
-        for word, ids in encode_words(self.model, words).items():
-            self._words[word] = ",".join(map(str, ids)).encode()
+    def _learn(self, words: set[str]) -> None:
+        """Encode those words that aren't known yet."""
+        decimal = self.decimal.__getitem__
+        self._words.add({word: b",".join(map(decimal, tokens)) for word, tokens in walk(self.model, self._words.missing(words))})
 
     def _even(self, text: str) -> bytes:
         """The ids of an evenly spaced text whose stretches are all known."""
-        first, later = self._first, self._later
+        runs, blank = self._runs.young, " ".__add__
         out = []
         for line in text.split("\n"):
-            runs = iter(line.split(" "))
-            out.append(first[next(runs)])
-            out.extend(map(later.__getitem__, runs))
+            first, *later = line.split(" ")
+            out.append(runs[first])
+            out.extend(map(runs.__getitem__, map(blank, later)))
             out.append(self.newline)
         return b",".join(out[:-1])
 
@@ -144,24 +84,23 @@ class Codec:
         out: list[bytes] = []
         for group in by_size((0, t) for t in texts):
             parts = [[(part, special, not special and model.evenly_spaced(part)) for part, special in model.sections(t)] for _, t in group]
-            if len(self._later) + len(self._first) > HELD:
-                self._later.clear()
-                self._first.clear()
-            firsts, laters, rest = set(), set(), []
+            seen, rest = set(), []
             for each in parts:
                 for part, special, even in each:
                     if even:
                         for line in part.split("\n"):
-                            runs = line.split(" ")
-                            firsts.add(runs[0])
-                            laters.update(runs)
+                            first, *later = line.split(" ")
+                            seen.add(first)
+                            seen.update(map(" ".__add__, later))
                     elif not special:
                         rest.append(model.words(part))
-            cut = [(self._first, r, model.words(r)) for r in firsts.difference(self._first)] + [(self._later, r, model.words(" " + r)) for r in laters.difference(self._later)]
-            self._learn(w for words in (*(c[2] for c in cut), *rest) for w in words)
-            known = self._words
-            for held, run, words in cut:
-                held[run] = b",".join(map(known.__getitem__, words))
+            new = self._runs.missing(seen)
+            plain = [r for r in new if r.removeprefix(" ").isalpha()]  # a word by itself
+            cut = [(r, model.words(r)) for r in new.difference(plain)]
+            self._learn({w for words in (plain, *(c[1] for c in cut), *rest) for w in words})
+            known = self._words.young
+            self._runs.add({r: known[r] for r in plain})
+            self._runs.add({r: b",".join(map(known.__getitem__, words)) for r, words in cut})
             left = iter(rest)
             for each in parts:
                 coded = [b"%d" % model.special[part] if special else self._even(part) if even else b",".join(map(known.__getitem__, next(left))) for part, special, even in each]
@@ -182,7 +121,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     Ids are the tokenizers library's with ``add_special_tokens=False``; special strings inside a text are special tokens. Null
     counts as empty: no tokens, both digests those of the empty string. Repeated rows and null ids stay; other columns are not
-    looked at. One pass without a shuffle; memory is that of one trie, the kept words and 4 MB of text or one longer text.
+    looked at. One pass without a shuffle; memory is that of the kept words and of 4 MB of text or one longer text.
     """
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

@@ -46,7 +46,6 @@ class BpeModel:
         if len(self.parts) != len(pairs):
             raise ValueError("a token of this vocabulary has two derivations")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.longest = max(len(t.removesuffix(self.suffix) if self.suffix else t) for t in self.ids)
         self.letters_of_bytes = byte_letters()
         self._letters = dict(enumerate(self.letters_of_bytes))
         self._apart: dict[tuple[str, str], bool] = {}
@@ -54,6 +53,7 @@ class BpeModel:
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self._library = Tokenizer.from_file(path)
         self.whole = self._self_encoding()
+        self.heads = self._heads()
         self.lower = spec["normalizer"] is not None
         self._word = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -139,22 +139,52 @@ class BpeModel:
                 good.add(pair[0] + pair[1])
         return frozenset(good)
 
-    def last_start(self, text: str, lasts: list[str], end: str = "", base: int = 0) -> int:
-        """Where the last token of the encoding of a word's prefix, and ``end``, starts.
+    def _heads(self) -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
+        """For each beginning of a token: the tokens that it ends with, longest first, and those that it and the suffix end with.
 
-        ``text`` is the prefix from letter ``base`` on, as much as the longest token needs. ``lasts[i]`` is the last token of the
-        prefix of i letters, for all shorter prefixes (``lasts[0]`` is empty). There is one answer, so the order of search is free.
+        These are the states of a walk over a word's letters: what can still become a token is the longest end of the letters so far that
+        is such a beginning, so a letter more is looked up among these alone.
         """
-        whole, known = self.whole, self._apart
-        for i in range(max(0, len(text) - self.longest), len(text)):
-            token = text[i:] + end
-            if token in whole:
-                if base + i == 0:
-                    return 0
-                pair = (lasts[base + i], token)
+        n = len(self.suffix)
+        closed = {t[:-n] for t in self.whole if t.endswith(self.suffix)} if n else set()
+        opened = {t for t in self.whole if not n or not t.endswith(self.suffix)}
+        heads = {t[:i] for t in (*opened, *closed) for i in range(len(t) + 1)}
+        ends = lambda head, held: [head[i:] for i in range(len(head)) if head[i:] in held]
+        return {h: (tuple(ends(h, opened)), tuple(t + self.suffix for t in ends(h, closed)) if n else ()) for h in heads}
+
+    def extend(self, letters: str, lasts: list[str], states: list[str]) -> None:
+        """Carry on along a word: ``lasts[i]`` is the last token of the encoding of its first i letters, ``states[i]`` their state.
+
+        Both lists hold the letters that are known, from none (two empty strings) on, and are extended by the others. A prefix has one last
+        token: the one that stands apart from the last token of what is before it.
+        """
+        heads, known = self.heads, self._apart
+        state = states[-1]
+        for depth in range(len(lasts), len(letters) + 1):
+            state += letters[depth - 1]
+            while (ends := heads.get(state)) is None:
+                state = state[1:]
+            for token in ends[0]:
+                start = depth - len(token)
+                if not start:
+                    break
+                pair = (lasts[start], token)
                 fits = known.get(pair)
                 if fits is None:
                     fits = self.apart(*pair)
                 if fits:
-                    return base + i
-        raise ValueError(f"no token ends {text!r}")
+                    break
+            else:
+                raise ValueError(f"no token ends {letters[:depth]!r}")
+            lasts.append(token)
+            states.append(state)
+
+    def closing(self, n: int, lasts: list[str], states: list[str]) -> str:
+        """The last token of the first n letters as a whole word; of vocabularies with a suffix it has that, too."""
+        if not self.suffix:
+            return lasts[n]
+        for token in self.heads[states[n]][1]:
+            start = n + len(self.suffix) - len(token)
+            if not start or self.apart(lasts[start], token):
+                return token
+        raise ValueError(f"no token ends a word of {n} letters")

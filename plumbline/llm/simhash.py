@@ -11,7 +11,7 @@ the longer chains are then checked one after the other before the whole Hamming
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import islice
 
@@ -65,9 +65,14 @@ def shingle_hashes(data: bytes, words: int, hasher=_H64) -> Iterator[np.ndarray]
 
 def fingerprint(data: bytes, words: int = 3) -> int:
     """The 64-bit SimHash of a text's bytes as a signed integer; zero where there is no word."""
+    return of_hashes(shingle_hashes(data, words))
+
+
+def of_hashes(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of unsigned 64-bit hashes."""
     ones = np.zeros(BITS, np.int64)
     n = 0
-    for hashes in shingle_hashes(data, words):
+    for hashes in parts:
         n += len(hashes)
         for i in range(0, len(hashes), 4096):
             bits = np.unpackbits(hashes[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

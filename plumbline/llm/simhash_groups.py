@@ -1,110 +1,65 @@
-"""Near-duplicate groups by similarity of five-word shingles, for thresholds that are too wide for a short fingerprint.
+"""Near-duplicate groups by similarity of five-word shingles, for thresholds that are too wide for a 64-bit fingerprint alone.
 
-``groups`` is exact: texts whose shingle sets have a Jaccard similarity of ``LEAST`` or more are linked. In any one order of all shingles two such
-sets share one among the first few of each (prefix filtering), so these are the keys of an equi-join; the order puts shingles that a
-sample finds often last, which only saves work. Candidates are held against each other by their whole sets.
-
-``links`` does the same for wide SimHashes, one of the different words and one of the shingles: candidates share a segment of the
-first, and both whole distances decide.
+SimHash goes first: fingerprints within two bits are linked by pigeonring chains, as in ``simhash``, and the links whose whole shingle sets are
+similar enough join most copies cheaply. Two texts at the threshold may be some twenty bits apart, where no chain tells them from strangers; what is
+left is therefore found by prefix filtering, which is exact: in any one order of all shingles two sets with a Jaccard similarity of ``LEAST`` or more share
+one among the first few of each, so these are the keys of an equi-join between groups that aren't one yet. The order puts shingles that a
+sample finds often last, which only saves work. Candidates of either kind are held against each other by their whole sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, materialize, rows, text_bytes
+from plumbline.llm import simhash
+from plumbline.llm._common import batched, fresh, materialize, rows, text_bytes
+from plumbline.llm.simhash import shingle_hashes
 from plumbline.operators.components import connected_components
-from plumbline.llm.simhash import _word_chunks, shingle_hashes
 
-SEGMENTS, WIDTH = 16, 24  # of the word fingerprint
-SHINGLE_LONGS = 8  # 512 bits of the shingle fingerprint
-WORD_BUDGET = 64  # differing bits of 384
-SHINGLE_BUDGET = 90  # differing bits of 512: at a similarity of 0.8 some 78 are expected, with a deviation of 8
 LEAST = 800  # thousandths of Jaccard similarity
 COMMON = 200_000  # shingles, at most, that are known to be frequent and come last in the order
 SALT = 512  # rows of a bucket that one task holds against all of it
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _spread(hashes: np.ndarray, longs: int) -> np.ndarray:
-    """``longs`` independent 64-bit hashes from each one, by counter and mixing."""
-    h = hashes[:, None] + _STEP * np.arange(1, longs + 1, dtype=np.uint64)
-    h ^= h >> np.uint64(30)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
 
-class _Votes:
-    """Counts of set bits; the fingerprint has those set in more than half of the hashes."""
 
-    def __init__(self, longs: int):
-        self.longs, self.n, self.ones = longs, 0, np.zeros(64 * longs, np.int64)
+def _rooted(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """``held`` with ``root``: the node's component, itself where it has no link."""
+    found = roots.select(F.col("node").alias("member"), F.col("root").alias("found"))
+    return held.join(found, F.col("node") == F.col("member"), "left").withColumn("root", F.coalesce("found", "node")).drop("member", "found")
 
-    def add(self, hashes: np.ndarray) -> None:
-        self.n += len(hashes)
-        for i in range(0, len(hashes), 2048):
-            bits = np.unpackbits(_spread(hashes[i : i + 2048], self.longs).view(np.uint8), axis=1)
-            self.ones += bits.sum(axis=0, dtype=np.uint16)
 
-    def bytes(self) -> bytes:
-        return np.packbits(2 * self.ones > self.n).tobytes()
+def _search(held: DataFrame, close: Callable[[DataFrame], DataFrame], may: Column, edges: DataFrame, most: int, outsiders: int) -> DataFrame:
+    """``edges`` with more, so that the components are those of all pairs that share a bucket, ``may`` be close and are.
 
-
-def signatures(data: bytes, words: int = 5) -> tuple[list[int], list[int]]:
-    """(segments of the word fingerprint, longs of the shingle fingerprint) of a text's bytes."""
-    grams, single = _Votes(SHINGLE_LONGS), _Votes(SEGMENTS * WIDTH // 64)
-    for hashes in shingle_hashes(data, words):
-        grams.add(hashes)
-    seen: set[int] = set()
-    for chunk in _word_chunks(data.lower()):
-        new = {xxhash.xxh64_intdigest(w) for w in set(chunk)} - seen
-        seen |= new
-        held = iter(new)
-        while some := list(islice(held, 4096)):
-            single.add(np.array(some, np.uint64))
-    ring = single.bytes()
-    step = WIDTH // 8
-    return [int.from_bytes(ring[i : i + step]) for i in range(0, len(ring), step)], np.frombuffer(grams.bytes(), np.int64).tolist()
-
-
-def _search(held: DataFrame, close: Callable[[DataFrame], DataFrame], may: Column, most: int, outsiders: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs that share a bucket, ``may`` be close and are.
-
-    ``held`` has (node, bucket, at); ``may`` looks at ``at_a`` and ``at_b``, ``close`` takes distinct candidates (a, b). Of a bucket of up
-    to ``most`` nodes all pairs are tried. In a fuller one each node is first tried with some hubs; then, as only components count, with all
-    nodes of other components: first in buckets with up to ``outsiders`` nodes outside the largest component, then in all that are left.
+    ``held`` has (node, root, bucket, at), the root being that of ``edges``; ``may`` looks at ``at_a`` and ``at_b``, ``close`` takes distinct candidates
+    (a, b). As only components count, pairs within one aren't tried. Of a bucket of up to ``most`` nodes all others are. In a fuller one each
+    node is first tried with some hubs; then with all nodes of other components: first in buckets with up to ``outsiders`` nodes outside the largest
+    component, then in all that are left.
     """
     hubs = [F.min("node"), F.max("node"), *(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(4))]
-    load = held.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs")).where("n > 1")
+    load = held.groupBy("bucket").agg(F.count("*").alias("n"), F.array_distinct(F.array(*hubs)).alias("hubs"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").drop("lo", "hi")
     shared = materialize(held.join(load, "bucket"), "shared-buckets")
 
     def tried(one: DataFrame, two: DataFrame, on: list[str], where: str) -> DataFrame:
         one = one.withColumnsRenamed({"node": "node_a", "at": "at_a", "root": "root_a"})
         two = two.withColumnsRenamed({"node": "node_b", "at": "at_b", "root": "root_b"})
-        found = one.join(two, on).where(where).where(may)
+        found = one.join(two, on).where(where).where("root_a <> root_b").where(may)
         return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
-    few = shared.where(F.col("n") <= most).select("bucket", "node", "at")
-    full = shared.where(F.col("n") > most)
+    parts = ("bucket", "node", "root", "at")
+    few, full = shared.where(F.col("n") <= most).select(*parts), shared.where(F.col("n") > most)
     first = tried(few, few, ["bucket"], "node_a < node_b")
-    centres = full.where(F.array_contains("hubs", F.col("node"))).select("bucket", "node", "at")
-    edges = close(first.unionByName(tried(full.select("bucket", "node", "at"), centres, ["bucket"], "node_a <> node_b")).distinct())
+    centres = full.where(F.array_contains("hubs", F.col("node"))).select(*parts)
+    edges = edges.unionByName(close(first.unionByName(tried(full.select(*parts), centres, ["bucket"], "node_a <> node_b")).distinct()))
     if full.isEmpty():
         return edges
     for limit in (outsiders, None):
-        roots = connected_components(edges).withColumnRenamed("node", "member")
-        crowd = full.join(roots, F.col("node") == F.col("member"), "left").select("bucket", "node", "at", "n", F.coalesce("root", "node").alias("root"))
-        crowd = materialize(crowd, "crowd")
+        crowd = materialize(_rooted(full.drop("root", "hubs"), connected_components(edges)), "crowd")
         parts = crowd.groupBy("bucket", "root").agg(F.count("*").alias("m"))
         parts = parts.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
         crowd = materialize(crowd.join(parts if limit is None else parts.where(F.col("outside") <= limit), "bucket"), "mixed-crowd")
@@ -113,23 +68,10 @@ def _search(held: DataFrame, close: Callable[[DataFrame], DataFrame], may: Colum
         salts = F.ceil(F.col("n") / SALT).cast("int")
         one = crowd.where("root <> main").select("bucket", "node", "at", "root", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
         two = crowd.select("bucket", "node", "at", "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        edges = edges.unionByName(close(tried(one, two, ["bucket", "salt"], "root_a <> root_b").distinct()))
+        edges = edges.unionByName(close(tried(one, two, ["bucket", "salt"], "node_a <> node_b").distinct()))
     return edges
 
 
-def links(nodes: DataFrame, most: int = 32, outsiders: int = 8) -> DataFrame:
-    """Edges (a, b) between nodes (node, ring, grams) whose components are those of all pairs that share a segment and pass both whole distances."""
-    held = nodes.select("node", F.posexplode("ring").alias("start", "key")).select("node", F.xxhash64("start", "key").alias("bucket"), F.lit(0).alias("at"))
-    differ = lambda c: F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
-
-    def close(pairs: DataFrame) -> DataFrame:
-        one = nodes.select(F.col("node").alias("a"), F.col("ring").alias("ring_a"), F.col("grams").alias("grams_a"))
-        two = nodes.select(F.col("node").alias("b"), F.col("ring").alias("ring_b"), F.col("grams").alias("grams_b"))
-        return materialize(pairs.join(one, "a").join(two, "b").where((differ("ring") <= WORD_BUDGET) & (differ("grams") <= SHINGLE_BUDGET)).select("a", "b"), "near-nodes")
-
-    return _search(materialize(held, "segment-keys"), close, F.lit(True), most, outsiders)
-
-
 def shingle_set(data: bytes, words: int = 5) -> np.ndarray:
     """The different shingle hashes of a text's bytes, ascending."""
     held = np.zeros(0, np.uint64)
@@ -167,15 +109,24 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], n[order]
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) among nodes (node, fp): those of fingerprints within two bits, found by pigeonring chains, and those of one fingerprint by its least node."""
+    least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
+    one, two = (least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")) for c in "ab")
+    apart = simhash.links(least.select("fp")).join(one, "a").join(two, "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    same = nodes.join(least.where("n > 1").select("fp", "least"), "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return apart.unionByName(same)
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most: int = 32, outsiders: int = 8) -> DataFrame:
     """(id, group) for every row: the group is the smallest id of the near copies that a row reaches.
 
     Rows of equal shingle sets are one node, so exact copies make no pairs. Null and empty texts are copies of each other. Rows with equal ids
-    are one document; null ids get no group. Other columns are not looked at.
+    are one document; null ids get no group. An empty table gives an empty result. Other columns are not looked at.
     """
     held = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(held, words))
-    signs = pa.schema([("id", pa.int64()), ("sign", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    signs = pa.schema([("id", pa.int64()), ("sign", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
     sets = pa.schema([("node", pa.int64()), ("sign", pa.binary()), ("held", pa.list_(pa.int64()))])
     sign = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -183,21 +134,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         def each():
             for i, b in rows(batches, "id", "data"):
                 s = shingle_set(b, words)
-                yield i, sign(s), len(s), prefix(s, *frequent.value).view(np.int64)
+                yield i, sign(s), len(s), simhash.of_hashes([s]), prefix(s, *frequent.value).view(np.int64)
 
         return batched(signs, each(), 512)
 
     def whole(batches):
         return batched(sets, ((i, sign(s), s.view(np.int64)) for i, b in rows(batches, "id", "data") for s in [shingle_set(b, words)]), 512)
 
-    each = materialize(held.mapInArrow(keyed, "id long, sign binary, size long, keys array<long>"), "signatures")
-    nodes = each.where("id is not null").groupBy("sign").agg(F.min("id").alias("node"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
-    nodes = materialize(nodes, "signature-nodes")
+    each = materialize(held.mapInArrow(keyed, "id long, sign binary, size long, fp long, keys array<long>"), "signatures")
+    own = [F.any_value(c).alias(c) for c in ("size", "fp", "keys")]
+    nodes = materialize(each.where("id is not null").groupBy("sign").agg(F.min("id").alias("node"), *own), "signature-nodes")
+    alike = materialize(_by_fingerprint(nodes.select("node", "fp")), "alike")
     at = F.struct("size", (F.col("size") - F.col("pos")).alias("left"))
     keys = materialize(nodes.select("node", "size", F.posexplode("keys").alias("pos", "bucket")).select("node", "bucket", at.alias("at")), "prefix-keys")
     few = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     keys = materialize(keys.join(few, "bucket", "left_semi"), "shared-keys")
-    wanted = keys.select(F.col("node").alias("id")).distinct()
+    wanted = keys.select(F.col("node").alias("id")).unionByName(alike.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
     full = materialize(held.join(wanted, "id", "left_semi").mapInArrow(whole, "node long, sign binary, held array<long>").dropDuplicates(["node", "sign"]).select("node", "held"), "shingle-sets")
     # what two sets share is at most what is left of the smaller from their first shared shingle on
     may = F.least("at_a.left", "at_b.left") * (1000 + LEAST) >= LEAST * (F.col("at_a.size") + F.col("at_b.size"))
@@ -208,15 +160,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("held_a") + F.size("held_b")).alias("sum"))
         return materialize(found.where(F.col("both") * 1000 >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b").distinct(), "near-nodes")
 
-    roots = connected_components(_search(keys, close, may, 32, 8))
-    named = nodes.select("sign", "node").join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("sign").alias("s"), F.coalesce("root", "node").alias("group"))
+    edges = close(alike)
+    keys = _rooted(keys, materialize(connected_components(edges), "alike-roots"))
+    roots = connected_components(_search(keys, close, may, edges, most, outsiders))
+    named = _rooted(nodes.select("sign", "node"), roots).select(F.col("sign").alias("s"), F.col("root").alias("group"))
     return each.select("id", "sign").join(named, F.col("sign") == F.col("s"), "left").select("id", F.when(F.col("id").isNotNull(), F.col("group")).alias("group"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is that of their group, the smallest; rows with null ids stay.
 
-    What goes is a table of ids, written, so its size is known: it is broadcast where it is small, else joined.
+    Of rows with null and empty texts, which are copies of each other, the first stays; rows with equal ids stay or go together; an empty table stays
+    empty; no name of another column clashes. What goes is a table of ids, written, so its size is known: it is broadcast where it is small, else joined.
     """
-    gone = materialize(groups(docs, id_col, text_col, words).where(F.col("id") != F.col("group")).select(F.col("id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone_id"), "left_anti")
+    name = fresh("gone", docs.columns)
+    gone = materialize(groups(docs, id_col, text_col, words).where(F.col("id") != F.col("group")).select(F.col("id").alias(name)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

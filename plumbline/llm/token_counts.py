@@ -15,32 +15,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, by_size, kept, rows
+from plumbline.llm._common import Recent, batched, by_size, kept, rows
 from plumbline.llm.bpe_model import BpeModel
 
-HELD = 800_000  # words, and stretches between blanks, whose counts a worker keeps
+HELD = 300_000  # words, and stretches between blanks, whose counts a worker keeps at least
 _SPLIT_IN_PREFIX = ("'r", "'v", "'l")  # a cut contraction is two words, not one
 
 
+def _row(opened: list[int], lasts: list[str]) -> None:
+    """Carry the row of counts on to all prefixes whose last token is known: one more than the prefix before that token has."""
+    for n in range(len(opened), len(lasts)):
+        opened.append(opened[n - len(lasts[n])] + 1)
+
+
+def _whole(model: BpeModel, n: int, opened: list[int], lasts: list[str], states: list[str]) -> int:
+    """The number of tokens of the first n letters as a word of their own."""
+    if not n or not model.suffix:
+        return opened[n]
+    return opened[n + len(model.suffix) - len(model.closing(n, lasts, states))] + 1
+
+
 def prefix_counts(model: BpeModel, letters: str) -> list[int]:
     """``counts[n]`` is the number of tokens of the word's first n letters, taken as a word of their own."""
-    opened, closed, lasts = [0], [0], [""]
-    for n in range(1, len(letters) + 1):
-        base = max(0, n - model.longest)
-        text = letters[base:n]
-        if model.suffix:
-            closed.append(opened[model.last_start(text, lasts, model.suffix, base)] + 1)
-        i = model.last_start(text, lasts, base=base)
-        lasts.append(letters[i:n])
-        opened.append(opened[i] + 1)
-    return closed if model.suffix else opened
+    opened, lasts, states = [0], [""], [""]
+    model.extend(letters, lasts, states)
+    _row(opened, lasts)
+    return [_whole(model, n, opened, lasts, states) for n in range(len(letters) + 1)]
 
 
 def word_counts(model: BpeModel, words: Iterable[str]) -> dict[str, int]:
     """The number of tokens of each word. In sorted order a word keeps the rows of the letters it begins with like the one before."""
     found: dict[str, int] = {}
-    before = ""
-    lasts, opened = [""], [0]
+    opened, lasts, states, before = [0], [""], [""], ""
     for letters, word in sorted((model.letters(w), w) for w in words):
         if letters + model.suffix in model.whole:
             found[word] = 1
@@ -50,16 +56,11 @@ def word_counts(model: BpeModel, words: Iterable[str]) -> dict[str, int]:
             if x != y:
                 break
             keep += 1
-        keep = min(keep, len(opened) - 1)
-        del lasts[keep + 1 :], opened[keep + 1 :]
-        for n in range(keep + 1, len(letters) + (not model.suffix)):
-            base = max(0, n - model.longest)
-            i = model.last_start(letters[base:n], lasts, base=base)
-            lasts.append(letters[i:n])
-            opened.append(opened[i] + 1)
+        del opened[keep + 1 :], lasts[keep + 1 :], states[keep + 1 :]
+        model.extend(letters, lasts, states)
+        _row(opened, lasts)
         before = letters
-        base = max(0, len(letters) - model.longest)
-        found[word] = opened[model.last_start(letters[base:], lasts, model.suffix, base)] + 1 if model.suffix else opened[-1]
+        found[word] = _whole(model, len(letters), opened, lasts, states)
     return found
 
 
@@ -68,17 +69,15 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.model = BpeModel(path)
-        self._words: dict[str, int] = {}
-        self._runs: dict[str, int] = {}
+        self._words: Recent[str, int] = Recent(HELD)
+        self._runs: Recent[str, int] = Recent(HELD)
 
     def of_words(self, words: list[str]) -> list[int]:
-        self._learn(words)
-        return [self._words[w] for w in words]
+        self._learn({*words})
+        return [self._words.young[w] for w in words]
 
-    def _learn(self, words: Iterable[str]) -> None:
-        if len(self._words) > HELD:
-            self._words.clear()
-        self._words.update(word_counts(self.model, {*words}.difference(self._words)))
+    def _learn(self, words: set[str]) -> None:
+        self._words.add(word_counts(self.model, self._words.missing(words)))
 
     def _by_runs(self, text: str) -> bool:
         """Whether stretches between white space can be counted by themselves: words never reach over it."""
@@ -88,8 +87,6 @@ class TokenCounter:
         """The number of tokens of each text. What isn't known yet of all texts is learnt together."""
         model = self.model
         parts = [[(part, special, not special and self._by_runs(part)) for part, special in model.sections(t)] for t in texts]
-        if len(self._runs) > HELD:
-            self._runs.clear()
         runs, rest = set(), []
         for each in parts:
             for part, special, by_runs in each:
@@ -97,11 +94,11 @@ class TokenCounter:
                     runs.update(part.split())
                 elif not special:
                     rest.append(model.words(part))
-        cut = [(r, model.words(r)) for r in runs.difference(self._runs)]
-        self._learn(w for words in (*(c[1] for c in cut), *rest) for w in words)
-        known = self._words.__getitem__
-        self._runs.update((r, sum(map(known, words))) for r, words in cut)
-        known_runs, left, out = self._runs.__getitem__, iter(rest), []
+        cut = [(r, model.words(r)) for r in self._runs.missing(runs)]
+        self._learn({w for words in (*(c[1] for c in cut), *rest) for w in words})
+        known = self._words.young.__getitem__
+        self._runs.add({r: sum(map(known, words)) for r, words in cut})
+        known_runs, left, out = self._runs.young.__getitem__, iter(rest), []
         for each in parts:
             out.append(sum(1 if special else sum(map(known_runs, part.split())) if by_runs else sum(map(known, next(left))) for part, special, by_runs in each))
         return out

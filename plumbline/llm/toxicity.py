@@ -1,45 +1,65 @@
 """Toxicity scores from subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of itself and its character n-grams, each hashed to a row of an embedding table; a text's vector is the average over
-its words, and two softmax outputs read it. Table and outputs are trained together in numpy, by AdaGrad on the cross entropy. Words never
-seen in training share n-gram vectors with their spellings that were.
+its words, and two softmax outputs read it. Table and outputs are trained together in numpy, by gradient descent on the cross entropy in small
+batches, with a step that falls in a straight line. Words never seen in training share n-gram vectors with their spellings that were.
 
-The hidden layer being linear, all that training needs of a table row is its product with the outputs' difference, and a
-row's gradient is a number times that difference: batches move numbers, not vectors, with the very same updates.
+Labelled texts become bags in the tasks that read them; one task trains on the bags of a bounded sample and returns the model. The hidden
+layer being linear, a score needs of each table row only its product with the outputs' difference, so that is what the model keeps.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import column_of, kept
+from plumbline.llm._common import Recent, batched, columns_of, kept, materialize, rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
-HELD = 200_000  # stretches whose sums a worker keeps
-SAMPLE = {1: 1500, 0: 3500}  # labelled rows to fit on, by label
-LONGEST = 200_000  # code points of a text to fit on; longer ones are scored, not fitted on
+HELD = 100_000  # stretches whose sums a worker keeps at least
+SAMPLE = {1: 1500, 0: 3500}  # labelled rows to fit on, by label, at most
+POSTINGS = 30_000_000  # table rows of all bags to fit on, at most: 240 MB in one task
 RARE = 4  # texts of the sample that a table row must occur in to be fitted
 COMMON = 0.05  # share of texts at which a row's weight has fallen to half
 SCALE = 40.0  # what the average is multiplied by before the softmax
-
-
-def grams(word: str) -> list[int]:
-    """The table rows of a word: its own and those of its n-grams with the ends marked."""
-    marked = f"<{word}>"
-    out = [zlib.crc32(marked.encode()) % BUCKETS]
+_PRIME = np.uint64(0x100000001B3)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _rows(sums: np.ndarray, kind: int) -> np.ndarray:
+    """Table rows from polynomial sums of code points; ``kind`` tells n-grams of different lengths apart."""
+    h = (sums + np.uint64(kind)) * _MIX
+    return ((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32)
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(table rows, the position in ``words`` that each belongs to): a word's own row, and those of its n-grams with the ends marked."""
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(codes)) - starts[owner]
+    powers = np.full(int(sizes.max()), _PRIME)
+    powers[0] = 1
+    found, owners = [_rows(np.add.reduceat(codes * np.cumprod(powers)[place], starts), 0)], [np.arange(len(words))]
     for n in GRAMS:
-        out += [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for i in range(len(marked) - n + 1)]
-    return out
+        at = np.flatnonzero(place + n <= sizes[owner])
+        sums = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            sums = sums * _PRIME + codes[at + k]
+        found.append(_rows(sums, n))
+        owners.append(owner[at])
+    return np.concatenate(found), np.concatenate(owners)
 
 
 def words_of(text: str) -> list[str]:
@@ -47,120 +67,113 @@ def words_of(text: str) -> list[str]:
     return [w for run in dict.fromkeys(text.lower().split()) for w in WORD.findall(run)]
 
 
-class Bags:
-    """Texts as bags of table rows: each text's different rows with the share of its average that they get."""
-
-    def __init__(self, texts: Iterable[str]):
-        of_word: dict[str, np.ndarray] = {}
-        self.rows: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
-        for text in texts:
-            words = words_of(text)
-            for w in words:
-                if w not in of_word:
-                    of_word[w] = np.array(grams(w), np.int32)
-            if not words:
-                self.rows.append(np.empty(0, np.int32))
-                self.weights.append(np.empty(0, np.float32))
-                continue
-            parts = [of_word[w] for w in words]
-            row, back = np.unique(np.concatenate(parts), return_inverse=True)
-            share = np.repeat([1.0 / len(x) for x in parts], [len(x) for x in parts]) / len(words)
-            self.rows.append(row)
-            self.weights.append(np.bincount(back, share, len(row)).astype(np.float32))
-
-    def spread(self) -> np.ndarray:
-        """The number of texts that each table row occurs in."""
-        return np.bincount(np.concatenate(self.rows) if self.rows else np.empty(0, np.int32), minlength=BUCKETS)
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different table rows of a text and the share of its average that each gets."""
+    row, owner = grams(words := words_of(text))
+    share = 1.0 / np.bincount(owner, minlength=1)[owner] / max(len(words), 1)
+    row, back = np.unique(row, return_inverse=True)
+    return row, np.bincount(back, share, len(row)).astype(np.float32)
 
 
 class Model:
-    """A fitted scorer: one number for each table row, and a bias. Its size is fixed, whatever it was fitted on."""
+    """A fitted scorer: a weight and a number for each table row, and a bias. Its size is fixed, whatever it was fitted on."""
 
     def __init__(self, weigh: np.ndarray, table: np.ndarray, bias: float):
         self.weigh, self.table, self.bias = weigh.astype(np.float32), table.astype(np.float32), float(bias)
 
-    def _sum(self, run: str, values: list[complex]) -> complex:
-        """The sum of a stretch's weighted row values, and, as imaginary part, of their weights."""
-        total = 0j
-        for w in WORD.findall(run):
-            g = grams(w)
-            total += sum(map(values.__getitem__, g)) / len(g)
-        return total
+    def _sums(self, runs: list[str]) -> dict[str, complex]:
+        """For each stretch the sum over its words of their averaged row values, and, as imaginary part, of the rows' weights."""
+        words, home = [], []
+        for i, run in enumerate(runs):
+            held = WORD.findall(run)
+            words += held
+            home += [i] * len(held)
+        row, owner = grams(words)
+        size = np.bincount(owner, minlength=len(words))
+        weigh = self.weigh[row].astype(float)
+        parts = [np.bincount(np.array(home, np.int64), np.bincount(owner, v, len(words)) / size, len(runs)) for v in (weigh * self.table[row], weigh)] if words else np.zeros((2, len(runs)))
+        return dict(zip(runs, (parts[0] + 1j * parts[1]).tolist(), strict=True))
+
+    def scores(self, texts: list[str]) -> list[float]:
+        """The probability of label 1 of each text; of a text without words, that of the bias."""
+        known = kept(self, lambda: Recent(HELD))
+        runs = [dict.fromkeys(t.lower().split()) for t in texts]  # in their order, so that equal texts get equal sums
+        new = known.missing({r for each in runs for r in each})
+        known.add(self._sums(sorted(new)))
+        sums = [sum(map(known.young.__getitem__, each), 0j) for each in runs]
+        z = [self.bias + (SCALE * s.real / s.imag if s.imag else 0.0) for s in sums]
+        return (1.0 / (1.0 + np.exp(-np.clip(z, -500.0, 500.0)))).tolist()
 
     def score(self, text: str) -> float:
-        """The probability of label 1; of a text without words, that of the bias."""
-        values, known = kept(self, lambda: ((self.weigh * (self.table + 1j)).tolist(), {}))
-        if len(known) > HELD:
-            known.clear()
-        both = 0j
-        for run in dict.fromkeys(text.lower().split()):  # in their order, so that equal texts get equal sums
-            value = known.get(run)
-            if value is None:
-                value = known[run] = self._sum(run, values)
-            both += value
-        z = self.bias + (SCALE * both.real / both.imag if both.imag else 0.0)
-        return float(1.0 / (1.0 + np.exp(-min(max(z, -500.0), 500.0))))
-
-
-def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 15, batch: int = 32, rate: float = 0.3, seed: int = 5) -> Model:
-    """Fit table and outputs on labelled texts. ``prior`` is the share of label 1 among all labelled rows, which the sample's may not be."""
+        return self.scores([text])[0]
+
+
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float, updates: int = 2500, batch: int = 32, rate: float = 0.3, seed: int = 5) -> Model:
+    """Fit table and outputs on labelled bags, which are used up. ``prior`` is the share of label 1 among all labelled rows, which the sample's may not be."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 0.001), 0.999)
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), np.log(share / (1 - share)))
-    bags, rng = Bags(texts), np.random.default_rng(seed)
+    rng = np.random.default_rng(seed)
     # A row that hardly occurs can only remember its text, and one that occurs everywhere says little: the average is weighted.
-    spread = bags.spread()
-    weigh = np.where(spread >= RARE, COMMON / (COMMON + spread / len(texts)), 0.0).astype(np.float32)
-    rows_, weights = bags.rows, bags.weights
-    for i, (row, share) in enumerate(zip(rows_, weights, strict=True)):
+    spread = np.zeros(BUCKETS, np.int64)
+    for row, _ in bags:
+        spread[row] += 1
+    weigh = np.where(spread >= RARE, COMMON / (COMMON + spread / len(bags)), 0.0).astype(np.float32)
+    for i, (row, share) in enumerate(bags):
         w = share * weigh[row]
-        rows_[i] = row[w > 0]
-        weights[i] = (w[w > 0] / max(float(w.sum()), 1e-12)).astype(np.float32)
+        bags[i] = row[w > 0], (w[w > 0] / max(float(w.sum()), 1e-12)).astype(np.float32)
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 1, DIM).astype(np.float32)  # the difference of the two softmax outputs
     out /= np.linalg.norm(out)
     table -= np.outer(table @ out, out)  # no row says anything yet
     share = float(y.mean())
     bias = np.log(share / (1 - share))
-    docs = np.flatnonzero([len(r) > 0 for r in rows_])
-    for epoch in range(epochs):
-        rng.shuffle(docs)
-        step = rate * (1 - epoch / epochs)
-        for at in range(0, len(docs), batch):
-            some = docs[at : at + batch]
-            row = np.concatenate([rows_[d] for d in some])
-            place = np.repeat(np.arange(len(some)), [len(rows_[d]) for d in some])
-            weight = np.concatenate([weights[d] for d in some])
-            z = bias + SCALE * np.bincount(place, weight * (table[row] @ out), len(some))
-            error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[some]).astype(np.float32)
-            pull = np.bincount(row, weight * error[place], BUCKETS).astype(np.float32) * SCALE
-            used = np.flatnonzero(pull)
-            grad_out = pull[used] @ table[used]
-            table[used] -= np.outer(step * pull[used], out)
-            out -= 0.01 * step * grad_out
-            bias -= 0.01 * step * float(error.sum())
+    docs = np.flatnonzero([len(row) > 0 for row, _ in bags])
+    order = np.concatenate([rng.permutation(docs) for _ in range(-(-updates * batch // max(len(docs), 1)))]) if len(docs) else docs
+    for n in range(updates if len(docs) else 0):
+        step = rate * (1 - n / updates)
+        some = order[n * batch : (n + 1) * batch]
+        row = np.concatenate([bags[d][0] for d in some])
+        place = np.repeat(np.arange(len(some)), [len(bags[d][0]) for d in some])
+        weight = np.concatenate([bags[d][1] for d in some])
+        z = bias + SCALE * np.bincount(place, weight * (table[row] @ out), len(some))
+        error = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[some]).astype(np.float32)
+        pull = np.bincount(row, weight * error[place], BUCKETS).astype(np.float32) * SCALE
+        used = np.flatnonzero(pull)
+        grad_out = pull[used] @ table[used]
+        table[used] -= np.outer(step * pull[used], out)
+        out -= 0.01 * step * grad_out
+        bias -= 0.01 * step * float(error.sum())
     prior = min(max(prior, 0.001), 0.999)
     return Model(weigh, table @ out, bias + np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id: str, sample: dict[int, int]) -> tuple[list[str], list[int], float]:
-    """Texts, labels and the share of label 1 of a bounded sample of the labelled rows outside the held-out quarter.
+def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id: str, sample: dict[int, int], postings: int) -> tuple[DataFrame, float]:
+    """(id, label, rows, shares) of a bounded sample of the labelled rows outside the held-out quarter, and the share of label 1 among all of these.
 
-    Rows are chosen by a hash of their id; an id labelled twice counts as its larger label; null ids and labels are left out.
+    Rows are chosen by a hash of their id, as many of a label as ``sample`` says, and of those as many as have ``postings`` table rows together.
+    An id labelled twice counts as its larger label; null ids and labels, and labels without a document, are left out.
     """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels.where(F.col(label_id).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(label_id).cast("long").alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    known = known.where(~held_out(F.col("label_id")))
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().where("label in (0, 1)").collect()}
-    chosen = None
+    known = known.where(~held_out(F.col("label_id")) & F.col("label").isin(0, 1)).join(texts.select(F.col("id").alias("label_id")), "label_id", "left_semi")
+    known = materialize(known, "labelled")
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    chosen = known.limit(0)
     for label, n in sample.items():
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(n)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= LONGEST)
+        chosen = chosen.unionByName(known.where(F.col("label") == label).orderBy(F.xxhash64("label_id"), "label_id").limit(n))
     picked = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))  # at most sum(sample) ids and labels
-    got = picked.groupBy("id", "label").agg(F.min("text").alias("text")).orderBy("id").select("text", "label").collect()
-    return [r[0] for r in got], [r[1] for r in got], counts.get(1, 0) / max(1, sum(counts.values()))
+    schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("rows", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
+
+    def run(batches):
+        return batched(schema, ((i, label, *bag(text)) for i, label, text in rows(batches, "id", "label", "text")), 64)
+
+    one = picked.groupBy("id", "label").agg(F.min("text").alias("text"))
+    bags = materialize(one.mapInArrow(run, "id long, label int, rows array<int>, shares array<float>"), "bags")
+    before = F.sum(F.size("rows").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id"))  # over the sample's sizes alone
+    fits = bags.select("id", F.size("rows").alias("n"), "rows").select("id", before.alias("upto")).where(F.col("upto") <= postings).select("id")
+    return bags.join(F.broadcast(fits), "id"), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def held_out(id_column):
@@ -168,9 +181,25 @@ def held_out(id_column):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: dict[int, int] = SAMPLE) -> Model:
-    """The model of a documents and a labels table, fitted once on at most ``sum(sample)`` labelled rows."""
-    return fit(*labelled_sample(docs, labels, id_col, text_col, label_col, label_id, sample))
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: dict[int, int] = SAMPLE, postings: int = POSTINGS) -> Model:
+    """The model of a documents and a labels table, fitted in one task on at most ``sum(sample)`` labelled rows and ``postings`` table rows."""
+    bags, prior = labelled_bags(docs, labels, id_col, text_col, label_col, label_id, sample, postings)
+    schema = pa.schema([("weigh", pa.binary()), ("rows", pa.binary()), ("bias", pa.float64())])
+
+    def train(batches):
+        held, kinds = [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # copies, so that no batch is kept for a slice of it
+                held.append(tuple(batch.column(c)[i].values.to_numpy().copy() for c in ("rows", "shares")))
+                kinds.append(batch.column("label")[i].as_py())
+        model = fit(held, kinds, prior)
+        yield from batched(schema, iter([(model.weigh.tobytes(), model.table.tobytes(), model.bias)]))
+
+    one = bags.repartition(1).sortWithinPartitions("id").mapInArrow(train, "weigh binary, rows binary, bias double").first()
+    if one is None:
+        return fit([], [], prior)
+    return Model(np.frombuffer(one[0], np.float32), np.frombuffer(one[1], np.float32), one[2])
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -179,7 +208,7 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.arrow_udf("double")
     def score_texts(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return column_of(shared.value.score, pa.float64())(parts)
+        return columns_of(shared.value.scores, pa.float64())(parts)
 
     return score_texts
 
@@ -198,6 +227,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **fitting) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below the threshold."""
+    """The rows of ``docs``, all columns, whose score is below the threshold.
+
+    Null and empty texts have the prior as score, so they stay where toxic rows are rare; rows with null ids are scored like any other; repeated
+    rows and equal texts stay or go together; an empty table stays empty; no other column is looked at, so no name clashes.
+    """
     by_text = scorer(docs.sparkSession, fitted(docs, labels, id_col, text_col, **fitting))
     return docs.where(by_text(F.coalesce(F.col(text_col), F.lit(""))) < threshold)

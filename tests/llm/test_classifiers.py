@@ -32,7 +32,7 @@ def test_toxicity_held_out_and_misspelt(spark):
     held = [r for r in got if r.held_out and r.id < 500]
     assert sum(r.predicted == int(r.id % 5 == 0) for r in held) / len(held) > 0.95
     assert len({r.score for r in got if r.id == 903}) == 1
-    model = toxicity.fit([d[1] for d in data[:500]], [int(i % 5 == 0) for i in range(500)], 0.2)
+    model = toxicity.fit([toxicity.bag(d[1]) for d in data[:500]], [int(i % 5 == 0) for i in range(500)], 0.2)
     clean, toxic = prose(rnd), prose(rnd).replace(WORDS[0], "scoundreI blokhead")
     assert model.score(clean + " scoundrelz blockheadd") > model.score(clean) and toxic
 
@@ -82,3 +82,25 @@ def test_statistics_take_every_word():
     assert abs(short[at["variety"]] - longer[at["variety"]]) < 1e-9
     far = quality.statistics(" ".join([f"w{i}" for i in range(300)] * 1000))
     assert abs(far[at["distinct"]] - 0.001) < 1e-9 and far[at["passages"]] > 0.99 and "-" in quality.pattern(far)
+
+
+def test_grams_are_those_of_a_plain_loop():
+    """Rows of a batch of words against each word by itself; their number is that of the n-grams of the marked word, and one."""
+    words = ["a", "ab", "straße", "日本", "x" * 300, "ab"]
+    row, owner = toxicity.grams(words)
+    for i, w in enumerate(words):
+        alone, _ = toxicity.grams([w])
+        assert row[owner == i].tolist() == alone.tolist()
+        assert len(alone) == 1 + sum(max(0, len(w) + 3 - n) for n in toxicity.GRAMS)
+    shared = set(toxicity.grams(["blockhead"])[0].tolist()) & set(toxicity.grams(["blokhead"])[0].tolist())
+    assert len(shared) > 5 and 0 <= row.min() and row.max() < toxicity.BUCKETS
+
+
+def test_the_sample_is_bounded_and_labels_without_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and some others", "x", 1, "en") for i in range(60)], ROWS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    bags, _ = toxicity.labelled_bags(docs, labels, "doc_id", "text", "toxic", "doc_id", {1: 10, 0: 12}, 1 << 40)
+    held = bags.collect()
+    assert sum(r.label for r in held) == 10 and len(held) == 22 and not any(zlib.crc32(str(r.id).encode()) % 4 == 2 for r in held)
+    few, _ = toxicity.labelled_bags(docs, labels, "doc_id", "text", "toxic", "doc_id", {1: 10, 0: 12}, 300)
+    assert 0 < sum(len(r.rows) for r in few.collect()) <= 300
