@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.sources.scratch import materialize
+from plumbline.sources.scratch import materialize, release
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Rows (node, root): every node that has an edge, with the smallest node it can reach.
 
     Alternating large-star and small-star steps: each step hooks a node's neighbours onto the smallest one,
     so path lengths shrink geometrically. Minima are pre-aggregated before the shuffle and joined back, which
-    lets the engine split a node of very high degree. Every step ends in a table in the shared folder.
+    lets the engine split a node of very high degree. Every step ends in a table in the shared folder; all but the last are removed.
     Self loops and repeated edges are dropped; nulls are ignored; an empty table gives an empty table.
     """
     cur = materialize(_downward(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")), "edges")
@@ -20,12 +21,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         if not seen[0]:
             break
+        before = cur
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = materialize(_downward(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hooked = large.join(least, "u")
         cur = materialize(_downward(hooked.select("u", F.col("m").alias("v")).unionByName(hooked.select(F.col("v").alias("u"), F.col("m").alias("v")))), "edges")
+        release(before, large)
         now = _signature(cur)
         if now == seen:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) is a temporary one made and set.
+    Only a local session may be without one: a temporary folder is made and set. On a cluster that would be a folder of each machine's own.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="plumbline-")
@@ -32,4 +35,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor loses nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._scratch = path
+    return held
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote, once all that was made of them is written itself."""
+    for held in tables:
+        if path := getattr(held, "_scratch", None):
+            spark = held.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
