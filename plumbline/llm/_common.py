@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.scratch import materialize, scratch_path
+from plumbline.sources.scratch import materialize, release, scratch_path
 
-__all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "fresh", "kept", "materialize", "rows", "scratch_path", "table", "text_bytes"]
+__all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "forget", "fresh", "kept", "materialize", "release", "rows", "scratch_path", "table", "text_bytes"]
 
 K, V = TypeVar("K", bound=Hashable), TypeVar("V")
 
@@ -27,6 +27,11 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Let go of the kept object: for tasks that need their memory otherwise."""
+    _KEPT.clear()
+
+
 class Recent(Generic[K, V]):
     """A dictionary in two generations: what isn't asked for while some ``most`` others come in is forgotten, what is asked for stays."""
 
@@ -35,10 +40,13 @@ class Recent(Generic[K, V]):
         self.young: dict[K, V] = {}
         self.old: dict[K, V] = {}
 
-    def missing(self, keys: set[K]) -> set[K]:
-        """Those of ``keys`` that aren't known; all the others are in ``young`` from now on."""
+    def turn(self) -> None:
+        """Between two uses: a full ``young`` becomes ``old``."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[K]) -> set[K]:
+        """Those of ``keys`` that aren't known; all the others are in ``young`` until the next turn."""
         young, old = self.young, self.old
         absent = keys.difference(young)
         young.update({k: old[k] for k in absent if k in old})

@@ -1,10 +1,11 @@
 """Near-duplicate groups by similarity of five-word shingles, for thresholds that are too wide for a 64-bit fingerprint alone.
 
 SimHash goes first: fingerprints within two bits are linked by pigeonring chains, as in ``simhash``, and the links whose whole shingle sets are
-similar enough join most copies cheaply. Two texts at the threshold may be some twenty bits apart, where no chain tells them from strangers; what is
+similar enough join most of the nearest copies. Two texts at the threshold may be some twenty bits apart, where no chain tells them from strangers; what is
 left is therefore found by prefix filtering, which is exact: in any one order of all shingles two sets with a Jaccard similarity of ``LEAST`` or more share
 one among the first few of each, so these are the keys of an equi-join between groups that aren't one yet. The order puts shingles that a
-sample finds often last, which only saves work. Candidates of either kind are held against each other by their whole sets.
+sample finds often last, which only saves work. Of candidates of either kind the 256-bit SimHashes are compared, then the whole sets: texts of
+that similarity differ in some 39 bits, with a deviation of 6, so ``BITS_APART`` loses one in more than a thousand million.
 """
 
 from __future__ import annotations
@@ -18,12 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import simhash
-from plumbline.llm._common import batched, fresh, materialize, rows, text_bytes
+from plumbline.llm._common import batched, forget, fresh, materialize, release, rows, text_bytes
 from plumbline.llm.simhash import shingle_hashes
 from plumbline.operators.components import connected_components
 
 LEAST = 800  # thousandths of Jaccard similarity
 COMMON = 200_000  # shingles, at most, that are known to be frequent and come last in the order
+LANES = 4  # of 64 bits in a SimHash
+BITS_APART = 88  # differing bits of a SimHash beyond which whole sets aren't looked at
+HELD = 500_000  # ids that are broadcast, at most
 SALT = 512  # rows of a bucket that one task holds against all of it
 
 
@@ -57,18 +61,20 @@ def _search(held: DataFrame, close: Callable[[DataFrame], DataFrame], may: Colum
     centres = full.where(F.array_contains("hubs", F.col("node"))).select(*parts)
     edges = edges.unionByName(close(first.unionByName(tried(full.select(*parts), centres, ["bucket"], "node_a <> node_b")).distinct()))
     if full.isEmpty():
+        release(shared)
         return edges
     for limit in (outsiders, None):
         crowd = materialize(_rooted(full.drop("root", "hubs"), connected_components(edges)), "crowd")
         parts = crowd.groupBy("bucket", "root").agg(F.count("*").alias("m"))
         parts = parts.groupBy("bucket").agg(F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")).where("outside > 0")
-        crowd = materialize(crowd.join(parts if limit is None else parts.where(F.col("outside") <= limit), "bucket"), "mixed-crowd")
-        if crowd.isEmpty():
-            continue
+        whole, crowd = crowd, materialize(crowd.join(parts if limit is None else parts.where(F.col("outside") <= limit), "bucket"), "mixed-crowd")
+        release(whole)
         salts = F.ceil(F.col("n") / SALT).cast("int")
         one = crowd.where("root <> main").select("bucket", "node", "at", "root", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
         two = crowd.select("bucket", "node", "at", "root", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
         edges = edges.unionByName(close(tried(one, two, ["bucket", "salt"], "node_a <> node_b").distinct()))
+        release(crowd)
+    release(shared)
     return edges
 
 
@@ -109,6 +115,17 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], n[order]
 
 
+def wide_fingerprint(held: np.ndarray) -> list[int]:
+    """The SimHash of a shingle set in ``LANES`` longs; the first one is that of the hashes themselves."""
+    lanes = [held]
+    for k in range(1, LANES):
+        h = held + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        lanes.append(h ^ (h >> np.uint64(31)))
+    return [simhash.of_hashes([h]) for h in lanes]
+
+
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
     """Candidates (a, b) among nodes (node, fp): those of fingerprints within two bits, found by pigeonring chains, and those of one fingerprint by its least node."""
     least = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
@@ -126,45 +143,61 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """
     held = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(held, words))
-    signs = pa.schema([("id", pa.int64()), ("sign", pa.binary()), ("size", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
-    sets = pa.schema([("node", pa.int64()), ("sign", pa.binary()), ("held", pa.list_(pa.int64()))])
+    signs = pa.schema([("id", pa.int64()), ("sign", pa.binary()), ("size", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    sets = pa.schema([("node", pa.int64()), ("sign", pa.binary()), ("held", pa.list_(pa.int32()))])
     sign = lambda s: hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
     def keyed(batches):
+        forget()
+
         def each():
             for i, b in rows(batches, "id", "data"):
                 s = shingle_set(b, words)
-                yield i, sign(s), len(s), simhash.of_hashes([s]), prefix(s, *frequent.value).view(np.int64)
+                yield i, sign(s), len(s), wide_fingerprint(s), prefix(s, *frequent.value).view(np.int64)
 
         return batched(signs, each(), 512)
 
     def whole(batches):
-        return batched(sets, ((i, sign(s), s.view(np.int64)) for i, b in rows(batches, "id", "data") for s in [shingle_set(b, words)]), 512)
+        forget()
+        # of a hash the higher half, which tells the shingles of two texts apart
+        return batched(sets, ((i, sign(s), np.unique((s >> np.uint64(32)).astype(np.uint32).view(np.int32))) for i, b in rows(batches, "id", "data") for s in [shingle_set(b, words)]), 512)
 
-    each = materialize(held.mapInArrow(keyed, "id long, sign binary, size long, fp long, keys array<long>"), "signatures")
+    each = materialize(held.mapInArrow(keyed, "id long, sign binary, size long, fp array<long>, keys array<long>"), "signatures")
     own = [F.any_value(c).alias(c) for c in ("size", "fp", "keys")]
     nodes = materialize(each.where("id is not null").groupBy("sign").agg(F.min("id").alias("node"), *own), "signature-nodes")
-    alike = materialize(_by_fingerprint(nodes.select("node", "fp")), "alike")
     at = F.struct("size", (F.col("size") - F.col("pos")).alias("left"))
-    keys = materialize(nodes.select("node", "size", F.posexplode("keys").alias("pos", "bucket")).select("node", "bucket", at.alias("at")), "prefix-keys")
+    keys = nodes.select("node", "size", F.posexplode("keys").alias("pos", "bucket")).select("node", "bucket", at.alias("at"))
     few = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     keys = materialize(keys.join(few, "bucket", "left_semi"), "shared-keys")
-    wanted = keys.select(F.col("node").alias("id")).unionByName(alike.select(F.explode(F.array("a", "b")).alias("id"))).distinct()
-    full = materialize(held.join(wanted, "id", "left_semi").mapInArrow(whole, "node long, sign binary, held array<long>").dropDuplicates(["node", "sign"]).select("node", "held"), "shingle-sets")
     # what two sets share is at most what is left of the smaller from their first shared shingle on
     may = F.least("at_a.left", "at_b.left") * (1000 + LEAST) >= LEAST * (F.col("at_a.size") + F.col("at_b.size"))
+    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d)
 
     def close(pairs: DataFrame) -> DataFrame:
+        one, two = (nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+        alike = materialize(pairs.join(one, "a").join(two, "b").where(apart <= BITS_APART).select("a", "b").distinct(), "alike")
+        wanted = materialize(alike.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+        n = wanted.count()
+        if not n:
+            return alike
+        texts = held.join(F.broadcast(wanted) if n <= HELD else wanted, "id", "left_semi")
+        full = materialize(texts.mapInArrow(whole, "node long, sign binary, held array<int>").dropDuplicates(["node", "sign"]).select("node", "held"), "shingle-sets")
         one, two = (full.select(F.col("node").alias(c), F.col("held").alias(f"held_{c}")) for c in "ab")
         both = F.size(F.array_intersect("held_a", "held_b")).cast("long")
-        found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("held_a") + F.size("held_b")).alias("sum"))
-        return materialize(found.where(F.col("both") * 1000 >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b").distinct(), "near-nodes")
-
-    edges = close(alike)
-    keys = _rooted(keys, materialize(connected_components(edges), "alike-roots"))
-    roots = connected_components(_search(keys, close, may, edges, most, outsiders))
+        found = alike.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("held_a") + F.size("held_b")).alias("sum"))
+        near = materialize(found.where(F.col("both") * 1000 >= LEAST * (F.col("sum") - F.col("both"))).select("a", "b").distinct(), "near-nodes")
+        release(alike, wanted, full)
+        return near
+
+    edges = close(_by_fingerprint(nodes.select("node", F.col("fp")[0].alias("fp"))))
+    known = materialize(_rooted(keys, connected_components(edges)), "rooted-keys")
+    release(keys)
+    roots = connected_components(_search(known, close, may, edges, most, outsiders))
     named = _rooted(nodes.select("sign", "node"), roots).select(F.col("sign").alias("s"), F.col("root").alias("group"))
-    return each.select("id", "sign").join(named, F.col("sign") == F.col("s"), "left").select("id", F.when(F.col("id").isNotNull(), F.col("group")).alias("group"))
+    out = each.select("id", "sign").join(named, F.col("sign") == F.col("s"), "left").select("id", F.when(F.col("id").isNotNull(), F.col("group")).alias("group"))
+    out = materialize(out, "groups")
+    release(each, nodes, known)
+    return out
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
