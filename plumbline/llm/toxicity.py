@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import Recent, batched, columns_of, kept, materialize, rows
+from plumbline.llm._common import Recent, batched, columns_of, forget, kept, materialize, rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
@@ -98,6 +98,7 @@ class Model:
         """The probability of label 1 of each text; of a text without words, that of the bias."""
         known = kept(self, lambda: Recent(HELD))
         runs = [dict.fromkeys(t.lower().split()) for t in texts]  # in their order, so that equal texts get equal sums
+        known.turn()
         new = known.missing({r for each in runs for r in each})
         known.add(self._sums(sorted(new)))
         sums = [sum(map(known.young.__getitem__, each), 0j) for each in runs]
@@ -108,28 +109,29 @@ class Model:
         return self.scores([text])[0]
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float, updates: int = 2500, batch: int = 32, rate: float = 0.3, seed: int = 5) -> Model:
-    """Fit table and outputs on labelled bags, which are used up. ``prior`` is the share of label 1 among all labelled rows, which the sample's may not be."""
-    y = np.array(labels, np.float32)
+def fit(rows_: np.ndarray, shares: np.ndarray, sizes: np.ndarray, labels: np.ndarray, prior: float, updates: int = 2500, batch: int = 32, rate: float = 0.3, seed: int = 5) -> Model:
+    """Fit table and outputs on bags, laid end to end (``sizes`` has their lengths), and their labels. ``prior`` is the share of label 1 among all labelled rows, which the sample's may not be."""
+    y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         share = min(max(prior, 0.001), 0.999)
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     # A row that hardly occurs can only remember its text, and one that occurs everywhere says little: the average is weighted.
-    spread = np.zeros(BUCKETS, np.int64)
-    for row, _ in bags:
-        spread[row] += 1
-    weigh = np.where(spread >= RARE, COMMON / (COMMON + spread / len(bags)), 0.0).astype(np.float32)
-    for i, (row, share) in enumerate(bags):
-        w = share * weigh[row]
-        bags[i] = row[w > 0], (w[w > 0] / max(float(w.sum()), 1e-12)).astype(np.float32)
+    spread = np.bincount(rows_, minlength=BUCKETS)
+    weigh = np.where(spread >= RARE, COMMON / (COMMON + spread / len(y)), 0.0).astype(np.float32)
+    ends = np.cumsum(sizes)
+    bags = []
+    for end, n in zip(ends, sizes, strict=True):
+        row = rows_[end - n : end]
+        w = shares[end - n : end] * weigh[row]
+        bags.append((row, (w / max(float(w.sum()), 1e-12)).astype(np.float32)))
     table = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = rng.normal(0, 1, DIM).astype(np.float32)  # the difference of the two softmax outputs
     out /= np.linalg.norm(out)
     table -= np.outer(table @ out, out)  # no row says anything yet
     share = float(y.mean())
     bias = np.log(share / (1 - share))
-    docs = np.flatnonzero([len(row) > 0 for row, _ in bags])
+    docs = np.flatnonzero(sizes)
     order = np.concatenate([rng.permutation(docs) for _ in range(-(-updates * batch // max(len(docs), 1)))]) if len(docs) else docs
     for n in range(updates if len(docs) else 0):
         step = rate * (1 - n / updates)
@@ -167,6 +169,7 @@ def labelled_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("rows", pa.list_(pa.int32())), ("shares", pa.list_(pa.float32()))])
 
     def run(batches):
+        forget()
         return batched(schema, ((i, label, *bag(text)) for i, label, text in rows(batches, "id", "label", "text")), 64)
 
     one = picked.groupBy("id", "label").agg(F.min("text").alias("text"))
@@ -187,18 +190,16 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = pa.schema([("weigh", pa.binary()), ("rows", pa.binary()), ("bias", pa.float64())])
 
     def train(batches):
-        held, kinds = [], []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                # copies, so that no batch is kept for a slice of it
-                held.append(tuple(batch.column(c)[i].values.to_numpy().copy() for c in ("rows", "shares")))
-                kinds.append(batch.column("label")[i].as_py())
-        model = fit(held, kinds, prior)
+        forget()
+        parts = [(b.column("rows").flatten().to_numpy(), b.column("shares").flatten().to_numpy(), b.column("rows").value_lengths().to_numpy(), b.column("label").to_numpy()) for b in batches]
+        row, share, sizes, kinds = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 4
+        del parts
+        model = fit(row, share, sizes, kinds, prior)
         yield from batched(schema, iter([(model.weigh.tobytes(), model.table.tobytes(), model.bias)]))
 
     one = bags.repartition(1).sortWithinPartitions("id").mapInArrow(train, "weigh binary, rows binary, bias double").first()
     if one is None:
-        return fit([], [], prior)
+        return fit(*[np.zeros(0, np.int64)] * 4, prior)
     return Model(np.frombuffer(one[0], np.float32), np.frombuffer(one[1], np.float32), one[2])
 
 

@@ -32,7 +32,8 @@ def test_toxicity_held_out_and_misspelt(spark):
     held = [r for r in got if r.held_out and r.id < 500]
     assert sum(r.predicted == int(r.id % 5 == 0) for r in held) / len(held) > 0.95
     assert len({r.score for r in got if r.id == 903}) == 1
-    model = toxicity.fit([toxicity.bag(d[1]) for d in data[:500]], [int(i % 5 == 0) for i in range(500)], 0.2)
+    bags = [toxicity.bag(d[1]) for d in data[:500]]
+    model = toxicity.fit(*(np.concatenate(x) for x in zip(*bags)), np.array([len(b[0]) for b in bags]), np.array([int(i % 5 == 0) for i in range(500)]), 0.2)
     clean, toxic = prose(rnd), prose(rnd).replace(WORDS[0], "scoundreI blokhead")
     assert model.score(clean + " scoundrelz blockheadd") > model.score(clean) and toxic
 
