@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from plumbline.llm._common import Recent, batched, by_size, kept, rows
 from plumbline.llm.bpe_model import BpeModel
 
-HELD = 240_000  # stretches between blanks, and words, whose encodings a worker keeps at least
+HELD = 40_000  # words and stretches between blanks whose encodings a worker keeps at least
+GROUP = 1 << 20  # code points of texts whose words make a trie
 
 
 def walk(model: BpeModel, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
@@ -58,18 +59,17 @@ class Codec:
         for token, i in [*self.model.ids.items(), *self.model.special.items()]:
             self.bytes_of[b"%d" % i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.decimal = {token: b"%d" % i for token, i in self.model.ids.items()}
-        self._words: Recent[str, bytes] = Recent(HELD)
-        self._runs: Recent[str, bytes] = Recent(HELD)  # stretches after a blank, with it, and those that begin a line, without
+        self._known: Recent[str, bytes] = Recent(HELD)  # words, and stretches: those after a blank with it, those that begin a line without
         self.newline = b"%d" % self.model.ids[self.model.letters("\n")]
 
     def _learn(self, words: set[str]) -> None:
         """Encode those words that aren't known yet."""
         decimal = self.decimal.__getitem__
-        self._words.add({word: b",".join(map(decimal, tokens)) for word, tokens in walk(self.model, self._words.missing(words))})
+        self._known.add({word: b",".join(map(decimal, tokens)) for word, tokens in walk(self.model, self._known.missing(words))})
 
     def _even(self, text: str) -> bytes:
         """The ids of an evenly spaced text whose stretches are all known."""
-        runs, blank = self._runs.young, " ".__add__
+        runs, blank = self._known.young, " ".__add__
         out = []
         for line in text.split("\n"):
             first, *later = line.split(" ")
@@ -82,7 +82,8 @@ class Codec:
         """The decimal ids of each text joined by commas."""
         model = self.model
         out: list[bytes] = []
-        for group in by_size((0, t) for t in texts):
+        for group in by_size(((0, t) for t in texts), GROUP):
+            self._known.turn()
             parts = [[(part, special, not special and model.evenly_spaced(part)) for part, special in model.sections(t)] for _, t in group]
             seen, rest = set(), []
             for each in parts:
@@ -94,13 +95,12 @@ class Codec:
                             seen.update(map(" ".__add__, later))
                     elif not special:
                         rest.append(model.words(part))
-            new = self._runs.missing(seen)
+            new = self._known.missing(seen)
             plain = [r for r in new if r.removeprefix(" ").isalpha()]  # a word by itself
             cut = [(r, model.words(r)) for r in new.difference(plain)]
             self._learn({w for words in (plain, *(c[1] for c in cut), *rest) for w in words})
-            known = self._words.young
-            self._runs.add({r: known[r] for r in plain})
-            self._runs.add({r: b",".join(map(known.__getitem__, words)) for r, words in cut})
+            known = self._known.young
+            self._known.add({r: b",".join(map(known.__getitem__, words)) for r, words in cut})
             left = iter(rest)
             for each in parts:
                 coded = [b"%d" % model.special[part] if special else self._even(part) if even else b",".join(map(known.__getitem__, next(left))) for part, special, even in each]
@@ -121,7 +121,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     Ids are the tokenizers library's with ``add_special_tokens=False``; special strings inside a text are special tokens. Null
     counts as empty: no tokens, both digests those of the empty string. Repeated rows and null ids stay; other columns are not
-    looked at. One pass without a shuffle; memory is that of the kept words and of 4 MB of text or one longer text.
+    looked at. One pass without a shuffle; memory is that of the kept words and of 1 MB of text or one longer text.
     """
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -129,7 +129,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         c = codec(tokenizer)
 
         def each():
-            for group in by_size(rows(batches, "id", "text")):
+            for group in by_size(rows(batches, "id", "text"), GROUP):
                 for (i, _), coded in zip(group, c.encode([t for _, t in group]), strict=True):
                     yield i, coded.count(b",") + 1 if coded else 0, hashlib.sha256(coded).hexdigest(), hashlib.sha256(c.decode(coded).encode()).hexdigest()
 

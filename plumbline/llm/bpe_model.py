@@ -51,7 +51,8 @@ class BpeModel:
         self._apart: dict[tuple[str, str], bool] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
-        self._library = Tokenizer.from_file(path)
+        # the library's splitters alone; the vocabulary is held once, here
+        self._library = Tokenizer.from_str(json.dumps({**spec, "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.whole = self._self_encoding()
         self.heads = self._heads()
         self.lower = spec["normalizer"] is not None
@@ -126,7 +127,7 @@ class BpeModel:
         """Whether the encoding of the joint text of two tokens, each encoding itself, is these two."""
         known = self._apart.get((a, b))
         if known is None:
-            if len(self._apart) > 400_000:
+            if len(self._apart) > 120_000:
                 self._apart.clear()
             known = self._apart[a, b] = self._first_across(a, b) == _NEVER
         return known

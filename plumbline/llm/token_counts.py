@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from plumbline.llm._common import Recent, batched, by_size, kept, rows
 from plumbline.llm.bpe_model import BpeModel
 
-HELD = 300_000  # words, and stretches between blanks, whose counts a worker keeps at least
+HELD = 200_000  # words, and stretches between blanks, whose counts a worker keeps at least
 _SPLIT_IN_PREFIX = ("'r", "'v", "'l")  # a cut contraction is two words, not one
 
 
@@ -73,6 +73,7 @@ class TokenCounter:
         self._runs: Recent[str, int] = Recent(HELD)
 
     def of_words(self, words: list[str]) -> list[int]:
+        self._words.turn()
         self._learn({*words})
         return [self._words.young[w] for w in words]
 
@@ -86,6 +87,8 @@ class TokenCounter:
     def count_all(self, texts: list[str]) -> list[int]:
         """The number of tokens of each text. What isn't known yet of all texts is learnt together."""
         model = self.model
+        self._words.turn()
+        self._runs.turn()
         parts = [[(part, special, not special and self._by_runs(part)) for part, special in model.sections(t)] for t in texts]
         runs, rest = set(), []
         for each in parts:

@@ -82,3 +82,17 @@ def test_queries_handle_odd_rows(spark, libraries):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert token_counts.count_tokens(df.limit(0), WORD).count() == 0
     assert bpe_codec.encode_decode(df.limit(0), BYTE).count() == 0
+
+
+def test_caches_forget_and_learn_again(libraries, monkeypatch):
+    word, byte = libraries
+    monkeypatch.setattr(bpe_codec, "HELD", 20)
+    monkeypatch.setattr(bpe_codec, "GROUP", 200)
+    monkeypatch.setattr(token_counts, "HELD", 20)
+    counter, codec = TokenCounter(WORD), Codec(BYTE)
+    rnd = random.Random(9)
+    held = [" ".join(rnd.choice("abc") * rnd.randint(1, 9) + rnd.choice(["", ".", "'s"]) for _ in range(30)) for _ in range(60)]
+    for text, ids in zip(held, codec.encode(held), strict=True):
+        assert ids.decode() == ",".join(map(str, byte.encode(text, add_special_tokens=False).ids))
+        assert counter.count(text) == len(word.encode(text, add_special_tokens=False).ids)
+    assert len(codec._known.young) + len(codec._known.old) < 200
