@@ -21,12 +21,14 @@ def project(weights: Column, x: Column) -> Column:
 def bilinear_adapter(features: str | Column, left, right, output, scale: float = 1.0, eps: float = EPS) -> Column:
     """x plus the scaled projection of the normalised, signed-root product of two projections of x.
 
-    ``left`` and ``right`` are (rank, channels), ``output`` is (channels, rank); with a zero ``output`` the result is x.
+    ``left`` and ``right`` are (rank, channels), ``output`` is (channels, rank); with a zero ``output`` the result is x. A rank above the
+    number of channels is cut to it.
     """
     left, right, output = (np.asarray(w, float) for w in (left, right, output))
     rank, channels = left.shape
-    if rank <= 0 or channels <= 0 or right.shape != left.shape or output.shape != (channels, rank) or rank > channels:
-        raise ValueError("weights must be (rank, channels) twice and (channels, rank), with 0 < rank <= channels")
+    if rank <= 0 or channels <= 0 or right.shape != left.shape or output.shape != (channels, rank):
+        raise ValueError("weights must be (rank, channels) twice and (channels, rank), with positive sizes")
+    left, right, output = left[:channels], right[:channels], output[:, :channels]
     x = F.transform(features, lambda v: v.cast("double"))
     product = F.zip_with(project(_matrix(left), x), project(_matrix(right), x), lambda a, b: a * b)
     rooted = F.transform(product, lambda z: F.signum(z) * F.sqrt(F.abs(z) + eps))

@@ -40,8 +40,3 @@ def seeded_permutation(n: int, seed: int) -> list[int]:
     held = list(range(n))
     random.Random(seed).shuffle(held)
     return held
-
-
-def seeded_sample(n: int, k: int, seed: int) -> list[int]:
-    """The positions that ``random.Random(seed).sample`` draws from n things, in drawn order."""
-    return random.Random(seed).sample(range(n), k)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import global_index, seeded_sample
+from plumbline.operators.ordering import global_index, seeded_permutation
 
 THUMB = 900  # width of a picture on the contact sheet
 DELTAS = ("map50-95", "map50", "precision", "recall", "worst_class_map50_95")  # fixed values: metrics that two models are compared by
@@ -39,21 +37,22 @@ def hardest(rows: DataFrame, k: int, image: str = "image") -> DataFrame:
     return rows.orderBy(*hard_order(image)).limit(max(k, 0))
 
 
-def select_for_audit(rows: DataFrame, samples: int, seed: int, image: str = "image") -> DataFrame:
+def select_for_audit(rows: DataFrame, samples: int, seed: int, image: str = "image", order: str | None = None) -> DataFrame:
     """(pick, image): the hardest rows; where none of them has an error, the harder half of the samples and a seeded draw of the others.
 
-    The draw is from the other rows in order of image, by the positions that the seeded generator gives; ``samples`` bounds what is collected.
+    The others, in their original order (that of ``order``, or else of image), are shuffled by the seed, and the first are drawn. Only ``samples`` rows are
+    collected; the shuffle is of positions, a number for each row of an audited split, on the driver.
     """
     spark = rows.sparkSession
     schema = f"pick long, {image} {rows.schema[image].dataType.simpleString()}"
     top = hardest(rows, samples, image).select(image, "error").collect()
     chosen = [r[0] for r in top]
     if top and all(r[1] == 0 for r in top):
-        chosen = chosen[: math.ceil(samples / 2)]
-        pool = global_index(rows.where(~F.col(image).isin(chosen)).select(image), image)
+        chosen = chosen[: (samples + 1) // 2]
+        pool = global_index(rows.where(~F.col(image).isin(chosen)).select(*dict.fromkeys([image, order or image])), order or image)
         n = pool.count()
-        drawn = seeded_sample(n, min(samples - len(chosen), n), seed)
-        at = {r[1]: r[0] for r in pool.where(F.col("idx").isin(drawn)).collect()} if drawn else {}
+        drawn = seeded_permutation(n, seed)[: samples - len(chosen)]
+        at = {r["idx"]: r[image] for r in pool.where(F.col("idx").isin(drawn)).collect()} if drawn else {}
         chosen += [at[i] for i in drawn]
     return spark.createDataFrame(list(enumerate(chosen)), schema)
 
@@ -82,11 +81,17 @@ def find_metric(metrics: DataFrame, needle: str, *by: str) -> DataFrame:
     return metrics.where(hit).groupBy(*by).agg(F.min_by("value", "ord").alias("value"))
 
 
+def exact_metric(metrics: DataFrame, key: str, *by: str) -> DataFrame:
+    """(by..., value) of the metric with this very name."""
+    return metrics.where((F.col("key") == key) & F.col("value").isNotNull()).groupBy(*by).agg(F.min_by("value", "ord").alias("value"))
+
+
 def model_delta(metrics: DataFrame, baseline: str, candidate: str) -> DataFrame:
     """(metric, baseline, candidate, delta) of the metrics that both models, told by ``code``, have."""
     found = None
     for metric in DELTAS:
-        one = find_metric(metrics.where(F.col("code").isin(baseline, candidate)), metric, "code").withColumn("metric", F.lit(metric))
+        find = exact_metric if metric == DELTAS[-1] else find_metric  # the worst class has a key of its own
+        one = find(metrics.where(F.col("code").isin(baseline, candidate)), metric, "code").withColumn("metric", F.lit(metric))
         found = one if found is None else found.unionByName(one)
     pick = lambda code, name: F.max(F.when(F.col("code") == code, F.col("value"))).alias(name)
     both = found.groupBy("metric").agg(pick(baseline, "baseline"), pick(candidate, "candidate")).where("baseline is not null and candidate is not null")

@@ -70,9 +70,11 @@ def fold(groups: Iterator[tuple[int, int, dict]], n_images: int, totals: dict, r
         dealt[s] += 1
 
 
-def assign(grouped: DataFrame, counts: DataFrame, seed: int, ratios: tuple[float, ...] = RATIOS, group: str = "component_id") -> DataFrame:
+def assign(grouped: DataFrame, counts: DataFrame, seed: int, ratios: tuple[float, ...] = RATIOS, group: str = "component_id", classes: list | None = None) -> DataFrame:
     """(group_idx, group_id, component_id, size, split, assign_pos).
 
+    ``classes`` is the class domain, over whose length class shares are averaged; without it that of the classes that have boxes.
+
     Groups are shuffled by the seed, then stably sorted by rarity and size, both descending, and dealt by ``fold``. A greedy deal has no
     parallel form: it is one task over the table of groups, which has a row for a group, not for an image, and streams through it.
     """
@@ -86,6 +88,8 @@ def assign(grouped: DataFrame, counts: DataFrame, seed: int, ratios: tuple[float
     held = counts.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("counts"))
     ordered = ranked.join(held, group, "left").select("group_idx", "size", "rarity", "shuffled_pos", F.to_json("counts").alias("counts"))
     totals = {r[0]: r[1] for r in counts.groupBy("class_id").agg(F.sum("n")).collect()}  # one row a class
+    if classes is not None:
+        totals = {k: totals.get(k, 0) for k in classes}
     n_images = grouped.count()
     in_order = ordered.repartition(1).sortWithinPartitions(F.desc("rarity"), F.desc("size"), "shuffled_pos").select("group_idx", "size", "counts")
 
@@ -122,34 +126,46 @@ def keep_first(records: DataFrame, key: str, *order) -> DataFrame:
     return records.withColumn("_o", F.struct(*order)).join(first, (F.col(key) == F.col("_k")) & (F.col("_o") == F.col("_f"))).drop("_k", "_f", "_o")
 
 
-def output_names(records: DataFrame, *order, split: str = "split", stem: str = "stem", suffix: str = "suffix") -> DataFrame:
+def output_names(records: DataFrame, *order, split: str = "split", stem: str = "stem") -> DataFrame:
     """``records`` with ``name``: the stem, or for the later of records with one stem in a split, the stem with the first free ``-N``.
 
-    Image and label of a record share the name, so suffixes don't tell records apart. A numbered name may itself be another's stem: stems
-    that are part of such a chain are settled together in order, each chain by itself.
+    Image and label of a record share the name, so suffixes don't tell records apart. A record's number is its place among all records less that of
+    its stem's first one, so no stem's records come together. A numbered name may itself be another's stem: only chains of stems in which
+    one is reached by another's numbers are settled in order, each chain by itself in one task.
     """
-    chain = F.regexp_replace(stem, r"(-\d+)+$", "")
-    keyed = records.withColumn("_chain", chain).withColumn("_o", F.struct(*order))
-    taken = keyed.groupBy(split, "_chain").agg(F.count("*").alias("_n"))
-    keyed = keyed.join(taken, [split, "_chain"])
-    alone = keyed.where("_n = 1").withColumn("name", F.col(stem))
-    names = [f.name for f in alone.schema if f.name not in ("_chain", "_o", "_n")]
+    placed = global_index(records, split, stem, *order, name="_at")
+    stems = materialize(placed.groupBy(split, stem).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")), "stems")
+    chain = F.regexp_replace(stem, r"(-\d+)+$", "").alias("_chain")
+    base, number = F.regexp_extract(stem, r"^(.*)-[1-9]\d{0,17}$", 1), F.regexp_extract(stem, r"-([1-9]\d{0,17})$", 1)
+    numbered = stems.where(number != "").select(F.col(split).alias("_s"), base.alias("_base"), number.cast("long").alias("_j"), chain)
+    met = numbered.join(stems, (F.col("_s") == F.col(split)) & (F.col("_base") == F.col(stem)) & (F.col("_j") < F.col("_n"))).select("_s", "_chain").distinct()
+    met = materialize(met, "met-chains")
+    keyed = placed.join(stems.withColumnsRenamed({split: "_s", stem: "_b"}), (F.col(split) == F.col("_s")) & (F.col(stem) == F.col("_b"))).drop("_s", "_b")
+    k = F.col("_at") - F.col("_first")
+    named = keyed.withColumn("name", F.when(k == 0, F.col(stem)).otherwise(F.concat_ws("-", F.col(stem), k.cast("string"))))
+    if met.isEmpty():
+        return named.select(*records.columns, "name")
+    named = named.withColumn("_chain", F.regexp_replace(stem, r"(-\d+)+$", ""))
+    here = (F.col(split) == F.col("_s")) & (F.col("_chain") == F.col("_c"))
+    chains = met.withColumnRenamed("_chain", "_c")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()
         out = []
-        for s in pdf.sort_values("_rank")[stem]:
+        pdf = pdf.sort_values("_rank")
+        for s in pdf[stem]:
             name, n = s, 0
             while name in used:
                 n += 1
                 name = f"{s}-{n}"
             used.add(name)
             out.append(name)
-        return pdf.sort_values("_rank").assign(name=out)
+        return pdf.assign(name=out)
 
-    many = keyed.where("_n > 1").withColumn("_rank", F.row_number().over(Window.partitionBy(split, "_chain").orderBy("_o"))).drop("_o", "_n")
+    many = named.join(chains, here, "left_semi").drop("name").withColumn("_rank", F.row_number().over(Window.partitionBy(split, "_chain").orderBy(*order)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in many.schema) + ", name string"
-    return alone.select(*names).unionByName(many.groupBy(split, "_chain").applyInPandas(settle, schema).select(*names))
+    settled = many.groupBy(split, "_chain").applyInPandas(settle, schema)
+    return named.join(chains, here, "left_anti").select(*records.columns, "name").unionByName(settled.select(*records.columns, "name"))
 
 
 def manifest(records: DataFrame, assigned: DataFrame, drop_copies: bool = True) -> DataFrame:

@@ -55,7 +55,7 @@ def split_tree(spark: SparkSession, root: str, output: str, seed: int = 42, rati
     near = audit.near_pairs(records, near_threshold) if near_threshold >= 0 else None
     grouped = materialize(audit.components(records, ["sha256", "parent_id"], more_edges=near), "groups")
     counts = materialize(split.class_counts(grouped, boxes), "class-counts")
-    assigned = materialize(split.assign(grouped, counts, seed, ratios), "assigned")
+    assigned = materialize(split.assign(grouped, counts, seed, ratios, classes=sorted(layout.names)), "assigned")
     filled = {r.split for r in assigned.select("split").distinct().collect()}
     if missing := [s for s in split.SPLITS if s not in filled]:
         raise ValueError(f"no images for {', '.join(missing)}")

@@ -321,7 +321,7 @@ def rarity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def greedy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, boxes = customers_as_groups(spark, sf_dir)
-    return split.assign(orders, materialize(split.class_counts(orders, boxes), "class-counts"), seed=42)
+    return split.assign(orders, materialize(split.class_counts(orders, boxes), "class-counts"), seed=42, classes=["A", "N", "R", "Z"])
 
 
 @query(f"select min(doc_id) as doc_id, text_sha as sha256 from (select doc_id, sha256(text) as text_sha, {_split_sql('doc_id')} as split, row_number() over (partition by text order by array_position(['train', 'val', 'test'], {_split_sql('doc_id')}), doc_id) as k from documents) where k = 1 group by text_sha")
@@ -332,10 +332,10 @@ def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""select doc_id, split, case when k = 1 then stem else stem || '-' || (k - 1) end as name from (
     select doc_id, split, stem, row_number() over (partition by split, stem order by doc_id) as k from (
-    select doc_id, {_split_sql('doc_id')} as split, source || '_' || lang as stem from documents where doc_id % 3 = 0))"""
+    select doc_id, {_split_sql('doc_id')} as split, source || '_' || lang as stem from documents))"""
 )
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", split_of("doc_id").alias("split"), F.concat("source", F.lit("_"), "lang").alias("stem"), F.lit(".jpg").alias("suffix"))
+    named = table(spark, sf_dir, "documents").select("doc_id", split_of("doc_id").alias("split"), F.concat("source", F.lit("_"), "lang").alias("stem"), F.lit(".jpg").alias("suffix"))
     return split.output_names(named, F.col("doc_id")).select("doc_id", "split", "name")
 
 

@@ -91,10 +91,10 @@ def verified_audit(spark: SparkSession, path: str, root: str) -> dict:
 
 
 def is_complete(spark: SparkSession, run_dir: str) -> bool:
-    """Whether a training run ended: its best weights and its manifest are both there."""
+    """Whether a training run ended: its best weights, in its folder of weights, and its manifest are both there."""
     fs, at = _store(spark, run_dir)
     there = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, name))
-    return there("best.pt") and there("experiment_manifest.json")
+    return there("weights/best.pt") and there("experiment_manifest.json")
 
 
 def experiment(spark: SparkSession, path: str) -> dict:

@@ -77,7 +77,8 @@ def test_layout_rules(spark, tmp_path):
 
 
 def test_runs_and_configurations(spark, tmp_path):
-    (tmp_path / "best.pt").write_bytes(b"x")
+    (tmp_path / "weights").mkdir()
+    (tmp_path / "weights" / "best.pt").write_bytes(b"x")
     assert not sinks.is_complete(spark, f"file://{tmp_path}")
     (tmp_path / "experiment_manifest.json").write_text("{}")
     assert sinks.is_complete(spark, f"file://{tmp_path}")
