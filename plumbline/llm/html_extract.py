@@ -1,7 +1,8 @@
 """Main text of web pages, from text-to-tag ratios over a parser's events.
 
 The standard library's streaming parser yields events; each block of a page becomes a line with its text, its number of tags and the
-elements it stands in. Lines in menus, headers, footers, asides, forms, notices, adverts and comments count with no text. A line's ratio of
+elements it stands in. Lines in menus, headers, footers, asides, forms, notices, adverts and comments count with no text; a class or id alone makes no such
+element of one that holds half of the page's unlinked text or more, in several blocks, where no article or main element is outside it. A line's ratio of
 text to tags is smoothed with a Gaussian over its neighbours; lines above a threshold are clustered. Where the element that holds nearly all of
 them is part of an article, that is the content region, else the smallest element that holds all of them, widened as long as that adds
 nothing that is left out. The region's blocks are the text: so leads, headings and short paragraphs stay with their long neighbours.
@@ -10,6 +11,7 @@ nothing that is left out. The region's blocks are the text: so leads, headings a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -34,6 +36,7 @@ WORDS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WIDTH = 1.5  # of the Gaussian, in lines
 THRESHOLD = 0.5  # of the mean smoothed ratio
+MOST = 0.5  # of a page's unlinked text, with which an element is content whatever its class is called
 SHARE = 0.9  # of the clustered text that an element holds whose article is the content region
 
 _PARTS = re.compile(r"[a-z]+")
@@ -43,7 +46,7 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 @dataclass
 class Line:
-    """A block: its text, tags, letters inside links, the regions it is in (number and tag, outermost first), and whether it is a heading or left out."""
+    """A block: its text, tags, letters inside links, the regions it is in (number and tag, outermost first), whether it is a heading or left out, and the elements around it whose class or id speaks of something else than content."""
 
     parts: list[str] = field(default_factory=list)
     text: str = ""
@@ -52,6 +55,7 @@ class Line:
     regions: tuple[tuple[int, str], ...] = ()
     heading: bool = False
     out: bool = False
+    named: tuple[int, ...] = ()
 
 
 class _Events(HTMLParser):
@@ -60,7 +64,9 @@ class _Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # open elements: tag, whether they are left out, whether they are regions
+        self.stack: list[tuple[str, bool, int, bool]] = []  # open elements: tag, whether they are left out, their number if that is for their name, whether they are regions
+        self.named: list[int] = []
+        self.hard = self.names = 0
         self.regions: list[tuple[int, str]] = []
         self.out = self.links = self.made = self.articles = 0
         self.line = Line()
@@ -71,7 +77,12 @@ class _Events(HTMLParser):
         line.parts = []
         if line.text or line.tags:
             self.lines.append(line)
-        self.line = Line(regions=tuple(self.regions), out=self.out > 0)
+        self.line = Line()
+        self._stand()
+
+    def _stand(self) -> None:
+        """The line stands in the elements that are open now."""
+        self.line.regions, self.line.out, self.line.named = tuple(self.regions), self.hard > 0, tuple(self.named)
 
     def _left_out(self, tag: str, attrs: list) -> bool:
         if tag in NEVER:
@@ -85,40 +96,53 @@ class _Events(HTMLParser):
                 return True
             if name == "role" and value and value.lower() in ROLES:
                 return True
-            if name in ("class", "id") and value and not WORDS.isdisjoint(_PARTS.findall(_CAMEL.sub(" ", value).lower())):
-                return True
         return False
 
+    def _named_so(self, tag: str, attrs: list) -> bool:
+        if tag in ("html", "body", "main", "article"):
+            return False
+        return any(name in ("class", "id") and value and not WORDS.isdisjoint(_PARTS.findall(_CAMEL.sub(" ", value).lower())) for name, value in attrs)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self._flush()
             if tag in ("article", "main"):  # an element that was never closed doesn't hide the article
                 while self.stack and self.out:
                     self._pop()
-                self.line = Line(regions=tuple(self.regions), out=self.out > 0)
+                self._stand()
         elif tag in ("br", "td", "th"):
             self.line.parts.append(" ")
         self.line.tags += 1
         if tag in VOID:
             return
-        out, region = self._left_out(tag, attrs), tag in REGIONS
+        hard, region = self._left_out(tag, attrs), tag in REGIONS
+        out = hard or self._named_so(tag, attrs)
         if tag in ("p", "li") and not out:
             self.line.heading = False
             return
-        self.stack.append((tag, out, region))
+        number = 0
+        if out and not hard:
+            self.names += 1
+            number = self.names
+            self.named.append(number)
+        self.stack.append((tag, out, number, region))
         self.out += out
+        self.hard += hard
         self.articles += tag == "article"
         self.links += tag == "a"
         if region:
             self.made += 1
             self.regions.append((self.made, tag))
         if tag in BLOCKS:
-            self.line.regions, self.line.out = tuple(self.regions), self.out > 0
+            self._stand()
             self.line.heading = tag in HEADINGS
 
     def _pop(self) -> str:
-        tag, out, region = self.stack.pop()
+        tag, out, number, region = self.stack.pop()
         self.out -= out
+        self.hard -= out and not number
+        if number:
+            self.named.pop()
         self.articles -= tag == "article"
         self.links -= tag == "a"
         if region:
@@ -132,7 +156,7 @@ class _Events(HTMLParser):
             while self._pop() != tag:
                 pass
             if tag in BLOCKS:
-                self.line.regions, self.line.out = tuple(self.regions), self.out > 0
+                self._stand()
         elif tag in BLOCKS:
             self._flush()
         elif tag in ("td", "th"):
@@ -159,6 +183,15 @@ def lines_of(html: str, piece: int = 1 << 16) -> list[Line]:
         events.feed(html[at : at + piece])
     events.close()
     events._flush()
+    free = lambda x: 0 if x.out else max(0, len(x.text) - x.linked)
+    total, held, blocks = sum(map(free, events.lines)), Counter(), Counter()
+    for line in events.lines:
+        held.update(dict.fromkeys(line.named, free(line)))
+        blocks.update(n for n in line.named if free(line))
+    written = [x for x in events.lines if free(x) and any(tag in ("article", "main") for _, tag in x.regions)]
+    content = {n for n in held if blocks[n] > 1 and held[n] >= MOST * total and all(n in x.named for x in written)}
+    for line in events.lines:
+        line.out = line.out or not content.issuperset(line.named)
     return events.lines
 
 

@@ -70,3 +70,11 @@ def test_sections_of_unequal_length_stay():
     first = "<p>The first section is a short one, yet it has a sentence that is as long as any other here.</p>" * 3
     html = f"<body>{NAV}<div><section>{first}</section><section>{STORY}</section></div>{FOOT}"
     assert len(main_text(html).split("\n")) == 43
+
+
+def test_a_class_word_alone_hides_no_article():
+    article = [" ".join(f"word{i}x{j} and more of it" for j in range(20)) for i in range(6)]
+    body = "".join(f"<p>{p}</p>" for p in article)
+    for kind in ("content with-sidebar", "post has-comments", "layout no-sidebar"):
+        page = f'<html><body><div class="menu"><a href="/">Home</a> <a href="/x">News</a></div><div class="{kind}"><h1>Title</h1>{body}<div class="comments"><p>First! I liked this a lot.</p></div></div><div class="sidebar"><p>Weather and other things</p></div></body></html>'
+        assert html_extract.main_text(page) == "\n".join(["Title", *article])
