@@ -58,7 +58,8 @@ class Codec:
         self.bytes_of: dict[bytes, bytes] = {}
         for token, i in [*self.model.ids.items(), *self.model.special.items()]:
             self.bytes_of[b"%d" % i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.decimal = {token: b"%d" % i for token, i in self.model.ids.items()}
+        text_of = {int(i): i for i in self.bytes_of}
+        self.decimal = {token: text_of[i] for token, i in self.model.ids.items()}
         self._known: Recent[str, bytes] = Recent(HELD)  # words, and stretches: those after a blank with it, those that begin a line without
         self.newline = b"%d" % self.model.ids[self.model.letters("\n")]
 

@@ -54,7 +54,7 @@ class BpeModel:
         # the library's splitters alone; the vocabulary is held once, here
         self._library = Tokenizer.from_str(json.dumps({**spec, "model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.whole = self._self_encoding()
-        self.heads = self._heads()
+        self.heads, self.tails = self._heads()
         self.lower = spec["normalizer"] is not None
         self._word = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -140,8 +140,8 @@ class BpeModel:
                 good.add(pair[0] + pair[1])
         return frozenset(good)
 
-    def _heads(self) -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
-        """For each beginning of a token: the tokens that it ends with, longest first, and those that it and the suffix end with.
+    def _heads(self) -> tuple[dict[str, tuple[str, ...]], dict[str, tuple[str, ...]]]:
+        """For each beginning of a token: the tokens that it ends with, longest first; and those that it and the suffix, if there is one, end with.
 
         These are the states of a walk over a word's letters: what can still become a token is the longest end of the letters so far that
         is such a beginning, so a letter more is looked up among these alone.
@@ -151,7 +151,7 @@ class BpeModel:
         opened = {t for t in self.whole if not n or not t.endswith(self.suffix)}
         heads = {t[:i] for t in (*opened, *closed) for i in range(len(t) + 1)}
         ends = lambda head, held: [head[i:] for i in range(len(head)) if head[i:] in held]
-        return {h: (tuple(ends(h, opened)), tuple(t + self.suffix for t in ends(h, closed)) if n else ()) for h in heads}
+        return {h: tuple(ends(h, opened)) for h in heads}, {h: tuple(t + self.suffix for t in ends(h, closed)) for h in heads if n}
 
     def extend(self, letters: str, lasts: list[str], states: list[str]) -> None:
         """Carry on along a word: ``lasts[i]`` is the last token of the encoding of its first i letters, ``states[i]`` their state.
@@ -165,7 +165,7 @@ class BpeModel:
             state += letters[depth - 1]
             while (ends := heads.get(state)) is None:
                 state = state[1:]
-            for token in ends[0]:
+            for token in ends:
                 start = depth - len(token)
                 if not start:
                     break
@@ -184,7 +184,7 @@ class BpeModel:
         """The last token of the first n letters as a whole word; of vocabularies with a suffix it has that, too."""
         if not self.suffix:
             return lasts[n]
-        for token in self.heads[states[n]][1]:
+        for token in self.tails[states[n]]:
             start = n + len(self.suffix) - len(token)
             if not start or self.apart(lasts[start], token):
                 return token
