@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashes import COLOUR_GATE, bands, hamming, largest_difference
 from plumbline.operators.components import connected_components
+from plumbline.operators.skew import join_one
 from plumbline.sources.scratch import materialize
 
 
 def star_edges(records: DataFrame, key: str | Column, idx: str = "record_idx") -> DataFrame:
-    """Edges (a, b) from the first record of each key to its others. Firsts are pre-aggregated, so a hot key is no group in one task."""
+    """Edges (a, b) from the first record of each key to its others. Firsts are pre-aggregated, and a hot key's rows meet theirs without a shuffle."""
     keyed = records.select(F.col(idx).alias("b"), (F.col(key) if isinstance(key, str) else key).alias("k")).where("k is not null")
-    first = keyed.groupBy("k").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "a")
-    return keyed.join(first, "k").where("a <> b").select("a", "b")
+    first = materialize(keyed.groupBy("k").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    return join_one(keyed, first, "k", "n").where("a <> b").select("a", "b")
 
 
 def duplicate_pairs(records: DataFrame, key: str | Column) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import hashes, paths, raster
-from plumbline.operators import adapter, audit, labels, reports, split
+from plumbline.operators import adapter, audit, labels, reports, skew, split
 from plumbline.operators.components import connected_components
 from plumbline.operators.ordering import global_index, seeded_permutation
 
@@ -184,3 +184,15 @@ def test_raster_features():
     ramp = np.repeat(np.arange(0, 240, 10, dtype=np.uint8)[None, :, None], 24, axis=0).repeat(3, axis=2)
     assert raster.difference_hash(ramp) == -1  # all 64 bits
     assert np.allclose(raster.weights(24, 9, raster.lanczos, 3).sum(axis=1), 1)
+
+
+def test_join_one_spreads_heavy_keys_and_keeps_the_others(spark, monkeypatch):
+    monkeypatch.setattr(skew, "SHARE", 4)
+    data = [(i, "hot" if i % 2 else None if i % 10 == 0 else f"k{i % 7}") for i in range(60)]
+    many = spark.createDataFrame(data, "i long, k string")
+    one = many.where("k is not null").groupBy("k").agg(F.min("i").alias("first"), F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = sorted((r.i, r.k or "", r["first"]) for r in skew.join_one(many, one, "k", "n", how).collect())
+        firsts = {k: min(i for i, x in data if x == k) for _, k in data if k}
+        assert got == sorted((i, k or "", firsts.get(k)) for i, k in data if k or how == "left")
+    assert skew.join_one(many.limit(0), one.limit(0), "k", "n").count() == 0
