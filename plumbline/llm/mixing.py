@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Every source's rows are hashed into blocks. A source's target, in words, is turned into an exact quota of block draws: whole passes
-over its blocks, then a prefix of its permuted blocks, the last one cut at a row. A splitting tree deals these quotas out: each node
+over its blocks, then a prefix of its permuted blocks, the last one given in part. A splitting tree deals these quotas out: each node
 halves its range of shards, and the left half gets from each source a multivariate-hypergeometric share, drawn conditionally source
 by source. A leaf is a shard with its exact quota of each source; shards draw disjoint stretches of the permuted blocks, and rows of
 a shard are ordered by a hash. All randomness is hashes of a seed, so reruns agree and a lost task is computed again alike.
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from plumbline.llm._common import materialize
 
 WEIGHTS = (5, 2, 1)
+NEAR = 0.002  # of a target: what a cut block may leave open without further tries
+STARTS = 48  # those tries
 
 
 def word_count(text: str | Column) -> Column:
@@ -89,12 +91,35 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return done.select(F.col("lo").alias("shard"), F.explode("q").alias("x")).select("x.rank", "shard", F.col("x.n").alias("quota"))
 
 
+def _fill() -> Column:
+    """What a cut block gives: the (mark, size) of rows whose words come near ``rest``, none more than ``spare`` times.
+
+    Rows ``g`` (mark, size, all) are taken in the order of their marks if they fit, then again, the longest first, while there are copies to spare.
+    If more than ``NEAR`` of the goal is still open, the block is filled anew with the longest rows first, from each of ``STARTS``
+    rows on, all rows in turn or each as often as it fits, and what leaves least is taken. A block's rows are few, whatever the table's size.
+    """
+    nothing = F.array().cast("array<struct<mark:bigint,size:bigint>>")
+    longest = F.filter(F.array_sort("g", lambda a, b: F.when(a.all != b.all, F.signum(b.all - a.all).cast("int")).otherwise(F.signum(b.mark.cast("double") - a.mark.cast("double")).cast("int"))), lambda x: x.all > 0)
+
+    def first_fit(order: Column) -> Column:
+        start = F.struct(F.col("rest").cast("double").alias("left"), nothing.alias("took"))
+        take = lambda s, x: F.struct((s.left - x.all).alias("left"), F.concat(s.took, F.array(F.struct(x.mark.alias("mark"), x["size"].alias("size")))).alias("took"))
+        return F.aggregate(order, start, lambda s, x: F.when(x.all <= s.left, take(s, x)).otherwise(s))
+
+    again = F.flatten(F.array_repeat(longest, F.col("spare") - 1))
+    rounds, heaps = F.flatten(F.array_repeat(longest, F.col("spare"))), F.flatten(F.transform(longest, lambda x: F.array_repeat(x, F.col("spare"))))
+    by_mark = first_fit(F.concat("g", again))
+    starts = F.sequence(F.lit(1), F.least(F.lit(STARTS), F.greatest(F.size(longest), F.lit(1))))
+    least = lambda every: F.array_min(F.transform(starts, lambda i: first_fit(F.slice(every, i, F.greatest(F.size(every), F.lit(1))))))
+    return F.when(by_mark.left <= F.col("goal") * NEAR, by_mark.took).otherwise(F.least(by_mark, least(rounds), least(heaps)).took)
+
+
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shards: int = 16, block_rows: int = 1000, seed: int = 17) -> DataFrame:
-    """One row a block: (source, block, n_blocks, source_size, target, passes, extra, cut, fill, place, bounds).
+    """One row a block: (source, block, n_blocks, source_size, target, passes, extra, fill, place, bounds).
 
     ``rows`` has (source, size, mark), the mark a hash that orders rows. A row of the block is drawn ``passes`` times, and once
-    more if ``extra`` is 1 and its mark is not above ``cut``, or its (size, mark) not above ``fill``: where a source's last block is cut,
-    rows are taken by mark as long as they fit, and then the shortest of the others fill up what is left. ``place`` is the block's place in the permutation of its source's
+    more if ``extra`` is 1 and ``fill`` null. Where a source's last block is cut, ``fill`` has the (mark, size) of its rows that are drawn
+    once more, of some several times. ``place`` is the block's place in the permutation of its source's
     blocks; ``bounds`` has, for each shard, where its stretch of the source's draws ends.
     """
     sources = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
@@ -110,26 +135,20 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shar
     blocks = blocks.withColumn("passes", passes.cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("words") - F.col("before"))
     blocks = materialize(blocks.withColumn("extra", F.when(F.col("rest") > 0, 1).otherwise(0)), "blocks")
 
-    split = blocks.where("rest > 0 and size > rest").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest", "n_blocks")
+    split = blocks.where("rest > 0 and size > rest").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest", "n_blocks", F.col("target").alias("goal"), (F.lit(cap) - F.col("passes")).cast("int").alias("spare"))
     inside = rows.join(split, F.col("source").eqNullSafe(F.col("s")) & (F.expr("pmod(mark, n_blocks)") == F.col("b")))
-    groups = inside.groupBy("s", "b", "rest", "mark", "size").agg(F.sum("size").alias("all"))  # equal ids stay together
-    groups = groups.withColumn("upto", F.sum("all").over(Window.partitionBy("s", "b").orderBy("mark").rangeBetween(Window.unboundedPreceding, 0)))
-    fits = F.col("upto") <= F.col("rest")
-    whole = Window.partitionBy("s", "b")
-    none = -(1 << 63)
-    groups = groups.withColumn("cut", F.coalesce(F.max(F.when(fits, F.col("mark"))).over(whole), F.lit(none)))
-    groups = groups.withColumn("left", F.col("rest") - F.coalesce(F.max(F.when(fits, F.col("upto"))).over(whole), F.lit(0)))
-    run = F.sum("all").over(Window.partitionBy("s", "b").orderBy("size", "mark").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all") / 2
-    filled = groups.where("mark > cut").withColumn("run", run).where("run <= left").groupBy("s", "b").agg(F.max(F.struct("size", "mark")).alias("fill"))
-    cuts = groups.groupBy("s", "b").agg(F.max("cut").alias("cut")).join(filled.withColumnsRenamed({"s": "s2", "b": "b2"}), F.col("s").eqNullSafe(F.col("s2")) & (F.col("b") == F.col("b2")), "left").select("s", "b", "cut", F.coalesce("fill", F.struct(F.lit(-1).cast("long").alias("size"), F.lit(none).alias("mark"))).alias("fill"))
+    at = ["s", "b", "rest", "goal", "spare"]
+    groups = inside.groupBy(*at, "mark", "size").agg(F.sum("size").alias("all"))  # equal ids stay together
+    held = groups.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("mark", "size", "all"))).alias("g"))
+    cuts = held.select("s", "b", _fill().alias("fill"))
     blocks = blocks.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
-    blocks = materialize(blocks.withColumn("cut", F.coalesce("cut", F.lit((1 << 63) - 1))), "cut-blocks")
+    blocks = materialize(blocks, "cut-blocks")
 
     draws = blocks.groupBy("rank").agg(F.sum(F.col("passes") + F.col("extra")).alias("draws"))
     quotas = split_quotas(draws, shards, seed)
     ends = quotas.withColumn("end", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard")))
     bounds = ends.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "end"))).alias("b")).select(F.col("rank").alias("r"), F.transform("b", lambda x: x.end).alias("bounds"))
-    return materialize(blocks.join(bounds, F.col("rank") == F.col("r")).select("source", "block", "n_blocks", F.col("words").alias("source_size"), "target", "passes", "extra", "cut", "fill", "place", "bounds"), "mix-plan")
+    return materialize(blocks.join(bounds, F.col("rank") == F.col("r")).select("source", "block", "n_blocks", F.col("words").alias("source_size"), "target", "passes", "extra", "fill", "place", "bounds"), "mix-plan")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shards: int = 16, block_rows: int = 1000, seed: int = 17) -> DataFrame:
@@ -138,7 +157,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     ``draws`` has an element (shard, pass, place) for each time that the mix takes the row: at most ``cap``. Ordering a shard by
     ``place`` gives its shuffled rows; ``rows_of_mix`` does so. A row's size is its number of words unless ``size`` is given; null
     texts have size zero; null sources form one source, ranked last; equal ids share a mark and are drawn together; an
-    empty table gives an empty result. Taken words of a source differ from its target by half the size of the shortest row left out of its cut block at most.
+    empty table gives an empty result. Taken words of a source never exceed its target, and what they
+    miss is less than the shortest row of its cut block that could be drawn once more.
     """
     measured = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), (size if size is not None else word_count(text_col)).alias("size"))
     measured = measured.withColumn("mark", F.xxhash64(F.lit(seed), F.col("id")))
@@ -148,10 +168,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     placed = measured.join(per_source, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.expr("pmod(mark, n_blocks)")).drop("s", "n_blocks")
     own = table.withColumnsRenamed({"source": "s", "block": "b"})
     full = placed.join(own, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    copies = F.col("passes") + F.when((F.col("mark") <= F.col("cut")) | (F.struct("size", "mark") <= F.col("fill")), F.col("extra")).otherwise(0)
+    more = F.size(F.filter("fill", lambda x: (x.mark == F.col("mark")) & (x["size"] == F.col("size"))))
+    copies = F.col("passes") + F.when(F.col("fill").isNull(), F.col("extra")).otherwise(more)
 
     def draw(k: Column) -> Column:
-        at = k * F.col("n_blocks") + F.col("place")
+        at = F.least(k, F.col("passes")) * F.col("n_blocks") + F.col("place")
         shard = F.size(F.filter("bounds", lambda end: end <= at))
         return F.struct(shard.alias("shard"), k.cast("int").alias("pass"), F.xxhash64(F.lit(seed + 1), F.col("mark"), k).alias("place"))
 

@@ -48,7 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
     sized = materialize(docs, "document-sizes")
     mixed = mixing.mix(sized, size=F.col("size"))
-    return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "doc.source")
+    return mixed.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "doc.source", "draws")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,15 @@ def test_repeated_rows_null_ids_and_a_capped_source(spark):
     check(collect(spark, data, shards=3), data, slack=50)
 
 
+def test_few_rows_come_near_their_target(spark):
+    rnd = random.Random(8)
+    data = [(i, "w " * rnd.choice([3, 7, 40, 90, 300]), f"s{i % 3}", "x", 1) for i in range(45)]
+    got = collect(spark, data, shards=3)
+    check(got, data, slack=8)
+    assert all(sum(n * len(d) for _, s, n, _, _, d in got if s == source) <= t + 1e-6 for _, source, _, _, t, _ in got)
+    assert all(0 <= shard < 3 for *_, d in got for shard, *_ in d)
+
+
 def test_quotas_are_dealt_out_exactly(spark):
     draws = spark.createDataFrame([(0, 90), (1, 0), (2, 7), (3, 31)], "rank int, draws long")
     dealt = mixing.split_quotas(draws, 7, seed=4).collect()
