@@ -14,12 +14,16 @@ from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import batched, materialize, rows, scratch_path
+from plumbline.operators.skew import join_one
 
 CRLF = "\r\n"
+SIZES = ((-1, 128 << 10, 2000), (128 << 10, 4 << 20, 64), (4 << 20, 1 << 62, 1))  # payloads above, up to so many bytes: records an archive, so some 256 MB or one longer record
+RANGE_ROWS = 500_000  # captures that a range of the index has, about: some 150 MB of Arrow columns in a task
 BEGIN = int(datetime(2024, 1, 1, tzinfo=UTC).timestamp())
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 INDEX = "urlkey string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long"
@@ -35,15 +39,15 @@ def base32_sha1(data: Column) -> Column:
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int = 0) -> DataFrame:
     """(page_id, url, payload, n, digest, refers_to): each payload of ``least`` bytes or more is kept by its smallest id; others refer to that.
 
-    Only digests are shuffled to find the copies. The table of copies is written, so its size is known: it is broadcast where it is small, else
+    Only digests are shuffled to find the copies, and those of a payload that very many share not even so. The table of copies is written, so its size is known: it is broadcast where it is small, else
     joined by id. A null id never keeps a payload unless all of its copies' ids are null; then all are responses.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     held = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     held = held.withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     seen = held.where(F.col("n") >= least).select("page_id", "digest")
-    keepers = seen.groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null").select("digest", "keeper")
-    copies = seen.join(keepers, "digest").where("page_id is null or page_id <> keeper").select(F.col("page_id").alias("copy"), F.col("digest").alias("copied"), "keeper").distinct()
+    keepers = seen.groupBy("digest").agg(F.min("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null")
+    copies = join_one(seen, materialize(keepers, "keepers"), "digest", "copies").where("page_id is null or page_id <> keeper").select(F.col("page_id").alias("copy"), F.col("digest").alias("copied"), "keeper").distinct()
     copies = materialize(copies, "revisits")
     return held.join(copies, F.col("page_id").eqNullSafe(F.col("copy")) & (F.col("digest") == F.col("copied")), "left").drop("copy", "copied").withColumnRenamed("keeper", "refers_to")
 
@@ -73,10 +77,12 @@ def record(kind: Column) -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, per_archive: int = 2000) -> None:
-    """One record for every row, in archives of ``per_archive`` records at most."""
+    """One record for every row, in archives of ``per_archive`` records at most, and fewer of longer payloads (``SIZES``)."""
     kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
-    records = with_revisits(pages, id_col, url_col, html_col, least).select(record(kind).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", per_archive).option("compression", "none").text(path)
+    held = with_revisits(pages, id_col, url_col, html_col, least)
+    for above, upto, most in SIZES:
+        records = held.where((F.col("n") > above) & (F.col("n") <= upto)).select(record(kind).alias("value"))
+        records.write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", min(most, per_archive)).option("compression", "none").text(path)
 
 
 def url_key(url: str | None) -> str:
@@ -182,24 +188,29 @@ class LoserTree:
 def merge_runs(captures: DataFrame, parts: int | None = None) -> DataFrame:
     """The global index: ``captures`` with (range, place), by which it is ordered by URL key, time, page and place in the archives.
 
-    Ranges are of URL key, time and page, so a URL with many captures takes several. In a range the rows of a run come together, in
-    their order, and the loser tree merges the runs.
+    Ranges are of the whole order, so neither a URL with many captures nor a repeated row fills one, and there are so many that each has about
+    ``RANGE_ROWS`` rows unless ``parts`` says how many. In a range the rows of a run come together, in
+    their order; they stay Arrow columns, of which the loser tree reads some rows at a time while it merges the runs.
     """
     spark = captures.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // RANGE_ROWS))
     names = captures.columns
     schema = pa.schema([(n, pa.int64() if t == "bigint" else pa.string()) for n, t in captures.dtypes] + [("range", pa.int64()), ("place", pa.int64())])
 
     def merge(batches):
         from pyspark import TaskContext
 
-        runs: dict[str, list[tuple]] = {}
-        for row in rows(batches, *names):
-            runs.setdefault(row[8], []).append(row)
+        runs: dict[str, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            stretches, start = pc.run_end_encode(batch.column("archive")), 0
+            for end, archive in zip(stretches.run_ends.to_pylist(), stretches.values.to_pylist(), strict=True):
+                runs.setdefault(archive, []).append(batch.slice(start, end - start))
+                start = end
         at = TaskContext.get().partitionId()
-        return batched(schema, ((*row, at, i) for i, row in enumerate(LoserTree(list(runs.values()), _order))))
+        tree = LoserTree([rows(iter(parts), *names) for parts in runs.values()], _order)
+        return batched(schema, ((*row, at, i) for i, row in enumerate(tree)))
 
-    ranged = captures.repartitionByRange(parts, "urlkey", "captured", "page_id").sortWithinPartitions("archive", "urlkey", "captured", F.col("page_id").asc_nulls_first(), "offset")
+    ranged = captures.repartitionByRange(parts, "urlkey", "captured", "page_id", "archive", "offset").sortWithinPartitions("archive", "urlkey", "captured", F.col("page_id").asc_nulls_first(), "offset")
     return ranged.mapInArrow(merge, INDEX + ", range long, place long")
 
 

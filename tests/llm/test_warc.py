@@ -50,6 +50,17 @@ def test_round_trip_and_global_order(spark, parts):
         assert headers["WARC-Type"] == r.record_type and (offset, length) == (0, r.length)
 
 
+def test_long_records_have_archives_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SIZES", ((-1, 10, 50), (10, 100, 3), (100, 1 << 62, 1)))
+    path = warc.scratch_path(spark, "test")
+    warc.write_archives(spark.createDataFrame(pages(), ROWS).coalesce(1), path)
+    held = {}
+    for r in warc.read_archives(spark, path).collect():
+        held.setdefault(r.archive, []).append(r.payload_bytes)
+    assert all(len(n) <= (1 if max(n) > 100 else 3 if max(n) > 10 else 50) for n in held.values())
+    assert sum(map(len, held.values())) == len(pages())
+
+
 def test_the_operator_and_empty_tables(spark):
     df = spark.createDataFrame(pages(), ROWS)
     got = warc.archive_and_index(df).collect()
