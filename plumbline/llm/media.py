@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import batched, materialize, rows
+from plumbline.operators.skew import join_one
 
 SIDE = 576  # samples in an image row
 SCHEME = "media:"
@@ -102,10 +103,21 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", html_col: str = "html") -
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(run, f"id long, segments {SEGMENTS}")
 
 
-def resolve(sequences: DataFrame, store: DataFrame) -> DataFrame:
-    """One row for each segment with the columns of ``store`` (one row a digest) beside it; texts and references without a medium have nulls there."""
-    segments = sequences.select("id", F.explode("segments").alias("s")).select("id", "s.*")
-    return segments.join(store, "digest", "left")
+def resolve(sequences: DataFrame, store: DataFrame, copies: str | None = None) -> DataFrame:
+    """One row for each segment with the columns of ``store`` (one row a digest) beside it; texts and references without a medium have nulls there.
+
+    Columns of ``sequences`` beside ``segments`` stay. Where ``store`` counts in ``copies`` how many segments refer to a digest, media that
+    very many share are broadcast instead of bringing their references together.
+    """
+    segments = sequences.select(*[c for c in sequences.columns if c != "segments"], F.explode("segments").alias("s")).select("*", "s.*").drop("s")
+    return join_one(segments, store, "digest", copies, "left") if copies else segments.join(store, "digest", "left")
+
+
+def illustrated(text: str, digest: str, size: int) -> str:
+    """A text as HTML: a paragraph for each line that isn't blank, and in their middle a figure of its own medium."""
+    blocks = [f"<p>{escape(line)}</p>" for line in text.split("\n") if line.strip()]
+    blocks.insert(len(blocks) // 2, f'<figure><img src="{SCHEME}{digest}" alt="text"><figcaption>text of {size} bytes</figcaption></figure>')
+    return "<article>" + "".join(blocks) + "</article>"
 
 
 def to_payload(data: bytes) -> bytes:
@@ -160,19 +172,22 @@ def feature(samples: np.ndarray) -> str:
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) for every row.
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, n_segments, caption) for every row.
 
-    A row's text, padded, becomes an image; the row becomes a small HTML document that refers to it by digest. Images are written to the shared
-    folder, read back and measured; documents are parsed, and a join on the digest gives each its image's numbers. Null counts as
+    A row's text, padded, becomes an image, and the row an HTML document of the text's own lines with a figure among them that refers to the
+    image by digest. The document is parsed to its sequence, of which the reference is kept with its position and caption. Images are written to the
+    shared folder, read back and measured; a join on the digest gives each reference its image's numbers. Null counts as
     empty; equal texts share a digest and hence all values; repeated rows and null ids stay; an empty table gives an empty result.
     """
-    made = pa.schema([("id", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("media", pa.binary())])
+    segment = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
+    made = pa.schema([("id", pa.int64()), ("n_segments", pa.int64()), ("segments", pa.list_(segment)), ("digest", pa.string()), ("media", pa.binary())])
 
     def build(batches) -> Iterator[tuple]:
         for i, data in rows(batches, "id", "data"):
             media = store_image(to_payload(data))
             digest = hashlib.sha256(media).hexdigest()
-            yield i, f'<article><figure><img src="{SCHEME}{digest}" alt="text"><figcaption>{escape(f"text of document {i}")}</figcaption></figure></article>', digest, media
+            found = interleave(illustrated(data.decode(), digest, len(data)))
+            yield i, len(found), [s for s in found if s["kind"] == "media"], digest, media
 
     measured = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
@@ -182,11 +197,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield digest, len(payload.rstrip(b"\xff")), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(payload, np.uint8))
 
     held = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    stored = materialize(held.mapInArrow(lambda b: batched(made, build(b), limit=512), "id long, html string, digest string, media binary"), "media")
+    stored = materialize(held.mapInArrow(lambda b: batched(made, build(b), limit=512), f"id long, n_segments long, segments {SEGMENTS}, digest string, media binary"), "media")
     numbers = stored.select("digest", "media").mapInArrow(lambda b: batched(measured, measure(b)), "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    # one row a digest: its copies have equal numbers
-    store = numbers.groupBy("digest").agg(*(F.first(c).alias(c) for c in numbers.columns[1:]))
-    # UTF-8 has no byte 255, so the text's length can be told from the image: it goes into the store with the other numbers
-    parsed = sequences(stored.select("id", "html"), "id")
-    resolved = resolve(parsed, store).where("kind = 'media'")
-    return resolved.select("id", *numbers.columns[1:])
+    # one row a digest: its copies have equal numbers. UTF-8 has no byte 255, so the text's length can be told from the image
+    store = materialize(numbers.groupBy("digest").agg(*(F.first(c).alias(c) for c in numbers.columns[1:]), F.count("*").alias("copies")), "media-numbers")
+    return resolve(stored.select("id", "n_segments", "segments"), store, "copies").select("id", *numbers.columns[1:], "position", "n_segments", "caption")

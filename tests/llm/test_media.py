@@ -41,14 +41,15 @@ def test_digest_join_keeps_positions(spark):
 
 
 def test_query_against_recomputation(spark):
-    texts = ["", None, "a", "é" * 288, "x" * 576, "y" * 577, "same", "same", "long text " * 30_000]
-    data = [(i, t, "x", "y", "z") for i, t in enumerate(texts)] + [(None, "same", "x", "y", "z"), (6, "same", "x", "y", "z")]
+    texts = ["", None, "a", "one\n\n <b>two</b> & \nthree\nfour", "é" * 288, "x" * 576, "y" * 577, "same", "same", "long text " * 30_000]
+    data = [(i, t, "x", "y", "z") for i, t in enumerate(texts)] + [(None, "same", "x", "y", "z"), (7, "same", "x", "y", "z")]
     got = sorted((tuple(r) for r in media.media_features(spark.createDataFrame(data, ROWS)).collect()), key=str)
     want = []
+    lines = lambda t: [x for x in (t or "").split("\n") if x.strip()]
     for i, t, *_ in data:
         raw = (t or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         stored = media.store_image(payload)
-        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature(np.frombuffer(payload, np.uint8))))
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature(np.frombuffer(payload, np.uint8)), len(lines(t)) // 2, len(lines(t)) + 1, f"text of {len(raw)} bytes"))
     assert got == sorted(want, key=str)
     assert media.media_features(spark.createDataFrame([], ROWS)).count() == 0
