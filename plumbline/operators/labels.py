@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 BLANKS = r"[\s\x0b\x1c-\x1f\x85   -     　]+"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 INTEGER = r"^[+-]?[0-9](_?[0-9])*$"
+PLAIN = r"^[ \t]*[0-9]{1,9}([ \t]+-?([0-9]{1,200}(\.[0-9]*)?|\.[0-9]+)){4}[ \t]*$"  # a box as nearly all tools write it: no exponents, no names of numbers
 FLOAT = r"^[+-]?(([0-9](_?[0-9])*)(\.([0-9](_?[0-9])*)?)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?$|^[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 
 
@@ -25,12 +26,16 @@ def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") ->
     is taken. Errors in the order in which they are looked for: not_numeric, class, polygon, non_finite, range, empty_box. Centre and
     size must be within [0, 1]; the box's edges may overhang. A polygon with a number that isn't finite is non_finite as a whole.
     """
+    plain_box = F.col("_plain")
+    at = lines.withColumn("_plain", F.coalesce(F.col(line_col).rlike(PLAIN), F.lit(False)))
+    # a plain box is cut and cast directly; only other lines go through the rules for each number
     trimmed = F.regexp_replace(F.regexp_replace(line_col, f"^{BLANKS}", ""), f"{BLANKS}$", "")
-    at = lines.withColumn("_t", F.split(trimmed, BLANKS))
-    at = at.withColumn("_numeric", F.col("_t")[0].rlike(INTEGER) & F.forall(F.slice("_t", 2, 1 << 30), lambda s: s.rlike(FLOAT)))
-    at = at.withColumn("_c", F.expr("try_cast(replace(_t[0], '_', '') as bigint)"))
+    at = at.withColumn("_t", F.when(plain_box, F.split(F.trim(F.translate(line_col, "\t", " ")), " +")).otherwise(F.split(trimmed, BLANKS)))
+    at = at.withColumn("_numeric", plain_box | (F.col("_t")[0].rlike(INTEGER) & F.forall(F.slice("_t", 2, 1 << 30), lambda s: s.rlike(FLOAT))))
+    at = at.withColumn("_c", F.expr("try_cast(if(_plain, _t[0], replace(_t[0], '_', '')) as bigint)"))
     plain = lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "_", ""), "^([+-]?)inf$", "$1Infinity")
-    at = at.withColumn("_v", F.when(F.col("_numeric"), F.transform(F.slice("_t", 2, 1 << 30), lambda s: plain(s).try_cast("double"))).otherwise(F.array().cast("array<double>")))
+    four = F.array(*(F.col("_t")[i].try_cast("double") for i in range(1, 5)))
+    at = at.withColumn("_v", F.when(plain_box, four).when(F.col("_numeric"), F.transform(F.slice("_t", 2, 1 << 30), lambda s: plain(s).try_cast("double"))).otherwise(F.array().cast("array<double>")))
     known = classes.select(F.col("class_id").cast("long").alias("_k"), F.lit(True).alias("_known")).distinct()
     at = at.join(F.broadcast(known), F.col("_c") == F.col("_k"), "left")  # a dataset's class list
     xs, ys = F.filter("_v", lambda v, i: i % 2 == 0), F.filter("_v", lambda v, i: i % 2 == 1)
@@ -43,8 +48,8 @@ def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") ->
         "_w": pick(2, F.array_max(xs) - F.array_min(xs)),
         "_h": pick(3, F.array_max(ys) - F.array_min(ys)),
     })
-    finite = F.forall("_v", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
-    inside = F.forall(F.array("_x", "_y", "_w", "_h"), lambda v: v.between(0.0, 1.0))
+    finite = plain_box | F.forall("_v", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    inside = F.col("_x").between(0.0, 1.0) & F.col("_y").between(0.0, 1.0) & F.col("_w").between(0.0, 1.0) & F.col("_h").between(0.0, 1.0)
     error = (
         F.when(~F.col("_numeric"), "not_numeric")
         .when(F.col("_known").isNull(), "class")
@@ -57,15 +62,15 @@ def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") ->
     good = F.col("error").isNull()
     value = lambda c: F.when(good, F.col(c))
     out = {"class_id": F.when(good, F.col("_c").cast("int")), "x_center": value("_x"), "y_center": value("_y"), "width": value("_w"), "height": value("_h")}
-    return at.withColumns(out).drop("_t", "_numeric", "_c", "_v", "_k", "_known", "_x", "_y", "_w", "_h")
+    return at.withColumns(out).drop("_plain", "_t", "_numeric", "_c", "_v", "_k", "_known", "_x", "_y", "_w", "_h")
 
 
-def quarantine(parsed: DataFrame, *image: str) -> DataFrame:
-    """(image..., error, line_no) of every image with an error: that of its first bad line."""
-    bad = parsed.where("error is not null")
-    return bad.groupBy(*image).agg(F.min_by("error", "line_no").alias("error"), F.min("line_no").cast("long").alias("line_no"))
+def quarantine(parsed: DataFrame, *image: str, count: bool = False) -> DataFrame:
+    """(image..., error, line_no) of every image with an error: that of its first bad line; with ``count`` also n_errors, how many it has."""
+    first = [F.min_by("error", "line_no").alias("error"), F.min("line_no").cast("long").alias("line_no")]
+    return parsed.where("error is not null").groupBy(*image).agg(*first, *([F.count("*").alias("n_errors")] if count else []))
 
 
 def valid_boxes(parsed: DataFrame, *image: str) -> DataFrame:
-    """The boxes of images without any error."""
+    """The boxes of images without any error. ``parsed`` is read twice, so it should be a written table."""
     return parsed.join(parsed.where("error is not null").select(*image).distinct(), list(image), "left_anti").drop("error")

@@ -222,15 +222,13 @@ _PARSED = f"""
     from judged where image not in (select image from firsts)"""
 )
 def label_parse_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = labels.valid_boxes(parsed_labels(spark, sf_dir), "image")
+    kept = labels.valid_boxes(materialize(parsed_labels(spark, sf_dir), "parsed"), "image")
     return kept.select("image", "line_no", "part", "class_id", *(F.round(c, 6).alias(c) for c in ("x_center", "y_center", "width", "height")))
 
 
 @query(_PARSED + "select image, min(line_no) as line_no, count(*) as n_errors from judged where error is not null group by image")
 def label_parse_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = parsed_labels(spark, sf_dir)
-    counts = bad.where("error is not null").groupBy("image").agg(F.count("*").alias("n_errors"))
-    return labels.quarantine(bad, "image").join(counts, "image").select("image", "line_no", "n_errors")
+    return labels.quarantine(parsed_labels(spark, sf_dir), "image", count=True).select("image", "line_no", "n_errors")
 
 
 @query(_PARSED + "select error, count(*) as n from judged where error is not null group by error")

@@ -186,6 +186,14 @@ def test_raster_features():
     assert np.allclose(raster.weights(24, 9, raster.lanczos, 3).sum(axis=1), 1)
 
 
+def test_plain_and_other_lines_follow_the_same_rules(spark):
+    lines = ["0 0.5 0.5 0.2 0.2", " 0\t.5  0.5 0.2\t0.2 ", "0 5e-1 0.5 0.2 0.2", "0 0.5 0.5 0.2 0.2\x0b", "0 -0.1 0.5 0.2 0.2", "0 0.5 0.5 0 0.2", "0 0.5 0.5 -0.2 0.2", "9 0.5 0.5 0.2 0.2", "0 0.5 0.5 0.2 " + "9" * 400, "0 . 0.5 0.2 0.2"]
+    got = parsed(spark, lines)
+    assert [got[i].error for i in range(len(lines))] == [None] * 4 + ["range", "empty_box", "range", "class", "non_finite", "not_numeric"]
+    assert {(got[i].class_id, got[i].x_center, got[i].y_center, got[i].width, got[i].height) for i in range(4)} == {(0, 0.5, 0.5, 0.2, 0.2)}
+    assert labels.quarantine(spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, None)], "image string, line_no int, error string"), "image", count=True).collect() == [("a", "y", 1, 2)]
+
+
 def test_join_one_spreads_heavy_keys_and_keeps_the_others(spark, monkeypatch):
     monkeypatch.setattr(skew, "SHARE", 4)
     data = [(i, "hot" if i % 2 else None if i % 10 == 0 else f"k{i % 7}") for i in range(60)]
