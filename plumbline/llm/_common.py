@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.scratch import materialize, release, scratch_path
 
-__all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "forget", "fresh", "kept", "materialize", "release", "rows", "scratch_path", "table", "text_bytes"]
+__all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "forget", "fresh", "give_back", "kept", "materialize", "release", "rows", "scratch_path", "table", "text_bytes"]
 
 K, V = TypeVar("K", bound=Hashable), TypeVar("V")
 
@@ -22,7 +22,7 @@ _KEPT: dict[Hashable, Any] = {}
 def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     """The one large object that a worker keeps between batches. Workers outlive jobs, so that of another key makes way."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -30,6 +30,12 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
 def forget() -> None:
     """Let go of the kept object: for tasks that need their memory otherwise."""
     _KEPT.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return what Arrow's pool holds of freed batches; by itself it may keep them for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
 
 
 class Recent(Generic[K, V]):
@@ -79,6 +85,9 @@ def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
         for at in range(0, batch.num_rows, SLICE):
             part = batch.slice(at, SLICE)
             yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+            del part
+        del batch
+        give_back()
 
 
 def column_of(f: Callable[[Any], Any], kind: pa.DataType) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
@@ -87,6 +96,8 @@ def column_of(f: Callable[[Any], Any], kind: pa.DataType) -> Callable[[Iterator[
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in parts:
             yield pa.array((f(v) for at in range(0, len(values), SLICE) for v in values.slice(at, SLICE).to_pylist()), kind, size=len(values))
+            del values
+            give_back()
 
     return run
 
@@ -100,6 +111,8 @@ def columns_of(f: Callable[[list], list], kind: pa.DataType) -> Callable[[Iterat
             for at in range(0, len(values), SLICE):
                 found += f(values.slice(at, SLICE).to_pylist())
             yield pa.array(found, kind)
+            del values, found
+            give_back()
 
     return run
 
