@@ -34,14 +34,10 @@ def components(records: DataFrame, keys: list[str | Column], idx: str = "record_
     return records.join(roots, F.col(idx) == F.col("_n"), "left").withColumn("component_id", F.coalesce("root", idx)).drop("_n", "root")
 
 
-def near_pairs(records: DataFrame, threshold: int, idx: str = "record_idx", bits: str = "dhash", colour: str | None = "mean_rgb") -> DataFrame:
-    """Pairs (a, b), a before b, that share a byte of their hash, differ in at most ``threshold`` bits, and pass the colour gate.
-
-    Records with equal hash and colour are one node until the end, so a heap of alike images doesn't join with itself; their own pairs, and
-    those with other nodes, are written out afterwards because the result is the pairs. A pair is taken at its first shared byte.
-    """
+def _near_nodes(records: DataFrame, threshold: int, idx: str, bits: str, colour: str | None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (hash, colour, node, n) of records with equal hash and colour, and the pairs (node_a, node_b) of near ones, each taken at its first shared byte."""
     c = [colour] if colour else []
-    nodes = materialize(records.groupBy(bits, *c).agg(F.min(idx).alias("node"), F.count("*").alias("n")), "hash-nodes")
+    nodes = materialize(records.dropna(subset=[bits, *c]).groupBy(bits, *c).agg(F.min(idx).alias("node"), F.count("*").alias("n")), "hash-nodes")
     keyed = nodes.select("node", F.col(bits).alias("h"), *(F.col(x).alias("m") for x in c), F.posexplode(bands(bits)).alias("band", "value"))
     left = keyed.select("band", "value", *(F.col(x).alias(f"{x}_a") for x in keyed.columns if x not in ("band", "value")))
     right = keyed.select("band", "value", *(F.col(x).alias(f"{x}_b") for x in keyed.columns if x not in ("band", "value")))
@@ -49,7 +45,18 @@ def near_pairs(records: DataFrame, threshold: int, idx: str = "record_idx", bits
     if colour:
         close = close.where(largest_difference("m_a", "m_b") <= COLOUR_GATE)
     shared = F.array_position(F.zip_with(bands("h_a"), bands("h_b"), lambda x, y: x == y), True) - 1
-    close = close.where(shared == F.col("band")).select("node_a", "node_b")
+    return nodes, close.where(shared == F.col("band")).select("node_a", "node_b")
+
+
+def near_pairs(records: DataFrame, threshold: int, idx: str = "record_idx", bits: str = "dhash", colour: str | None = "mean_rgb") -> DataFrame:
+    """Pairs (a, b), a before b, that share a byte of their hash, differ in at most ``threshold`` bits, and pass the colour gate.
+
+    Records with equal hash and colour are one node until the end, so a heap of alike images doesn't join with itself; their own pairs, and
+    those with other nodes, are written out afterwards because the result is the pairs. Who needs a number or components takes
+    ``near_pair_count`` or ``near_edges``, which don't write them out.
+    """
+    c = [colour] if colour else []
+    nodes, close = _near_nodes(records, threshold, idx, bits, colour)
     own = nodes.where("n > 1").select(F.col("node").alias("node_a"), F.col("node").alias("node_b"))
     members = records.join(nodes.drop("n"), [bits, *c]).select("node", F.col(idx).alias("i"))
     first, second = members.withColumnsRenamed({"node": "node_a", "i": "x"}), members.withColumnsRenamed({"node": "node_b", "i": "y"})
@@ -57,6 +64,28 @@ def near_pairs(records: DataFrame, threshold: int, idx: str = "record_idx", bits
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def near_pair_count(records: DataFrame, threshold: int, idx: str = "record_idx", bits: str = "dhash", colour: str | None = "mean_rgb") -> DataFrame:
+    """One row: how many pairs ``near_pairs`` has, from the sizes of nodes."""
+    nodes, close = _near_nodes(records, threshold, idx, bits, colour)
+    one, two = (nodes.select(F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    across = close.join(one, "node_a").join(two, "node_b").select((F.col("n_a") * F.col("n_b")).alias("n"))
+    within = nodes.select(F.expr("n * (n - 1) div 2").alias("n"))
+    return across.unionByName(within).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("near_pairs"))
+
+
+def near_edges(records: DataFrame, threshold: int, idx: str = "record_idx", bits: str = "dhash", colour: str | None = "mean_rgb") -> DataFrame:
+    """Edges (a, b) with the components of ``near_pairs``: those of near nodes, and of each node's first record to its others."""
+    nodes, close = _near_nodes(records, threshold, idx, bits, colour)
+    keys = [bits, colour] if colour else [bits]
+    members = records.join(nodes.where("n > 1").drop("n"), keys).where(F.col(idx) != F.col("node"))
+    return close.toDF("a", "b").unionByName(members.select(F.col("node").alias("a"), F.col(idx).alias("b")))
+
+
+def duplicate_components(grouped: DataFrame) -> DataFrame:
+    """One row: the number of components with more than one record."""
+    return grouped.groupBy("component_id").count().where("count > 1").agg(F.count("*").alias("duplicate_components"))
+
+
 def cross_split(records: DataFrame) -> DataFrame:
     """(component_id, n_records, splits) of components in more than one split; splits sorted and joined by commas."""
     seen = records.groupBy("component_id").agg(F.count("*").alias("n_records"), F.array_sort(F.collect_set("split")).alias("s"))
@@ -95,8 +124,8 @@ def audit(records: DataFrame, boxes: DataFrame, classes: DataFrame, errors: Data
     """The audit's one-row report over records (record_idx, split, image_path, sha256, parent_id, dhash, mean_rgb, signature)."""
     grouped = materialize(components(records, ["sha256", "parent_id"]), "components")
     crossing, conflicting = cross_split(grouped), conflicts(records, "sha256", "signature")
-    multi = grouped.groupBy("component_id").count().where("count > 1").agg(F.count("*").alias("duplicate_components"))
-    near = near_pairs(records, near_threshold).agg(F.count("*").alias("near_pairs")) if near_threshold >= 0 else records.sparkSession.range(1).select(F.lit(0).cast("long").alias("near_pairs"))
+    multi = duplicate_components(grouped)
+    near = near_pair_count(records, near_threshold) if near_threshold >= 0 else records.sparkSession.range(1).select(F.lit(0).cast("long").alias("near_pairs"))
     as_map = lambda df, k, v, name: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias(name))
     splits, kinds = by_split(records, boxes, "record_idx"), by_class(boxes, classes, "record_idx")
     parts = [

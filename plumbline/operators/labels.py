@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What Python's str.split and str.splitlines take for white space and line ends, and int and float for numbers.
@@ -71,6 +71,11 @@ def quarantine(parsed: DataFrame, *image: str, count: bool = False) -> DataFrame
     return parsed.where("error is not null").groupBy(*image).agg(*first, *([F.count("*").alias("n_errors")] if count else []))
 
 
+def signature(box: Column) -> Column:
+    """An aggregate: an image's boxes as one string, the same in whatever order its label file has them."""
+    return F.to_json(F.array_sort(F.collect_list(box)))
+
+
 def valid_boxes(parsed: DataFrame, *image: str) -> DataFrame:
     """The boxes of images without any error. ``parsed`` is read twice, so it should be a written table."""
     return parsed.join(parsed.where("error is not null").select(*image).distinct(), list(image), "left_anti").drop("error")

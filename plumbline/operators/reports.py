@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import paths
 from plumbline.operators.ordering import global_index, seeded_permutation
 
 THUMB = 900  # width of a picture on the contact sheet
@@ -105,6 +106,17 @@ def to_pixels(boxes: DataFrame, width: str = "image_width", height: str = "image
     return boxes.withColumns(edges).withColumn("text_y", F.greatest(F.lit(0.0), F.col("top") - 11))
 
 
+def caption(name: str | Column, conf: str | Column) -> Column:
+    """A predicted box's caption: its class and its confidence to two places, halves to even. Exact for confidences in single precision."""
+    conf = F.col(conf) if isinstance(conf, str) else conf
+    return F.format_string("%s %.2f", name, F.rint(conf.cast("double") * 100) / 100)
+
+
+def pair_name(rank: str | Column, image: str | Column) -> Column:
+    """The file name of a picture beside its predictions: its rank in two places or more, and the image's stem."""
+    return F.format_string("%02d_%s.jpg", rank, paths.stem(image))
+
+
 def contact_sheet(pictures: DataFrame, columns: int = 2) -> DataFrame:
     """(rank, x, y, width, height, sheet_height): pictures scaled to one width, in rows as high as their highest.
 

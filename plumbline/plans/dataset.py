@@ -9,7 +9,8 @@ from plumbline.operators import audit, split
 from plumbline.sources import sinks, tree
 from plumbline.sources.scratch import materialize
 
-EXAMPLES = 50  # fixed values: examples in a report, and errors named when a run is refused
+EXAMPLES = 50  # fixed values: examples in a report, dropped files in a summary, and errors named when a run is refused
+DROPPED = 100
 NAMED = 20
 
 
@@ -52,7 +53,7 @@ def split_tree(spark: SparkSession, root: str, output: str, seed: int = 42, rati
         raise ValueError("unreadable records: " + "; ".join(f"{r.image_path}: {r.error}" for r in bad))
     if not audit.conflicts(records, "sha256", "signature").isEmpty():
         raise ValueError("equal images are annotated differently")
-    near = audit.near_pairs(records, near_threshold) if near_threshold >= 0 else None
+    near = audit.near_edges(records, near_threshold) if near_threshold >= 0 else None
     grouped = materialize(audit.components(records, ["sha256", "parent_id"], more_edges=near), "groups")
     counts = materialize(split.class_counts(grouped, boxes), "class-counts")
     assigned = materialize(split.assign(grouped, counts, seed, ratios, classes=sorted(layout.names)), "assigned")
@@ -69,6 +70,8 @@ def split_tree(spark: SparkSession, root: str, output: str, seed: int = 42, rati
     images = {r.output_split: r["count"] for r in manifest.groupBy("output_split").count().collect()}
     groups = {r.split: r["count"] for r in assigned.groupBy("split").count().collect()}
     result = {"seed": seed, "ratios": list(ratios), "near_threshold": near_threshold, "images_by_split": images, "groups_by_split": groups, "dropped": records.count() - sum(images.values())}
+    dropped = grouped.join(manifest.select(F.col("source_image").alias("image_path")), "image_path", "left_anti")
+    result["dropped_files"] = [r[0] for r in dropped.select("image_path").orderBy("image_path").limit(DROPPED).collect()]
     sinks.write_json(spark, result, f"{output}/split_summary.json")
     return result
 

@@ -6,7 +6,7 @@ predictions (click) and truths (view), embeddings are feature vectors. A key's l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import hashes
@@ -81,6 +81,17 @@ def cross_split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.cross_split(grouped(spark, sf_dir))
 
 
+@query(_COMPONENTS + "select count(*) as duplicate_components from (select component_id from comp group by component_id having count(*) > 1)")
+def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.duplicate_components(grouped(spark, sf_dir))
+
+
+@query("select l_orderkey as image, cast(to_json(list_sort(list({'class_id': l_returnflag, 'part': l_partkey}))) as varchar) as signature from lineitem group by l_orderkey")
+def annotation_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = F.struct(F.col("l_returnflag").alias("class_id"), F.col("l_partkey").alias("part"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("image")).agg(labels.signature(box).alias("signature"))
+
+
 @query("select cast(coalesce(sum(n - 1), 0) as bigint) as pairs from (select count(*) as n from documents group by text)")
 def exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.duplicate_pairs(records(spark, sf_dir), "sha256")
@@ -287,6 +298,11 @@ def near_pairs_by_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_pairs(hashed(spark, sf_dir), 16)
 
 
+@query(f"select count(*) as near_pairs from ({_NEAR})")
+def near_pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.near_pair_count(hashed(spark, sf_dir), 16, colour=None)
+
+
 def customers_as_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders in groups of one customer's, and their boxes."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_idx"), F.col("o_custkey").alias("component_id"))
@@ -399,13 +415,27 @@ def box_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with p as (select vec_id as rank, greatest(1, cast(round_even(ih * (900.0::double / iw), 0) as int)) as height, vec_id // 2 as line from ({_BOX}) where vec_id < 24),
+    f"""with p as (select rank, greatest(1, cast(round_even(ih * (900.0::double / iw), 0) as int)) as height, rank // 2 as line from (select *, row_number() over (order by ih desc, vec_id) - 1 as rank from ({_BOX})) where rank < 24),
     l as (select line, max(height) as h from p group by line)
     select rank, (rank % 2) * 900 as x, cast(coalesce((select sum(h) from l where l.line < p.line), 0) as bigint) as y, 900 as width, height, (select cast(sum(h) as bigint) from l) as sheet_height from p"""
 )
 def contact_sheet_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pictures = boxes_of_vectors(spark, sf_dir).where("vec_id < 24").withColumnRenamed("vec_id", "rank")
-    return reports.contact_sheet(pictures)
+    tallest = boxes_of_vectors(spark, sf_dir).orderBy(F.desc("image_height"), "vec_id").limit(24)
+    rank = F.row_number().over(Window.orderBy(F.desc("image_height"), "vec_id")) - 1  # of the sheet's pictures alone
+    return reports.contact_sheet(tallest.withColumn("rank", rank.cast("long")))
+
+
+@query("select vec_id, 'c' || (vec_id % 6) || ' ' || printf('%.2f', cast(abs(embedding[5]) as double)) as caption from embeddings")
+def box_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("c"), (F.col("vec_id") % 6).cast("string"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", reports.caption(name, F.abs(F.col("embedding")[4])).alias("caption"))
+
+
+@query(f"select rank, printf('%02d_user.%s.jpg', rank, cast(image as varchar)) as name from (select image, row_number() over (order by error desc, min_conf, image) as rank from ({_ERRORS})) where rank <= 120")
+def pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = reports.hardest(event_rows(spark, sf_dir), 120)
+    rank = F.row_number().over(Window.orderBy(*reports.hard_order())).cast("long")  # of the pictures that are picked alone
+    return hard.select(rank.alias("rank"), reports.pair_name(rank, F.concat(F.lit("/test/user."), F.col("image").cast("string"), F.lit(".png"))).alias("name"))
 
 
 def flag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

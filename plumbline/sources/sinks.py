@@ -90,11 +90,14 @@ def verified_audit(spark: SparkSession, path: str, root: str) -> dict:
     return report
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _store(spark, path)
+    return fs.exists(at)
+
+
 def is_complete(spark: SparkSession, run_dir: str) -> bool:
     """Whether a training run ended: its best weights, in its folder of weights, and its manifest are both there."""
-    fs, at = _store(spark, run_dir)
-    there = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(at, name))
-    return there("weights/best.pt") and there("experiment_manifest.json")
+    return exists(spark, f"{run_dir}/weights/best.pt") and exists(spark, f"{run_dir}/experiment_manifest.json")
 
 
 def experiment(spark: SparkSession, path: str) -> dict:

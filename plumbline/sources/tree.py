@@ -172,5 +172,5 @@ def records(spark: SparkSession, layout: Layout, raster: bool = False) -> tuple[
     numbered = global_index(good, split_rank(), path_order("rel"), "image_path", name="record_idx")
     boxes = labels.valid_boxes(parsed, "image_path").join(numbered.select("image_path", "record_idx"), "image_path").drop("image_path")
     box = F.struct("class_id", "x_center", "y_center", "width", "height")
-    signs = boxes.groupBy("record_idx").agg(F.to_json(F.array_sort(F.collect_list(box))).alias("signature"))
+    signs = boxes.groupBy("record_idx").agg(labels.signature(box).alias("signature"))
     return numbered.join(signs, "record_idx", "left").fillna("[]", "signature"), boxes, errors

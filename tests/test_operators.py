@@ -204,3 +204,14 @@ def test_join_one_spreads_heavy_keys_and_keeps_the_others(spark, monkeypatch):
         firsts = {k: min(i for i, x in data if x == k) for _, k in data if k}
         assert got == sorted((i, k or "", firsts.get(k)) for i, k in data if k or how == "left")
     assert skew.join_one(many.limit(0), one.limit(0), "k", "n").count() == 0
+
+
+def test_near_counts_and_edges_are_those_of_the_pairs(spark):
+    """Heaps of equal hashes, near ones, a lone one, one of another colour and one without a hash."""
+    rows = [(i, 5, [1.0, 1.0, 1.0]) for i in range(4)] + [(9, 7, [1.0, 1.0, 1.0]), (11, 7, [1.0, 1.0, 1.0]), (12, 7, [99.0, 1.0, 1.0]), (13, -1, [1.0, 1.0, 1.0]), (14, None, None), (15, None, None)]
+    df = spark.createDataFrame(rows, "record_idx long, dhash long, mean_rgb array<double>")
+    pairs = {tuple(r) for r in audit.near_pairs(df, 4).collect()}
+    assert len(pairs) == 6 + 1 + 4 * 2
+    assert audit.near_pair_count(df, 4).first()[0] == len(pairs)
+    assert {tuple(r) for r in connected_components(audit.near_edges(df, 4)).collect()} == {tuple(r) for r in connected_components(audit.near_pairs(df, 4)).collect()}
+    assert audit.near_pair_count(df.limit(0), 4).first()[0] == 0
