@@ -181,6 +181,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
 
 
 def rows_of_mix(mixed: DataFrame, shards: int = 16) -> DataFrame:
-    """The mix itself: the document's columns, once a draw, each shard a partition of its own and shuffled within it."""
+    """The mix itself: the document's columns, once a draw, each shard a partition of its own and shuffled within it.
+
+    Rows without a draw, such as those of sources whose target is zero, don't come; repeated rows come with their own draws; nulls are kept as they are; an
+    empty table gives an empty result. The document is a struct until the end, so no column's name clashes.
+    """
     drawn = mixed.select("doc", F.explode("draws").alias("draw")).select("doc", "draw.shard", "draw.place")
     return drawn.repartitionById(shards, F.col("shard")).sortWithinPartitions("place").select("doc.*")

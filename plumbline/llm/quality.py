@@ -241,6 +241,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    """The rows of ``docs``, all columns, whose score reaches the threshold.
+
+    Null and empty texts score the share of good texts; rows with null ids are scored like any other; repeated rows and equal texts stay or go
+    together; an empty table stays empty; long texts are read whole; no other column is looked at, so no name clashes.
+    """
     _, model = fitted(docs, text_col, sample)
     return docs.where(scorer(docs.sparkSession, model)(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
