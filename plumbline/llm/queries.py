@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import bpe_codec, html_extract, media, mixing, quality, simhash, token_counts, toxicity, warc, winnow
+from plumbline.llm import bpe_codec, html_extract, media, mixing, quality, simhash, token_counts, toxicity, url_filter, warc, winnow
 from plumbline.llm._common import materialize, table
 
 
@@ -55,6 +55,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 QUERIES: dict = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_html_extract": op2_html_extract,
@@ -66,6 +70,7 @@ QUERIES: dict = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
+    "op11_url_filter": op11_url_filter,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict = {
@@ -84,4 +89,18 @@ ORACLE_SQL: dict = {
                CASE WHEN page_id <> keeper THEN keeper END AS refers_to
         FROM kept
     """,
+    "op11_url_filter": """
+        WITH cut AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ), rules(h, p, v) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), judged AS (
+            SELECT *, (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM parts
+        )
+        SELECT page_id, host, path, rule, coalesce((SELECT v FROM rules WHERE h || p = rule), 'allow') AS verdict FROM judged
+    """,
 }
