@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import bpe_codec, html_extract, media, merkle, mixing, quality, simhash, token_counts, toxicity, url_filter, warc, winnow
+from plumbline.llm import bpe_codec, html_extract, media, merkle, mixing, quality, simhash, token_counts, toxicity, url_filter, vector_codes, warc, winnow
 from plumbline.llm._common import materialize, table
 
 
@@ -59,6 +59,10 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict = {
     "op9_mixing": op9_mixing,
     "op10_media": op10_media,
     "op11_url_filter": op11_url_filter,
+    "op12_vector_codes": op12_vector_codes,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
@@ -108,5 +113,6 @@ ORACLE_SQL: dict = {
         )
         SELECT page_id, host, path, rule, coalesce((SELECT v FROM rules WHERE h || p = rule), 'allow') AS verdict FROM judged
     """,
+    "op12_vector_codes": vector_codes.oracle(),
     "op13_merkle_manifest": merkle.oracle(),
 }
