@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashes import COLOUR_GATE, bands, hamming, largest_difference
+from plumbline.functions.hashes import BANDS, COLOUR_GATE, bands, hamming, largest_difference
 from plumbline.operators.components import connected_components
 from plumbline.operators.skew import join_one
 from plumbline.sources.scratch import materialize
 
+EXAMPLES = 50  # fixed values: components and conflicts that a report names,
+FILES = 1000  # and files of each; counts are of all
+
 
-def star_edges(records: DataFrame, key: str | Column, idx: str = "record_idx") -> DataFrame:
-    """Edges (a, b) from the first record of each key to its others. Firsts are pre-aggregated, and a hot key's rows meet theirs without a shuffle."""
-    keyed = records.select(F.col(idx).alias("b"), (F.col(key) if isinstance(key, str) else key).alias("k")).where("k is not null")
+def star_edges(records: DataFrame, *keys: str | Column, idx: str = "record_idx") -> DataFrame:
+    """Edges (a, b) from the first record of each value of each key to its others.
+
+    All keys share one pass. Firsts are pre-aggregated, and the rows of a hot value meet theirs without a shuffle. Null values join nothing.
+    """
+    values = F.array(*(F.struct(F.lit(i).alias("i"), (F.col(k) if isinstance(k, str) else k).cast("string").alias("v")) for i, k in enumerate(keys)))
+    keyed = records.select(F.col(idx).alias("b"), F.explode(values).alias("k")).where("k.v is not null")
     first = materialize(keyed.groupBy("k").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1"), "firsts")
     return join_one(keyed, first, "k", "n").where("a <> b").select("a", "b")
 
@@ -26,33 +37,52 @@ def duplicate_pairs(records: DataFrame, key: str | Column) -> DataFrame:
 
 def components(records: DataFrame, keys: list[str | Column], idx: str = "record_idx", more_edges: DataFrame | None = None) -> DataFrame:
     """``records`` with component_id, the least index that a record reaches over shared keys (and ``more_edges``)."""
-    edges = more_edges.select("a", "b") if more_edges is not None else None
-    for key in keys:
-        star = star_edges(records, key, idx)
-        edges = star if edges is None else edges.unionByName(star)
+    edges = star_edges(records, *keys, idx=idx)
+    if more_edges is not None:
+        edges = edges.unionByName(more_edges.select("a", "b"))
     roots = connected_components(edges).select(F.col("node").alias("_n"), "root")
     return records.join(roots, F.col(idx) == F.col("_n"), "left").withColumn("component_id", F.coalesce("root", idx)).drop("_n", "root")
 
 
+def equal_bytes(nodes: int, threshold: int) -> int:
+    """How many equal bytes are a key of the search among so many hashes: as many as make a value rare, but no more than two hashes within the threshold must share."""
+    return min(max(BANDS - threshold, 1), max(1, math.ceil(math.log2(max(nodes, 2)) / 8)))
+
+
 def _near_nodes(records: DataFrame, threshold: int, idx: str, bits: str, colour: str | None) -> tuple[DataFrame, DataFrame]:
-    """Nodes (hash, colour, node, n) of records with equal hash and colour, and the pairs (node_a, node_b) of near ones, each taken at its first shared byte."""
+    """Nodes (hash, colour, node, n) of records with equal hash and colour, and the pairs (node_a, node_b) of near ones.
+
+    Hashes that differ in ``threshold`` bits share ``BANDS - threshold`` bytes at least, or else, by the search's definition, one. Keys are combinations of so
+    many equal bytes, or of fewer while these are rare enough among the hashes, and, with colours, a step of the first channel as wide as the gate,
+    which one side takes with its neighbours. A pair is taken at the first combination that it shares.
+    """
     c = [colour] if colour else []
     nodes = materialize(records.dropna(subset=[bits, *c]).groupBy(bits, *c).agg(F.min(idx).alias("node"), F.count("*").alias("n")), "hash-nodes")
-    keyed = nodes.select("node", F.col(bits).alias("h"), *(F.col(x).alias("m") for x in c), F.posexplode(bands(bits)).alias("band", "value"))
-    left = keyed.select("band", "value", *(F.col(x).alias(f"{x}_a") for x in keyed.columns if x not in ("band", "value")))
-    right = keyed.select("band", "value", *(F.col(x).alias(f"{x}_b") for x in keyed.columns if x not in ("band", "value")))
-    close = left.join(right, ["band", "value"]).where((F.col("node_a") < F.col("node_b")) & (hamming("h_a", "h_b") <= threshold))
+    chosen = list(combinations(range(BANDS), equal_bytes(nodes.count(), threshold)))
+    byte = bands("h")
+    key = lambda combo: reduce(lambda x, i: F.shiftleft(x, 8).bitwiseOR(byte[i].cast("long")), combo, F.lit(0).cast("long"))
+    keyed = nodes.select("node", F.col(bits).alias("h"), *(F.col(x).alias("m") for x in c))
+    keyed = keyed.select("*", F.posexplode(F.array(*map(key, chosen))).alias("combo", "value"))
+    step = F.floor(F.col("m")[0] / COLOUR_GATE).cast("int") if colour else F.lit(0)
+    keyed = keyed.withColumn("step", step)
+    near_steps = F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)) if colour else F.col("step")
+    at = ["combo", "value", "step"]
+    side = lambda df, x: df.select(*at, *(F.col(k).alias(f"{k}_{x}") for k in keyed.columns if k not in at))
+    close = side(keyed.withColumn("step", near_steps), "a").join(side(keyed, "b"), at)
+    close = close.where((F.col("node_a") < F.col("node_b")) & (hamming("h_a", "h_b") <= threshold))
     if colour:
         close = close.where(largest_difference("m_a", "m_b") <= COLOUR_GATE)
-    shared = F.array_position(F.zip_with(bands("h_a"), bands("h_b"), lambda x, y: x == y), True) - 1
-    return nodes, close.where(shared == F.col("band")).select("node_a", "node_b")
+    equal = F.filter(F.transform(F.zip_with(bands("h_a"), bands("h_b"), lambda x, y: x == y), lambda same, i: F.when(same, i)), lambda i: i.isNotNull())
+    first = F.slice(equal, 1, len(chosen[0]))
+    combos = F.array(*(F.array(*map(F.lit, combo)) for combo in chosen))
+    return nodes, close.where(first == F.element_at(combos, F.col("combo") + 1)).select("node_a", "node_b")
 
 
 def near_pairs(records: DataFrame, threshold: int, idx: str = "record_idx", bits: str = "dhash", colour: str | None = "mean_rgb") -> DataFrame:
     """Pairs (a, b), a before b, that share a byte of their hash, differ in at most ``threshold`` bits, and pass the colour gate.
 
     Records with equal hash and colour are one node until the end, so a heap of alike images doesn't join with itself; their own pairs, and
-    those with other nodes, are written out afterwards because the result is the pairs. Who needs a number or components takes
+    those with other nodes, are written out afterwards because the result is the pairs: m alike images give m (m - 1) / 2 rows, 100,000 of them 5e9. Who needs a number or components takes
     ``near_pair_count`` or ``near_edges``, which don't write them out.
     """
     c = [colour] if colour else []
@@ -98,6 +128,31 @@ def conflicts(records: DataFrame, key: str | Column, signature: str | Column) ->
     return records.groupBy(k.alias("key")).agg(F.count("*").alias("n_records"), F.count_distinct(s).alias("n_signatures")).where("n_signatures > 1")
 
 
+def first_rows(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first ``k`` rows of each group in the given order. Each task keeps that many before groups are shuffled, so a hot group stays small."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return df.withColumn("_k", place).where(F.col("_k") <= k).drop("_k")
+
+
+def _with_files(groups: DataFrame, records: DataFrame, key: str, value: str, files: int, idx: str) -> DataFrame:
+    """``groups`` with ``files``: the first values of the group's records in their order."""
+    members = records.join(F.broadcast(groups.select(key)), key).select(key, idx, value)  # as many groups as a report has examples
+    listed = first_rows(members, [key], [idx], files).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(idx, value))).alias("m"))
+    return groups.join(listed.select(key, F.transform("m", lambda x: x[value]).alias("files")), key)
+
+
+def cross_split_files(records: DataFrame, groups: int = EXAMPLES, files: int = FILES, idx: str = "record_idx", path: str = "image_path") -> DataFrame:
+    """(component_id, n_records, splits, files) of the first components in more than one split, by their first record; files in record order, at most so many."""
+    top = materialize(cross_split(records).orderBy("component_id").limit(groups), "crossing")
+    return _with_files(top, records, "component_id", path, files, idx)
+
+
+def conflict_files(records: DataFrame, key: str, signature: str, groups: int = EXAMPLES, files: int = FILES, idx: str = "record_idx", path: str = "label_path") -> DataFrame:
+    """(key, first, n_records, files) of the first exact duplicates that are annotated differently, by their first record; files in record order, at most so many."""
+    seen = records.groupBy(key).agg(F.min(idx).alias("first"), F.count("*").alias("n_records"), F.count_distinct(signature).alias("signatures")).where("signatures > 1").drop("signatures")
+    return _with_files(materialize(seen.orderBy("first").limit(groups), "conflicting"), records, key, path, files, idx)
+
+
 def gate(errors: DataFrame, crossing: DataFrame, conflicting: DataFrame) -> DataFrame:
     """One row of counts and ``safe``: no errors, nothing across splits, no conflicts. No records at all are safe."""
     count = lambda df, name: df.agg(F.count("*").alias(name))
@@ -120,9 +175,9 @@ def by_class(boxes: DataFrame, classes: DataFrame, image: str) -> DataFrame:
     return classes.join(seen, "class_id", "left").select("class_id", zero("b", "n_boxes"), zero("i", "n_images"))
 
 
-def audit(records: DataFrame, boxes: DataFrame, classes: DataFrame, errors: DataFrame, near_threshold: int = 4) -> DataFrame:
-    """The audit's one-row report over records (record_idx, split, image_path, sha256, parent_id, dhash, mean_rgb, signature)."""
-    grouped = materialize(components(records, ["sha256", "parent_id"]), "components")
+def audit(records: DataFrame, boxes: DataFrame, classes: DataFrame, errors: DataFrame, near_threshold: int = 4, grouped: DataFrame | None = None) -> DataFrame:
+    """The audit's one-row report over records (record_idx, split, image_path, sha256, parent_id, dhash, mean_rgb, signature); ``grouped`` are their components if known."""
+    grouped = materialize(components(records, ["sha256", "parent_id"]), "components") if grouped is None else grouped
     crossing, conflicting = cross_split(grouped), conflicts(records, "sha256", "signature")
     multi = duplicate_components(grouped)
     near = near_pair_count(records, near_threshold) if near_threshold >= 0 else records.sparkSession.range(1).select(F.lit(0).cast("long").alias("near_pairs"))

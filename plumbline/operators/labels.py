@@ -19,12 +19,26 @@ def split_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
     return each.where(~F.col("line").rlike(f"^({BLANKS})?$")).drop(text_col)
 
 
+def outline(points: str | Column) -> Column:
+    """The box around a polygon (x, y, x, y, ...) as a struct of its centre x, y and size w, h.
+
+    Least and greatest are found from left to right by comparisons that a NaN never passes, as Python's ``min`` and ``max`` do: a NaN counts only
+    where it comes first, and then it stays.
+    """
+    v = F.col(points) if isinstance(points, str) else points
+    xs, ys = F.filter(v, lambda _, i: i % 2 == 0), F.filter(v, lambda _, i: i % 2 == 1)
+    # to the engine a NaN is greater than any number, so it is kept out by name
+    least = lambda a: F.aggregate(a, F.get(a, F.lit(0)), lambda m, x: F.when(~F.isnan(m) & (x < m), x).otherwise(m))
+    most = lambda a: F.aggregate(a, F.get(a, F.lit(0)), lambda m, x: F.when(~F.isnan(x) & (x > m), x).otherwise(m))
+    return F.struct(((least(xs) + most(xs)) / 2).alias("x"), ((least(ys) + most(ys)) / 2).alias("y"), (most(xs) - least(xs)).alias("w"), (most(ys) - least(ys)).alias("h"))
+
+
 def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") -> DataFrame:
     """Add class_id, x_center, y_center, width, height and error to rows with a label line.
 
     ``classes`` has the known class_id. A line is a class and four numbers (a box) or a class and a polygon of three points or more, whose box
     is taken. Errors in the order in which they are looked for: not_numeric, class, polygon, non_finite, range, empty_box. Centre and
-    size must be within [0, 1]; the box's edges may overhang. A polygon with a number that isn't finite is non_finite as a whole.
+    size must be within [0, 1]; the box's edges may overhang. What must be finite is the box: see ``outline`` for what a polygon's NaN does to it.
     """
     plain_box = F.col("_plain")
     at = lines.withColumn("_plain", F.coalesce(F.col(line_col).rlike(PLAIN), F.lit(False)))
@@ -38,17 +52,11 @@ def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") ->
     at = at.withColumn("_v", F.when(plain_box, four).when(F.col("_numeric"), F.transform(F.slice("_t", 2, 1 << 30), lambda s: plain(s).try_cast("double"))).otherwise(F.array().cast("array<double>")))
     known = classes.select(F.col("class_id").cast("long").alias("_k"), F.lit(True).alias("_known")).distinct()
     at = at.join(F.broadcast(known), F.col("_c") == F.col("_k"), "left")  # a dataset's class list
-    xs, ys = F.filter("_v", lambda v, i: i % 2 == 0), F.filter("_v", lambda v, i: i % 2 == 1)
+    around = outline(F.col("_v"))
     box = F.size("_v") == 4
     polygon = (F.size("_v") >= 6) & (F.size("_v") % 2 == 0)
-    pick = lambda i, outline: F.when(box, F.get("_v", F.lit(i))).when(polygon, outline)
-    at = at.withColumns({
-        "_x": pick(0, (F.array_min(xs) + F.array_max(xs)) / 2),
-        "_y": pick(1, (F.array_min(ys) + F.array_max(ys)) / 2),
-        "_w": pick(2, F.array_max(xs) - F.array_min(xs)),
-        "_h": pick(3, F.array_max(ys) - F.array_min(ys)),
-    })
-    finite = plain_box | F.forall("_v", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    at = at.withColumns({f"_{n}": F.when(box, F.get("_v", F.lit(i))).when(polygon, around[n]) for i, n in enumerate("xywh")})
+    finite = plain_box | F.forall(F.array("_x", "_y", "_w", "_h"), lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
     inside = F.col("_x").between(0.0, 1.0) & F.col("_y").between(0.0, 1.0) & F.col("_w").between(0.0, 1.0) & F.col("_h").between(0.0, 1.0)
     error = (
         F.when(~F.col("_numeric"), "not_numeric")

@@ -1,19 +1,15 @@
-"""What a run leaves behind: reports as JSON, class lists as YAML, and copied images with their labels."""
+"""What a run leaves behind: reports as JSON and class lists as YAML. Prepared trees are written by ``folders``."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.tree import _store, read_text
 
-COPIED = "output_image string, output_label string"
-
 
 def write_text(spark: SparkSession, text: str, path: str) -> str:
     """A small text to any store; missing folders are made."""
@@ -36,10 +32,10 @@ def one_row(report: DataFrame) -> dict:
     return json.loads(report.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()[0])
 
 
-def write_class_list(spark: SparkSession, root: str, names: dict[int, str]) -> str:
-    """data.yaml of a prepared tree, with its three splits."""
+def class_list(root: str, names: dict[int, str]) -> str:
+    """The text of a prepared tree's data.yaml, with its three splits."""
     spec = {"path": root, "train": "train/images", "val": "val/images", "test": "test/images", "names": names}
-    return write_text(spark, yaml.safe_dump(spec, sort_keys=False, allow_unicode=True), f"{root}/data.yaml")
+    return yaml.safe_dump(spec, sort_keys=False, allow_unicode=True)
 
 
 def must_be_empty(spark: SparkSession, folder: str) -> None:
@@ -49,40 +45,33 @@ def must_be_empty(spark: SparkSession, folder: str) -> None:
         raise FileExistsError(f"{folder} isn't empty")
 
 
-def copy_images(manifest: DataFrame, root: str) -> DataFrame:
-    """(output_image, output_label) of each row of the manifest (source_image, label_path, output_image), copied below ``root`` by the tasks.
-
-    A task that runs again writes the same bytes to the same names.
-    """
-
-    def copy(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
-
-        def opened(path: str):
-            return FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
-
-        for part in parts:
-            made = []
-            for image, label, out in zip(part.source_image, part.label_path, part.output_image, strict=True):
-                folder, _, name = out.rpartition("/")
-                text = f"{folder.replace('/images', '/labels')}/{name.rpartition('.')[0]}.txt"
-                for source, target in ((image, out), (label, text)):
-                    fs, at = opened(source)
-                    to_fs, to = opened(f"{root}/{target}")
-                    to_fs.create_dir(to.rpartition("/")[0], recursive=True)
-                    with fs.open_input_stream(at) as read, to_fs.open_output_stream(to) as write:
-                        while block := read.read(1 << 20):
-                            write.write(block)
-                made.append((out, text))
-            yield pd.DataFrame(made, columns=["output_image", "output_label"])
-
-    return manifest.select("source_image", "label_path", "output_image").mapInPandas(copy, COPIED)
+def write_report(spark: SparkSession, payload: dict, path: str, **streamed: DataFrame) -> str:
+    """``write_json`` of a report that ends in lists as long as tables: the rows of each, which are one column, pass through the driver a partition at a time."""
+    text = json.dumps(payload, indent=2, ensure_ascii=False, default=str)
+    fs, at = _store(spark, path)
+    stream = fs.create(at, True)
+    put = lambda held: stream.write(bytearray("".join(held).encode("utf-8")))
+    try:
+        put([text[: text.rindex("}")].rstrip()])
+        for key, rows in streamed.items():
+            held, before = [f",\n  {json.dumps(key)}: ["], "\n    "
+            for row in rows.toLocalIterator():
+                held.append(before + json.dumps(row[0], ensure_ascii=False))
+                before = ",\n    "
+                if len(held) >= 4096:
+                    put(held)
+                    held = []
+            put([*held, "]" if before == "\n    " else "\n  ]"])
+        put(["\n}"])
+    finally:
+        stream.close()
+    return path
 
 
 def verified_audit(spark: SparkSession, path: str, root: str) -> dict:
     """A stored audit report that may be trained on: it is safe and of this tree; anything else is an error."""
     report = json.loads(read_text(spark, path))
-    if not report.get("safe"):
+    if not report.get("safe_for_training"):
         raise RuntimeError("the audit doesn't call this dataset safe")
     fs, at = _store(spark, root)
     if report.get("dataset_root") != str(at.toString()):

@@ -1,7 +1,7 @@
 """Labelled image trees as tables: discovery, listing, contents and records, with a quarantine for what can't be read.
 
-Names come from the store's own listing, because Spark's file sources leave out empty files and names that begin with ``_`` or ``.``; contents
-come from the ``binaryFile`` source, so they are read by executors from any store that Spark reads.
+Names come from the store's own listing, a task for some folders each, because Spark's file sources leave out empty files and names that begin with ``_``
+or ``.``; contents come from the ``binaryFile`` source, so they are read by executors from any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from plumbline.functions.raster import raster_features
 from plumbline.operators import labels
 from plumbline.operators.ordering import global_index, path_order
 from plumbline.operators.split import split_rank
+from plumbline.sources.folders import list_folders, opened
 from plumbline.sources.scratch import materialize
 
 # fixed values: the splits in order, with the folder names that stand for each
@@ -34,6 +35,7 @@ class Layout:
     root: str
     names: dict[int, str]
     splits: dict[str, tuple[str, str]]
+    yaml: str = ""
 
 
 def _store(spark: SparkSession, path: str):
@@ -81,7 +83,7 @@ def discover(spark: SparkSession, root: str) -> Layout:
                 break
     if "train" not in splits:
         raise FileNotFoundError(f"no train images and labels in {root}")
-    return Layout(str(at.toString()), names, splits)
+    return Layout(str(at.toString()), names, splits, f"{at}/{listed[0]}")
 
 
 def classes(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -92,21 +94,18 @@ def classes(spark: SparkSession, layout: Layout) -> DataFrame:
 def listing(spark: SparkSession, layout: Layout) -> DataFrame:
     """One row for each file or folder below the image and label folders, with its place relative to them.
 
-    Like Spark's own file index this passes names through the driver, not contents.
+    Folders are listed in tasks, those of a depth together; only the names of folders pass through the driver, which plans the next depth from them.
     """
-    found = []
-    for split, folders in layout.splits.items():
-        for kind, folder in zip(("image", "label"), folders, strict=True):
-            fs, top = _store(spark, folder)
-            prefix, open_ = len(str(top.toString())) + 1, [top]
-            while open_:
-                for s in fs.listStatus(open_.pop()):
-                    path = s.getPath()
-                    name = str(path.toString())
-                    found.append((split, kind, folder, name, name[prefix:], s.getLen(), s.isDirectory()))
-                    if s.isDirectory():
-                        open_.append(path)
-    return spark.createDataFrame(pd.DataFrame(found, columns=[c.split()[0] for c in LISTING.split(", ")]), LISTING) if found else spark.createDataFrame([], LISTING)
+    tops = [(split, kind, folder) for split, folders in layout.splits.items() for kind, folder in zip(("image", "label"), folders, strict=True)]
+    found, open_ = None, [folder for _, _, folder in tops]
+    while open_:
+        one = materialize(list_folders(spark, open_), "folders")
+        found = one if found is None else found.unionByName(one)
+        open_ = [r.path for r in one.where("is_dir").select("path").collect()]
+    below = [(F.startswith("path", F.lit(f"{folder}/")), split, kind, folder) for split, kind, folder in tops]
+    pick = lambda i: F.coalesce(*(F.when(row[0], F.lit(row[i])) for row in below))
+    named = found.select(pick(1).alias("split"), pick(2).alias("kind"), pick(3).alias("root"), "path", "length", "is_dir")
+    return named.select("split", "kind", "root", "path", F.substr("path", F.length("root") + 2).alias("rel"), "length", "is_dir")
 
 
 def _hidden(path: str):
@@ -114,12 +113,10 @@ def _hidden(path: str):
 
 
 def _read_hidden(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow.fs import FileSystem
-
     for part in parts:
         contents = []
         for path in part.path:
-            fs, at = FileSystem.from_uri(path.replace("file:/", "file:///", 1) if not path.startswith("file:///") else path)
+            fs, at = opened(path)
             with fs.open_input_stream(at) as f:
                 contents.append(f.read())
         yield part.assign(content=contents)

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import hashes, paths, raster
-from plumbline.operators import adapter, audit, labels, reports, skew, split
+from plumbline.operators import adapter, audit, components, labels, reports, skew, split
 from plumbline.operators.components import connected_components
 from plumbline.operators.ordering import global_index, seeded_permutation
 
@@ -70,6 +70,55 @@ def test_components_are_those_of_a_union_find(spark, edges):
     assert set(found) <= linked
 
 
+def test_components_over_many_steps(spark, monkeypatch):
+    """Long paths, a hub, a comb and trees, none of which one task may finish; few nodes a task, so that sets meet late."""
+    monkeypatch.setattr(components, "FINISH", 0)
+    monkeypatch.setattr(components, "NODES", 20)
+    monkeypatch.setattr(skew, "SHARE", 4)
+    rnd = random.Random(6)
+    names = list(range(600))
+    rnd.shuffle(names)
+    pairs = [(i, i + 1) for i in range(99)] + [(100, i) for i in range(101, 250)] + [(i, i + 100) for i in range(260, 300)] + [(i, i // 2) for i in range(401, 500) if i // 2 > 400]
+    pairs += [(300 + rnd.randrange(60), 300 + rnd.randrange(60)) for _ in range(80)] + [(500, 500), (501, 502), (502, 501), (501, 502)]
+    edges = [(names[a], names[b]) if rnd.random() < 0.5 else (names[b], names[a]) for a, b in pairs]
+    home = {n: n for e in edges for n in e}
+    while any(home[a] != home[b] for a, b in edges):
+        for a, b in edges:
+            home[a] = home[b] = min(home[a], home[b])
+    text = lambda n: f"{n:05d}"
+    rows = [*((text(a), text(b)) for a, b in edges), (None, text(1)), (text(2), None)]
+    rnd.shuffle(rows)
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a string, b string").repartition(5)).collect()}
+    assert found == {text(n): text(r) for n, r in home.items() if n != r}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 4, 6, 7, 9, 64])
+@pytest.mark.parametrize("keyed_by", [1, 2, 3, 8])
+@pytest.mark.parametrize("colour", ["mean_rgb", None])
+def test_near_pairs_by_combinations_of_bytes(spark, monkeypatch, threshold, keyed_by, colour):
+    rnd = random.Random(threshold)
+    base = [rnd.getrandbits(64) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        h = rnd.choice(base)
+        for _ in range(rnd.choice([0, 1, 3, 5, 12])):
+            h ^= 1 << rnd.randrange(64)
+        rows.append((i, h - (1 << 64) if h >> 63 else h, [rnd.choice([0.0, 11.9, 12.0, 24.0, 255.0]), 5.0, rnd.choice([5.0, 17.0, 17.1])]))
+    near = lambda x, y: max(abs(p - q) for p, q in zip(x[2], y[2], strict=True)) <= 12 if colour else True
+    shares = lambda x, y: any((x >> 8 * k & 255) == (y >> 8 * k & 255) for k in range(8))
+    unsigned = lambda h: h & (1 << 64) - 1
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and near(x, y) and bin(unsigned(x[1]) ^ unsigned(y[1])).count("1") <= threshold and shares(unsigned(x[1]), unsigned(y[1]))}
+    monkeypatch.setattr(audit, "equal_bytes", lambda n, t: min(max(8 - t, 1), keyed_by))
+    got = [tuple(r) for r in audit.near_pairs(spark.createDataFrame(rows, "record_idx long, dhash long, mean_rgb array<double>"), threshold, colour=colour).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_keys_grow_with_the_hashes():
+    assert [audit.equal_bytes(n, 4) for n in (0, 200, 257, 1 << 17, 1 << 30)] == [1, 1, 2, 3, 4]
+    assert [audit.equal_bytes(1 << 40, t) for t in (0, 3, 7, 8, 16)] == [5, 5, 1, 1, 1]
+
+
 def record_rows(spark, rows):
     return spark.createDataFrame(rows, "record_idx long, split string, image_path string, sha256 string, parent_id string, dhash long, mean_rgb array<double>, signature string")
 

@@ -8,8 +8,9 @@ import zlib
 
 import pytest
 
+from plumbline.operators import audit
 from plumbline.plans import dataset
-from plumbline.sources import sinks, tree
+from plumbline.sources import folders, sinks, tree
 
 
 def png(grey: int, side: int = 24) -> bytes:
@@ -34,10 +35,13 @@ def test_copy_across_splits(spark, root):
     (root / "test/images/duplicate.png").write_bytes(png(10))
     (root / "test/labels/duplicate.txt").write_text("0 0.5 0.5 0.5 0.5\n")
     report = dataset.audit_tree(spark, f"file://{root}", f"file://{root}/out/report.json")
-    assert report["images_by_split"] == {"train": 3, "val": 2, "test": 4} and report["boxes_by_class"] == {"0": 6, "1": 3}
-    assert (report["exact_pairs"], report["parent_pairs"], report["near_pairs"], report["duplicate_components"], report["n_cross_split"]) == (1, 0, 1, 1, 1)
-    assert not report["safe"]
-    assert json.loads((root / "out/report.json").read_text())["classes"] == {"0": "normal", "1": "defect"}
+    assert report["images_by_split"] == {"train": 3, "val": 2, "test": 4} and report["boxes_by_class"] == {"normal": 6, "defect": 3}
+    assert report["duplicate_pair_candidates"] == {"exact_pairs": 1, "parent_pairs": 0, "near_pairs": 1}
+    assert (report["duplicate_components"], report["cross_split_duplicate_components"]) == (1, 1)
+    assert [(e["splits"], e["n_files"], [f.rpartition("/")[2] for f in e["files"]]) for e in report["cross_split_examples"]] == [(["test", "train"], 2, ["train-0.png", "duplicate.png"])]
+    assert not report["safe_for_training"]
+    written = json.loads((root / "out/report.json").read_text())
+    assert written == report and written["classes"] == {"0": "normal", "1": "defect"} and written["yaml"].endswith("/data.yaml")
     with pytest.raises(RuntimeError, match="safe"):
         sinks.verified_audit(spark, f"file://{root}/out/report.json", f"file://{root}")
 
@@ -58,12 +62,58 @@ def test_defects_are_quarantined_and_empty_files_kept(spark, root):
     assert boxes.where(f"record_idx = {kept['train-0.png']}").isEmpty()
 
 
+def test_report_names_files_classes_and_all_errors(spark, root, monkeypatch):
+    """Equal pictures with other boxes, two classes of one name, files beyond those that are named, and errors beyond those that are returned."""
+    monkeypatch.setattr(audit, "EXAMPLES", 2)
+    (root / "data.yaml").write_text("names: {0: same, 1: same, 2: none}\n")
+    for i in range(6):
+        (root / f"train/images/copy-{i}.png").write_bytes(png(77))
+        (root / f"train/labels/copy-{i}.txt").write_text(f"0 0.5 0.5 0.{i + 1} 0.5\n")
+        (root / f"train/images/bad-{i}.png").write_bytes(png(i))
+        (root / f"train/labels/bad-{i}.txt").write_text("0 0.5 0.5 0.5 0.5\n\n9 1 1 1 1\n")
+    report = dataset.audit_tree(spark, f"file://{root}", f"file://{root}/report.json", near_threshold=-1)
+    assert report["boxes_by_class"] == {"same": 3, "none": 0} and report["n_exact_image_annotation_conflicts"] == 1
+    assert [[f.rpartition("/")[2] for f in files] for files in report["exact_image_annotation_conflicts"]] == [[f"copy-{i}.txt" for i in range(6)]]
+    assert report["n_errors"] == 6 and len(report["errors"]) == 2
+    written = json.loads((root / "report.json").read_text())
+    assert [e.rpartition("/")[2] for e in written["errors"]] == [f"bad-{i}.png:3: class" for i in range(6)]
+    records, _, _ = tree.records(spark, tree.discover(spark, f"file://{root}"))
+    assert [(r.n_records, [f.rpartition("/")[2] for f in r.files]) for r in audit.conflict_files(records, "sha256", "signature", files=2).collect()] == [(6, ["copy-0.txt", "copy-1.txt"])]
+
+
+def test_listing_follows_folders(spark, root):
+    deep = root / "train/images/a b/c%20d/.hidden"
+    deep.mkdir(parents=True)
+    (deep / "x.png").write_bytes(png(1))
+    (root / "train/images/a b/_y.png").write_bytes(b"")
+    listed = {(r.split, r.kind, r.rel): (r.length, r.is_dir) for r in tree.listing(spark, tree.discover(spark, f"file://{root}")).collect()}
+    assert listed["train", "image", "a b/c%20d/.hidden/x.png"] == (len(png(1)), False)
+    assert listed["train", "image", "a b/_y.png"] == (0, False) and listed["train", "image", "a b/c%20d"][1]
+    assert len([k for k in listed if k[1] == "label"]) == 8 and len(listed) == 8 + 8 + 5
+
+
+def test_a_failed_copy_leaves_no_output(spark, root):
+    rows = [(f"file:{root}/train/images/train-{i}.png", "train", f"file:{root}/train/labels/train-{i}.txt", f"train/images/train-{i}.png", "", "", "train", "group-000000") for i in (0, 1, 9)]
+    out = root / "written"
+    with pytest.raises(Exception, match="train-9"):
+        folders.write_tree(spark.createDataFrame(rows, folders.WRITTEN).repartition(3), f"file:{out}", {"seed": 1}, "")
+    assert [p.name for p in root.iterdir() if p.name.startswith("written")] == []
+    folders.write_tree(spark.createDataFrame(rows[:2], folders.WRITTEN), f"file:{out}", {"seed": 1}, "names: []\n")
+    assert json.loads((out / "split_manifest.json").read_text())["manifest"][1]["output_image"].endswith("/written/train/images/train-1.png")
+    assert (out / "train/labels/train-0.txt").read_text() == "0 0.5 0.5 0.5 0.5\n"
+
+
 def test_split_leaves_a_clean_tree(spark, root):
     out = root / "prepared"
     result = dataset.split_tree(spark, f"file://{root}", f"file://{out}", seed=7)
-    assert sum(result["images_by_split"].values()) == 8 and len(result["images_by_split"]) == 3 and result["dropped"] == 0
+    assert sum(result["images"].values()) == 8 and len(result["images"]) == 3 and result["dropped_exact_duplicates"] == 0
+    told = json.loads((out / "split_manifest.json").read_text())
+    assert {k: v for k, v in told.items() if k != "manifest"} == result and result["ratios"] == {"train": 0.7, "val": 0.15, "test": 0.15}
+    splits = [r["output_split"] for r in told["manifest"]]
+    assert splits == sorted(splits, key=["train", "val", "test"].index) and len(splits) == 8
+    assert set(told["manifest"][0]) == {"source_image", "source_split", "output_image", "sha256", "parent_id", "output_split", "group_id"}
     again = dataset.audit_tree(spark, f"file://{out}", near_threshold=-1)
-    assert again["safe"] and again["n_errors"] == 0 and sum(again["images_by_split"].values()) == 8
+    assert again["safe_for_training"] and again["errors"] == [] and sum(again["images_by_split"].values()) == 8
     with pytest.raises(FileExistsError):
         dataset.split_tree(spark, f"file://{root}", f"file://{out}", seed=7)
 
