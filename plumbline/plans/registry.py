@@ -120,6 +120,26 @@ def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.gate(held.where("sha256 is null"), audit.cross_split(held), audit.conflicts(held, "sha256", "source"))
 
 
+@query(
+    _COMPONENTS
+    + """, crossing as (select component_id, count(*) as n_records, string_agg(distinct split, ',' order by split) as splits from comp join recs using (doc_id) group by 1 having count(distinct split) > 1 order by 1 limit 50),
+    files as (select component_id, array_to_string(list('img/' || doc_id || '.jpg' order by doc_id)[1:3], ',') as files from comp group by 1)
+    select component_id, n_records, splits, files from crossing join files using (component_id)"""
+)
+def cross_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = grouped(spark, sf_dir).withColumn("image_path", F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.lit(".jpg")))
+    return audit.cross_split_files(held, files=3).withColumn("files", F.array_join("files", ","))
+
+
+@query(
+    """with g as (select sha256(text) as sha256, min(doc_id) as first, count(*) as n_records, array_to_string(list('txt/' || doc_id || '.txt' order by doc_id)[1:4], ',') as files from documents group by 1 having count(distinct source) > 1)
+    select sha256, first, n_records, files from g order by first limit 50"""
+)
+def conflict_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = records(spark, sf_dir).withColumn("label_path", F.concat(F.lit("txt/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    return audit.conflict_files(held, "sha256", "source", files=4).withColumn("files", F.array_join("files", ","))
+
+
 def orders_as_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), split_of("o_orderkey").alias("split"))
     boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_returnflag").alias("class_id"))
@@ -253,11 +273,35 @@ def label_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from (select vec_id, list_filter(e, lambda x, i: i % 2 = 1) as xs, list_filter(e, lambda x, i: i % 2 = 0) as ys from (select vec_id, cast(embedding as double[]) as e from embeddings))"""
 )
 def polygon_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    xs, ys = F.filter("e", lambda v, i: i % 2 == 0), F.filter("e", lambda v, i: i % 2 == 1)
-    mid = lambda a: F.round((F.array_min(a) + F.array_max(a)) / 2, 5)
-    extent = lambda a: F.round(F.array_max(a) - F.array_min(a), 5)
-    return e.select("vec_id", mid(xs).alias("x_center"), mid(ys).alias("y_center"), extent(xs).alias("width"), extent(ys).alias("height"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", labels.outline(F.col("embedding").cast("array<double>")).alias("box"))
+    names = {"x": "x_center", "y": "y_center", "w": "width", "h": "height"}
+    return e.select("vec_id", *(F.round(f"box.{k}", 5).alias(n) for k, n in names.items()))
+
+
+#: Polygons of three or four points, in some of which a number is NaN or infinite, at the first place or a later one.
+_POLYGON = """
+    concat(cast(l_linenumber - 1 as {text}), {numbers}, case when l_quantity > 25 then concat(' 0.9', cast(l_linenumber as {text}), ' 0.05') else '' end)
+"""
+_NUMBERS = ", ".join(f"case when (l_suppkey + {i}) % 17 = 0 then ' nan' when (l_suppkey + {i}) % 61 = 0 then ' -inf' else concat(' 0.', cast(10 + (l_partkey * {i + 3}) % 89 as {{text}})) end" for i in range(6))
+
+
+@query(
+    f"""with lines as (select l_orderkey as image, l_linenumber as line_no, l_partkey as part, l_suppkey as supplier, {_POLYGON.format(numbers=_NUMBERS, text='varchar').format(text='varchar')} as line from lineitem),
+    v as (select *, list_transform(string_split(line, ' ')[2:], lambda s: cast(s as double)) as v from lines),
+    p as (select *, list_filter(v, lambda x, i: i % 2 = 1) as xs, list_filter(v, lambda x, i: i % 2 = 0) as ys from v),
+    e as (select *, list_reduce(xs, lambda m, x: case when not isnan(m) and x < m then x else m end) as l, list_reduce(xs, lambda m, x: case when not isnan(x) and x > m then x else m end) as r,
+                 list_reduce(ys, lambda m, x: case when not isnan(m) and x < m then x else m end) as t, list_reduce(ys, lambda m, x: case when not isnan(x) and x > m then x else m end) as b from p),
+    boxes as (select *, (l + r) / 2 as x, (t + b) / 2 as y, r - l as w, b - t as h from e),
+    judged as (select *, case when line_no > 6 then 'class' when not (isfinite(x) and isfinite(y) and isfinite(w) and isfinite(h)) then 'non_finite'
+                              when not (x between 0 and 1 and y between 0 and 1 and w between 0 and 1 and h between 0 and 1) then 'range' when w <= 0 or h <= 0 then 'empty_box' end as error from boxes)
+    select image, line_no, part, supplier, error, case when error is null then round(x, 6) end as x_center, case when error is null then round(y, 6) end as y_center,
+           case when error is null then round(w, 6) end as width, case when error is null then round(h, 6) end as height from judged"""
+)
+def label_parse_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.expr(_POLYGON.format(numbers=_NUMBERS, text="string").format(text="string"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), line.alias("line"))
+    classes = spark.createDataFrame([(0,), (1,), (2,), (3,), (4,), (5,)], "class_id int")
+    return labels.parse_lines(lines, classes).select("image", "line_no", "part", "supplier", "error", *(F.round(c, 6).alias(c) for c in ("x_center", "y_center", "width", "height")))
 
 
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,6 +347,28 @@ def near_pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_pair_count(hashed(spark, sf_dir), 16, colour=None)
 
 
+_GRID = "list_transform(range(72), lambda i: unicode(text[1 + i * length(text) // 72])) as g"
+_GRIDS = f"select doc_id, list_reduce(list_concat([0::bigint], list_transform(list_filter(range(1, 72), lambda i: i % 9 <> 0), lambda i: case when g[i + 1] > g[i] then 1::bigint else 0::bigint end)), lambda s, b: (s << 1) | b) as dhash from (select doc_id, {_GRID} from documents where length(text) > 0)"
+
+
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as grey rasters of nine columns and eight rows: characters at even distances over the whole text; texts without any have none."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    sample = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.ascii(F.substr("text", (F.lit(1) + F.floor(i * F.length("text") / 72)).cast("int"), F.lit(1))))
+    return docs.select(F.col("doc_id").alias("record_idx"), hashes.grid_difference_hash(sample).alias("dhash"))
+
+
+@query(_GRIDS.replace("(s << 1) | b", "case when s >= 4611686018427387904 then (s - 4611686018427387904) * 2 + b - 9223372036854775808 else s * 2 + b end"))
+def grid_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids(spark, sf_dir).withColumnRenamed("record_idx", "doc_id")
+
+
+@query(f"""with h as ({_GRIDS.replace("(s << 1) | b", "case when s >= 4611686018427387904 then (s - 4611686018427387904) * 2 + b - 9223372036854775808 else s * 2 + b end")})
+    select x.doc_id as a, y.doc_id as b from h x join h y on x.doc_id < y.doc_id and bit_count(xor(x.dhash, y.dhash)) <= 4""")
+def near_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.near_pairs(grids(spark, sf_dir), 4, colour=None)
+
+
 def customers_as_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders in groups of one customer's, and their boxes."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_idx"), F.col("o_custkey").alias("component_id"))
@@ -439,15 +505,15 @@ def pair_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two models' metrics, in order: those of return flags A and R."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'R')").groupBy(F.col("l_returnflag").alias("code"))
+    """Models' metrics, in order: those of each return flag."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("code"))
     wide = lines.agg(F.avg("l_discount").alias("a"), F.avg("l_tax").alias("b"), F.avg("l_quantity").alias("c"), F.min("l_extendedprice").alias("d"))
     names = ("metrics/mAP50-95(B)", "metrics/mAP50(B)", "metrics/precision(B)", "worst_class_map50_95")
     each = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("key"), F.col(c).alias("value")) for i, (n, c) in enumerate(zip(names, "abcd", strict=True))))
     return wide.select("code", F.explode(each).alias("m")).select("code", "m.*")
 
 
-_FLAG_METRICS = "select l_returnflag as code, avg(l_discount) as a, avg(l_tax) as b, avg(l_quantity) as c, min(l_extendedprice) as d from lineitem where l_returnflag in ('A', 'R') group by 1"
+_FLAG_METRICS = "select l_returnflag as code, avg(l_discount) as a, avg(l_tax) as b, avg(l_quantity) as c, min(l_extendedprice) as d from lineitem group by 1"
 _LONG = f"""
     with w as ({_FLAG_METRICS}), m as (
     select code, 'map50-95' as metric, a as v from w union all select code, 'map50', b from w union all select code, 'precision', c from w union all select code, 'worst_class_map50_95', d from w)
@@ -494,3 +560,29 @@ def adapter_weights(rank: int = 4, channels: int = 64) -> tuple[list, list, list
 def bilinear_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = adapter.bilinear_adapter("embedding", *adapter_weights(), scale=0.5)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(out).alias("c", "v")).select("vec_id", F.col("c").cast("long").alias("channel"), (F.round("v", 5) + 0.0).alias("value"))
+
+
+#: Embeddings as maps of sixteen channels, two by two; the default rank of 64 is cut to the channels.
+_ADAPTED = """
+    px as (select vec_id, p, list_transform(range(16), lambda c: cast(embedding[c * 4 + p + 1] as double)) as x from embeddings, range(4) t(p)),
+    pz as (select vec_id, p, x, list_transform(range(16), lambda r: list_sum(list_transform(range(16), lambda c: ((3 * r + c) % 7 - 3) / 10.0 * x[c + 1])) * list_sum(list_transform(range(16), lambda c: ((5 * r + 2 * c) % 11 - 5) / 10.0 * x[c + 1]))) as z from px),
+    pq as (select vec_id, p, x, list_transform(z, lambda v: sign(v) * sqrt(abs(v) + 1e-6)) as z from pz),
+    pu as (select vec_id, p, x, list_transform(z, lambda v: v / greatest(sqrt(list_sum(list_transform(z, lambda w: w * w))), 1e-6)) as z from pq),
+    py as (select vec_id, p, list_transform(range(16), lambda c: x[c + 1] + 0.5 * list_sum(list_transform(range(16), lambda r: ((c + 2 * r) % 5 - 2) / 10.0 * z[r + 1]))) as y from pu)
+"""
+
+
+def _maps(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    maps = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return adapter.adapt_maps(maps, *adapter_weights(adapter.RANK, 16), scale=0.5, features="embedding", **options).select("vec_id", F.posexplode("adapted").alias("at", "value"))
+
+
+@query(f"with {_ADAPTED} select vec_id, c * 4 + p as at, round(y[c + 1], 5) + 0.0 as value from py, range(16) t(c)")
+def adapter_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _maps(spark, sf_dir).select("vec_id", F.col("at").cast("long").alias("at"), (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query(f"with {_ADAPTED} select vec_id, k * 4 + p as at, round(k - 1 + list_sum(list_transform(range(16), lambda c: ((k + 3 * c) % 4 - 1) / 4.0 * y[c + 1])), 5) + 0.0 as value from py, range(3) t(k)")
+def class_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = [[((k + 3 * c) % 4 - 1) / 4 for c in range(16)] for k in range(3)], [k - 1 for k in range(3)]
+    return _maps(spark, sf_dir, branch=head).select("vec_id", F.col("at").cast("long").alias("at"), (F.round("value", 5) + 0.0).alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -264,3 +265,28 @@ def test_near_counts_and_edges_are_those_of_the_pairs(spark):
     assert audit.near_pair_count(df, 4).first()[0] == len(pairs)
     assert {tuple(r) for r in connected_components(audit.near_edges(df, 4)).collect()} == {tuple(r) for r in connected_components(audit.near_pairs(df, 4)).collect()}
     assert audit.near_pair_count(df.limit(0), 4).first()[0] == 0
+
+
+def test_adapter_of_maps(spark):
+    """The default rank at 256 channels, maps of two sizes in one batch, null and empty ones; planning it takes no time."""
+    rng = np.random.default_rng(8)
+    left, right, out = rng.normal(size=(adapter.RANK, 256)), rng.normal(size=(adapter.RANK, 256)), rng.normal(size=(256, adapter.RANK))
+    one, two = rng.normal(size=(256, 3, 4)), rng.normal(size=(256, 2, 1))
+    rows = [(1, one.ravel().tolist()), (2, None), (3, []), (4, two.ravel().tolist()), (5, [None] * 256)]
+    maps = spark.createDataFrame(rows, "i int, features array<double>").coalesce(1)
+    began = time.perf_counter()
+    adapted = adapter.adapt_maps(maps, left, right, out, scale=0.3)
+    assert time.perf_counter() - began < 2
+    got = {r.i: r.adapted for r in adapted.collect()}
+    for i, m in ((1, one), (4, two)):
+        want = adapter.forward(m.reshape(256, -1), left, right, out, 0.3, adapter.EPS)
+        pixel = m[:, 0, 0]
+        z = (left @ pixel) * (right @ pixel)
+        z = np.sign(z) * np.sqrt(np.abs(z) + adapter.EPS)
+        assert np.allclose(want[:, 0], pixel + 0.3 * out @ (z / np.linalg.norm(z))) and np.allclose(got[i], want.ravel())
+    assert got[2] is None and got[5] is None and got[3] == []
+    head = rng.normal(size=(7, 256)), rng.normal(size=7)
+    logits = adapter.adapt_maps(maps.where("i = 1"), left, right, np.zeros_like(out), branch=head).first().adapted
+    assert np.allclose(np.reshape(logits, (7, 3, 4)), np.einsum("kc,chw->khw", head[0], one) + head[1][:, None, None])
+    with pytest.raises(ValueError, match="branch"):
+        adapter.adapt_maps(maps, left, right, out, branch=(head[0], head[1][:2]))
