@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 RANK, EPS = 64, 1e-6
 
@@ -84,5 +85,4 @@ def adapt_maps(maps: DataFrame, left, right, output, scale: float = 1.0, eps: fl
             made = [None if x is None else next(parts).ravel() for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float64()))], [*batch.schema.names, result])
 
-    schema = maps.schema.add(result, "array<double>")
-    return maps.mapInArrow(run, schema)
+    return maps.mapInArrow(run, StructType([*maps.schema.fields, StructField(result, ArrayType(DoubleType()))]))

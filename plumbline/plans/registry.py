@@ -355,18 +355,19 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as grey rasters of nine columns and eight rows: characters at even distances over the whole text; texts without any have none."""
     docs = table(spark, sf_dir, "documents").where("length(text) > 0")
     sample = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.ascii(F.substr("text", (F.lit(1) + F.floor(i * F.length("text") / 72)).cast("int"), F.lit(1))))
-    return docs.select(F.col("doc_id").alias("record_idx"), hashes.grid_difference_hash(sample).alias("dhash"))
+    hashed_once = F.transform(F.array(sample), lambda g: hashes.grid_difference_hash(g))[0]  # of one element, so that a grid isn't sampled again for each of its places
+    return docs.select(F.col("doc_id").alias("record_idx"), hashed_once.alias("dhash"))
 
 
-@query(_GRIDS.replace("(s << 1) | b", "case when s >= 4611686018427387904 then (s - 4611686018427387904) * 2 + b - 9223372036854775808 else s * 2 + b end"))
+@query(_GRIDS.replace("(s << 1) | b", "case when s >= 4611686018427387904 then (s - 4611686018427387904) * 2 + b + (-9223372036854775807 - 1) else s * 2 + b end"))
 def grid_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids(spark, sf_dir).withColumnRenamed("record_idx", "doc_id")
 
 
-@query(f"""with h as ({_GRIDS.replace("(s << 1) | b", "case when s >= 4611686018427387904 then (s - 4611686018427387904) * 2 + b - 9223372036854775808 else s * 2 + b end")})
+@query(f"""with h as ({_GRIDS.replace("(s << 1) | b", "case when s >= 4611686018427387904 then (s - 4611686018427387904) * 2 + b + (-9223372036854775807 - 1) else s * 2 + b end")})
     select x.doc_id as a, y.doc_id as b from h x join h y on x.doc_id < y.doc_id and bit_count(xor(x.dhash, y.dhash)) <= 4""")
 def near_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.near_pairs(grids(spark, sf_dir), 4, colour=None)
+    return audit.near_pairs(materialize(grids(spark, sf_dir), "grids"), 4, colour=None)
 
 
 def customers_as_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
