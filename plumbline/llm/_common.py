@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any, Generic, TypeVar
 
@@ -11,10 +13,11 @@ from pyspark.sql import functions as F
 
 from plumbline.sources.scratch import materialize, release, scratch_path
 
-__all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "forget", "fresh", "give_back", "kept", "materialize", "release", "rows", "scratch_path", "table", "text_bytes"]
+__all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "forget", "fresh", "give_back", "kept", "materialize", "release", "rows", "scratch_path", "short_batches", "table", "text_bytes", "trim"]
 
 K, V = TypeVar("K", bound=Hashable), TypeVar("V")
 
+BATCH, UNSAID = "4m", "67108864b"  # the second is Spark's own default
 SLICE = 128  # rows of an Arrow batch that are Python objects at a time
 _KEPT: dict[Hashable, Any] = {}
 
@@ -24,6 +27,7 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in _KEPT:
         forget()
         _KEPT[key] = make()
+        trim()
     return _KEPT[key]
 
 
@@ -31,6 +35,20 @@ def forget() -> None:
     """Let go of the kept object: for tasks that need their memory otherwise."""
     _KEPT.clear()
     give_back()
+    trim()
+
+
+def trim() -> None:
+    """Return to the system what the C library holds of freed memory, where that library can."""
+    with contextlib.suppress(AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Cut the Arrow batches of this session by ``BATCH`` bytes, unless it says otherwise: ten thousand texts at a time are many megabytes, held by the executor and its worker alike."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == UNSAID:
+        spark.conf.set(name, BATCH)
 
 
 def give_back() -> None:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import Recent, batched, by_size, kept, rows
+from plumbline.llm._common import Recent, batched, by_size, kept, rows, short_batches
 from plumbline.llm.bpe_model import BpeModel
 
 HELD = 80_000  # words and stretches between blanks whose encodings a worker keeps at least
-GROUP = 2 << 20  # code points of texts whose words make a trie
+GROUP = 4 << 20  # code points of texts whose words make a trie
 
 
 def walk(model: BpeModel, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
@@ -122,8 +122,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     Ids are the tokenizers library's with ``add_special_tokens=False``; special strings inside a text are special tokens. Null
     counts as empty: no tokens, both digests those of the empty string. Repeated rows and null ids stay; other columns are not
-    looked at. One pass without a shuffle; memory is that of the kept words and of 2 MB of text or one longer text.
+    looked at; an empty table gives an empty result, a text of any length is one text. One pass without a shuffle; memory is that of the kept words and of
+    4 MB of text or one longer text.
     """
+    short_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import column_of, materialize
+from plumbline.llm._common import column_of, materialize, short_batches
 
 BUCKETS = 1 << 14
 WINDOW = 400  # words over which variety, which falls with length, is taken
@@ -194,7 +194,7 @@ def fitted(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tup
     Patterns are counted before the shuffle; there are at most 3 to the number of labellers. The sample takes one row, that of least
     hash, of each of a pattern's two hundred slots of hashes, so rare patterns are learnt as well; then ``sample`` of those.
     """
-
+    short_batches(docs.sparkSession)
     kind = pa.struct([("pattern", pa.string()), ("x", pa.list_(pa.float64()))])
 
     def seen_in(text: str) -> dict:

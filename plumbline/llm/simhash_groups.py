@@ -2,10 +2,10 @@
 
 SimHash goes first: fingerprints within two bits are linked by pigeonring chains, as in ``simhash``, and the links whose whole shingle sets are
 similar enough join most of the nearest copies. Two texts at the threshold may be some twenty bits apart, where no chain tells them from strangers; what is
-left is therefore found by prefix filtering, which is exact: in any one order of all shingles two sets with a Jaccard similarity of ``LEAST`` or more share
+left is therefore found by prefix filtering: in any one order of all shingles two sets with a Jaccard similarity of ``LEAST`` or more share
 one among the first few of each, so these are the keys of an equi-join between groups that aren't one yet. The order puts shingles that a
 sample finds often last, which only saves work. Of candidates of either kind the 256-bit SimHashes are compared, then the whole sets: texts of
-that similarity differ in some 39 bits, with a deviation of 6, so ``BITS_APART`` loses one in more than a thousand million.
+that similarity differ in some 39 bits, with a deviation of 6, so ``BITS_APART`` loses one in more than a thousand million: that comparison is the one step that isn't exact.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import simhash
-from plumbline.llm._common import batched, forget, fresh, materialize, release, rows, text_bytes
+from plumbline.llm._common import batched, forget, fresh, materialize, release, rows, short_batches, text_bytes
 from plumbline.llm.simhash import shingle_hashes
 from plumbline.operators.components import connected_components
 
@@ -141,6 +141,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Rows of equal shingle sets are one node, so exact copies make no pairs. Null and empty texts are copies of each other. Rows with equal ids
     are one document; null ids get no group. An empty table gives an empty result. Other columns are not looked at.
     """
+    short_batches(docs.sparkSession)
     held = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("data"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(held, words))
     signs = pa.schema([("id", pa.int64()), ("sign", pa.binary()), ("size", pa.int64()), ("fp", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])

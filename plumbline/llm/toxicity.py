@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import Recent, batched, columns_of, forget, kept, materialize, rows
+from plumbline.llm._common import Recent, batched, columns_of, forget, kept, materialize, rows, short_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 17
@@ -186,6 +186,7 @@ def held_out(id_column):
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id", sample: dict[int, int] = SAMPLE, postings: int = POSTINGS) -> Model:
     """The model of a documents and a labels table, fitted in one task on at most ``sum(sample)`` labelled rows and ``postings`` table rows."""
+    short_batches(docs.sparkSession)
     bags, prior = labelled_bags(docs, labels, id_col, text_col, label_col, label_id, sample, postings)
     schema = pa.schema([("weigh", pa.binary()), ("rows", pa.binary()), ("bias", pa.float64())])
 
