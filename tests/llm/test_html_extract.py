@@ -1,5 +1,8 @@
 """Main text of pages whose article is known."""
 
+import math
+
+import numpy as np
 import pytest
 
 from plumbline.llm import html_extract
@@ -66,6 +69,62 @@ def test_nothing_outside_the_long_part_is_lost(html):
     assert main_text(html).split("\n") == ["T", "A lead.", *TOLD, "The end."]
 
 
+HEAD, TAIL = "<p>A lead that is long enough to be a sentence of its own, more or less.</p>", "<p>A last paragraph that is long enough to be one, and then the story ends.</p>"
+LEAD, LAST = HEAD[3:-4], TAIL[3:-4]
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ('<h2 id="related-work">Related work</h2><p>Of others.</p>', ["Related work", "Of others."]),
+        ('<h2 id="social-impact" class="tags">Social impact</h2>', ["Social impact"]),
+        ('<section id="related-work"><h3>Of others</h3>' + "<p>Much has been written by others, and some of it is good.</p>" * 4 + "</section>", ["Of others"] + ["Much has been written by others, and some of it is good."] * 4),
+        ('<p class="left side">Beside a picture.</p>', ["Beside a picture."]),
+        ("<ul>" + "".join(f'<li><a href="/{i}">Source number {i}</a></li>' for i in range(5)) + "</ul>", [f"Source number {i}" for i in range(5)]),
+        ('<div class="notice-board-story"><p>On a board.</p></div>', ["On a board."]),
+        ('<p class="advert">Buy it now.</p><div class="related-links"><a href="/x">More of it</a></div><ul id="shareButtons"><li>Share</li></ul>', []),
+        ('<form><p>Write to us.</p><input name=a><textarea></textarea></form>', []),
+    ],
+)
+@pytest.mark.parametrize("frame", ["article", "div"])
+def test_names_inside_the_article(inner, want, frame):
+    html = f"<html><body>{NAV}<{frame}><h1>The title</h1>{HEAD}{inner}{STORY}{TAIL}</{frame}>{FOOT}</body></html>"
+    assert main_text(html).split("\n") == ["The title", LEAD, *want, *TOLD, LAST]
+
+
+def test_the_title_in_a_header_of_the_post():
+    html = f'<body>{NAV}<article><div class="post-header"><h1>T</h1></div>{STORY}</article>{FOOT}'
+    assert main_text(html).split("\n") == ["T", *TOLD]
+    html = f'<body>{NAV}<article><div class="masthead"><h1>T</h1></div>{STORY}</article>{FOOT}'
+    assert main_text(html).split("\n") == ["T", *TOLD]
+
+
+def test_a_form_around_the_page():
+    html = f'<body><form id="aspnetForm"><input type=hidden><input>{NAV}<div><h1>T</h1>{STORY}</div><form>{FOOT}'
+    assert main_text(html).split("\n") == ["T", *TOLD]
+
+
+@pytest.mark.parametrize("told", ["3 Comments", "Comments (3)", "Leave a reply", "No comments"])
+def test_reader_comments_in_a_plain_list(told):
+    html = f"<body>{NAV}<div><h1>T</h1>{STORY}<h3>{told}</h3><ol><li><p>I have read all of it, and I liked every single word in it, really.</p><li>So did I.</ol></div>{FOOT}"
+    assert main_text(html).split("\n") == ["T", *TOLD]
+
+
+def test_ratios_and_smoothing_are_those_of_plain_loops():
+    page = f"<body>{NAV}<article>{BODY}<p><a href=x>Linked as a whole</a></p><p><b>Bold</b> and <i>not</i></p></article>{FOOT}"
+    lines = html_extract.lines_of(page)
+    own = [0.0 if x.out or x.linked * 2 > len(x.text) else len(x.text) / (x.tags or 1) for x in lines]
+    assert list(html_extract.ratios(lines)) == own
+    even = []
+    for i in range(len(own)):
+        weights = {j: math.exp(-0.5 * ((i - j) / 1.5) ** 2) for j in range(len(own)) if abs(i - j) <= 4}
+        even.append(sum(w * own[j] for j, w in weights.items()) / sum(weights.values()))
+    assert list(html_extract.smooth(np.array(own))) == pytest.approx(even)
+    chosen = np.array([e >= 0.5 * sum(even) / len(even) and o > 0 for e, o in zip(even, own)])
+    region = html_extract.content_region(lines, chosen)
+    assert region[1] == "article" and main_text(page).split("\n")[:2] == WANT.split("\n")[:2]
+
+
 def test_sections_of_unequal_length_stay():
     first = "<p>The first section is a short one, yet it has a sentence that is as long as any other here.</p>" * 3
     html = f"<body>{NAV}<div><section>{first}</section><section>{STORY}</section></div>{FOOT}"
