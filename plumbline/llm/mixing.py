@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Every source's rows are hashed into blocks. A source's target, in words, is turned into an exact quota of block draws: whole passes
-over its blocks, then a prefix of its permuted blocks, the last one given in part. A splitting tree deals these quotas out: each node
+over its blocks, then a prefix of its permuted blocks, the last one given in part; a source of few rows is given row by row, by
+an exact sum. A splitting tree deals these quotas out: each node
 halves its range of shards, and the left half gets from each source a multivariate-hypergeometric share, drawn conditionally source
 by source. A leaf is a shard with its exact quota of each source; shards draw disjoint stretches of the permuted blocks, and rows of
 a shard are ordered by a hash. All randomness is hashes of a seed, so reruns agree and a lost task is computed again alike.
@@ -17,6 +18,7 @@ from plumbline.llm._common import materialize
 WEIGHTS = (5, 2, 1)
 NEAR = 0.002  # of a target: what a cut block may leave open without further tries
 STARTS = 48  # those tries
+FEW = 12  # rows of a source that is filled exactly, from none of its words to all that may be taken
 
 
 def word_count(text: str | Column) -> Column:
@@ -91,8 +93,38 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return done.select(F.col("lo").alias("shard"), F.explode("q").alias("x")).select("x.rank", "shard", F.col("x.n").alias("quota"))
 
 
+def _exact_fill() -> Column:
+    """The (mark, size) of few rows ``g``, each up to ``spare`` times, whose words come as near to ``rest`` from below as any such choice does.
+
+    Row after row the sums that can be reached are listed; from the best of the last list the way back tells how often each row is in it. Rows
+    without words are taken once.
+    """
+    nothing = F.array().cast("array<struct<mark:bigint,size:bigint>>")
+    draw = lambda x, k: F.array_repeat(F.struct(x.mark.alias("mark"), x["size"].alias("size")), k.cast("int"))
+    times = F.sequence(F.lit(0), F.col("spare"))
+
+    def solved(rows: Column) -> Column:
+        reach = lambda sums, x: F.array_distinct(F.filter(F.flatten(F.transform(sums, lambda s: F.transform(times, lambda k: s + k * x.all))), lambda s: s <= F.col("rest")))
+        lists = F.aggregate(rows, F.array(F.array(F.lit(0).cast("long"))), lambda found, x: F.concat(found, F.array(reach(F.element_at(found, -1), x))))
+
+        def back(found: Column) -> Column:
+            start = F.struct(F.array_max(F.element_at(found, -1)).alias("sum"), nothing.alias("took"))
+
+            def step(state: Column, i: Column) -> Column:
+                x = F.element_at(rows, i)
+                k = F.filter(times, lambda k: F.array_contains(F.element_at(found, i), state["sum"] - k * x.all))[0]
+                return F.struct((state["sum"] - k * x.all).alias("sum"), F.concat(state.took, draw(x, k)).alias("took"))
+
+            return F.aggregate(F.sequence(F.size(rows), F.lit(1), F.lit(-1)), start, step).took
+
+        return F.transform(F.array(lists), back)[0]  # of one element each, so that lists are made once
+
+    with_words, without = F.filter("g", lambda x: x.all > 0), F.flatten(F.transform(F.filter("g", lambda x: x.all == 0), lambda x: draw(x, F.lit(1))))
+    return F.concat(without, F.when(F.size(with_words) > 0, F.transform(F.array(with_words), solved)[0]).otherwise(nothing))
+
+
 def _fill() -> Column:
-    """What a cut block gives: the (mark, size) of rows whose words come near ``rest``, none more than ``spare`` times.
+    """What a cut block gives: the (mark, size) of rows whose words come near ``rest``, none more than ``spare`` times; of a source of ``few`` rows the best choice.
 
     Rows ``g`` (mark, size, all) are taken in the order of their marks if they fit, then again, the longest first, while there are copies to spare.
     If more than ``NEAR`` of the goal is still open, the block is filled anew with the longest rows first, from each of ``STARTS``
@@ -111,7 +143,7 @@ def _fill() -> Column:
     by_mark = first_fit(F.concat("g", again))
     starts = F.sequence(F.lit(1), F.least(F.lit(STARTS), F.greatest(F.size(longest), F.lit(1))))
     least = lambda every: F.array_min(F.transform(starts, lambda i: first_fit(F.slice(every, i, F.greatest(F.size(every), F.lit(1))))))
-    return F.when(by_mark.left <= F.col("goal") * NEAR, by_mark.took).otherwise(F.least(by_mark, least(rounds), least(heaps)).took)
+    return F.when(F.col("few"), _exact_fill()).when(by_mark.left <= F.col("goal") * NEAR, by_mark.took).otherwise(F.least(by_mark, least(rounds), least(heaps)).took)
 
 
 def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shards: int = 16, block_rows: int = 1000, seed: int = 17) -> DataFrame:
@@ -126,18 +158,19 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, shar
     sources = materialize(targets(sources, weights, cap).withColumn("n_blocks", F.ceil(F.col("n") / block_rows).cast("long")), "sources")
     placed = rows.join(sources.select(F.col("source").alias("s"), "n_blocks"), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.expr("pmod(mark, n_blocks)"))
     blocks = placed.groupBy("source", "block").agg(F.sum("size").alias("size"))
-    known = sources.select(F.col("source").alias("s"), "rank", "words", "target", "n_blocks")
+    few = (F.col("n_blocks") == 1) & (F.col("n") <= FEW)
+    known = sources.select(F.col("source").alias("s"), "rank", "words", "target", "n_blocks", few.alias("few"))
     blocks = blocks.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     order = Window.partitionBy("rank").orderBy(F.xxhash64(F.lit(seed), "rank", "block"), "block")
     blocks = blocks.withColumn("place", (F.row_number().over(order) - 1).cast("long"))
     blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    passes = F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0)
+    passes = F.when((F.col("words") > 0) & ~F.col("few"), F.floor(F.col("target") / F.col("words"))).otherwise(0)
     blocks = blocks.withColumn("passes", passes.cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("words") - F.col("before"))
     blocks = materialize(blocks.withColumn("extra", F.when(F.col("rest") > 0, 1).otherwise(0)), "blocks")
 
-    split = blocks.where("rest > 0 and size > rest").select(F.col("source").alias("s"), F.col("block").alias("b"), "rest", "n_blocks", F.col("target").alias("goal"), (F.lit(cap) - F.col("passes")).cast("int").alias("spare"))
+    split = blocks.where("rest > 0 and (size > rest or few)").select("few", F.col("source").alias("s"), F.col("block").alias("b"), "rest", "n_blocks", F.col("target").alias("goal"), (F.lit(cap) - F.col("passes")).cast("int").alias("spare"))
     inside = rows.join(split, F.col("source").eqNullSafe(F.col("s")) & (F.expr("pmod(mark, n_blocks)") == F.col("b")))
-    at = ["s", "b", "rest", "goal", "spare"]
+    at = ["s", "b", "rest", "goal", "spare", "few"]
     groups = inside.groupBy(*at, "mark", "size").agg(F.sum("size").alias("all"))  # equal ids stay together
     held = groups.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("mark", "size", "all"))).alias("g"))
     cuts = held.select("s", "b", _fill().alias("fill"))
@@ -157,8 +190,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     ``draws`` has an element (shard, pass, place) for each time that the mix takes the row: at most ``cap``. Ordering a shard by
     ``place`` gives its shuffled rows; ``rows_of_mix`` does so. A row's size is its number of words unless ``size`` is given; null
     texts have size zero; null sources form one source, ranked last; equal ids share a mark and are drawn together; an
-    empty table gives an empty result. Taken words of a source never exceed its target, and what they
-    miss is less than the shortest row of its cut block that could be drawn once more.
+    empty table gives an empty result. Taken words of a source never exceed its target; what they
+    miss is less than the shortest row of its cut block that could be drawn once more, and of a source of ``FEW`` rows or less no choice misses less.
     """
     measured = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), (size if size is not None else word_count(text_col)).alias("size"))
     measured = measured.withColumn("mark", F.xxhash64(F.lit(seed), F.col("id")))

@@ -72,6 +72,24 @@ def test_few_rows_come_near_their_target(spark):
     assert all(0 <= shard < 3 for *_, d in got for shard, *_ in d)
 
 
+def test_sources_of_few_rows_are_filled_exactly(spark):
+    """No choice of up to three draws a row comes nearer to the target from below; repeated rows are drawn together."""
+    rnd = random.Random(21)
+    data = [(100 * k + i, "w " * rnd.choice([0, 144, rnd.randint(100, 900)]), f"s{k}", "x", 1) for k in range(9) for i in range(rnd.choice([1, 3, 7, 12]))]
+    data += [(100, "w " * 50, "s1", "x", 1)] * 2 + [(10_000 + i, "w " * rnd.randint(1, 300), "t", "x", 1) for i in range(60)]
+    got = collect(spark, data, shards=3)
+    targets = {r[1]: r[4] for r in got}
+    for source in {f"s{k}" for k in range(9)}:
+        groups, sums = Counter(), {0}
+        for i, s, n, *_ in got:
+            if s == source:
+                groups[i, n] += n
+        for n in groups.values():
+            sums = {x + k * n for x in sums for k in range(4) if x + k * n <= targets[source] + 1e-6}
+        assert sum(n * len(d) for _, s, n, _, _, d in got if s == source) == max(sums)
+        assert all(len(d) <= 3 for _, s, *_, d in got if s == source)
+
+
 def test_quotas_are_dealt_out_exactly(spark):
     draws = spark.createDataFrame([(0, 90), (1, 0), (2, 7), (3, 31)], "rank int, draws long")
     dealt = mixing.split_quotas(draws, 7, seed=4).collect()
