@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import hashes
+from plumbline.functions import hashes, raster
 from plumbline.operators import adapter, audit, labels, reports, split
 from plumbline.operators.ordering import global_index, path_order
 from plumbline.sources.scratch import materialize
@@ -370,6 +370,55 @@ def near_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_pairs(materialize(grids(spark, sf_dir), "grids"), 4, colour=None)
 
 
+PIXELS = 32  # of a row, when a text's bytes are a picture
+
+
+def _weights_sql(name: str, sizes: str, to: int, kernel: str, reach: int) -> str:
+    """{name} (n, o, x, w): the whole-number weights that resample n places, of the sizes that a query gives, to a fixed number."""
+    return f"""
+    {name}_k as (
+        select n, o, x, case when abs(away) < {reach} * wide then {kernel} else 0 end as k from (
+        select *, away / wide as u from (select n, o, x, greatest(n / {to}::double, 1) as wide, x + 0.5::double - (o + 0.5::double) * (n / {to}::double) as away from ({sizes}), range({to}) a(o), range(n) b(x)))
+    ),
+    {name} as (select n, o, x, cast(sign(k) * floor(abs(k / sum(k) over (partition by n, o)) * 4194304 + 0.5::double) as bigint) as w from {name}_k)"""
+
+
+_LANCZOS = "case when u = 0 then 1 else sin(pi() * u) / (pi() * u) * sin(pi() * u / 3) / (pi() * u / 3) end"
+_BYTE = "least(255, greatest(0, cast(floor((sum(v * w) + 2097152) / 4194304.0::double) as bigint)))"
+_RASTERS = f"""
+    b as (select doc_id, regexp_extract_all(hex(encode(text)), '..') as hs from documents where length(text) > 0),
+    s as (select doc_id, (len(hs) + {3 * PIXELS - 1}) // {3 * PIXELS} as h, hs from b),
+    f as (select doc_id, h, unnest(range(h * {3 * PIXELS})) as i, unnest(list_transform(range(1, h * {3 * PIXELS} + 1), lambda j: case when j > len(hs) then 0 else ('0x' || hs[j])::int end)) as v from s),
+    p as (select doc_id, h, i // {3 * PIXELS} as y, i // 3 % {PIXELS} as x, i % 3 as c, v from f),
+    {_weights_sql('wx', f'select {PIXELS} as n', 9, _LANCZOS, 3)}, {_weights_sql('wy', 'select distinct h as n from s', 8, _LANCZOS, 3)}, {_weights_sql('wt', 'select distinct h as n from s', 32, 'greatest(0, 1 - abs(u))', 1)},
+    g as (select doc_id, h, y, x, (19595 * sum(v) filter (c = 0) + 38470 * sum(v) filter (c = 1) + 7471 * sum(v) filter (c = 2) + 32768) // 65536 as v from p group by all),
+    ga as (select doc_id, h, y, o as j, {_BYTE} as v from g join wx using (x) group by all),
+    gd as (select doc_id, wy.o as i, j, {_BYTE} as v from ga join wy on wy.n = h and wy.x = y group by all),
+    bits as (select doc_id, list(case when z.v > a.v then 1::bigint else 0::bigint end order by a.i, a.j) as l from gd a join gd z using (doc_id) where z.i = a.i and z.j = a.j + 1 group by doc_id),
+    hashed as (select doc_id, list_reduce(l, lambda s, b: case when s >= 4611686018427387904 then (s - 4611686018427387904) * 2 + b + (-9223372036854775807 - 1) else s * 2 + b end) as dhash from bits),
+    m as (select doc_id, c, p.x as x, o, {_BYTE} as v from p join wt on wt.n = h and wt.x = y group by all),
+    means as (select doc_id, avg(v) filter (c = 0) as red, avg(v) filter (c = 1) as green, avg(v) filter (c = 2) as blue from m group by doc_id)
+"""
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pictures: their bytes as red, green and blue, ``PIXELS`` pixels a row."""
+    return raster.sample_features(table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data")), "data", PIXELS).where("dhash is not null")
+
+
+@query(f"with {_RASTERS} select doc_id, dhash, round(red, 6) as red, round(green, 6) as green, round(blue, 6) as blue from hashed join means using (doc_id)")
+def raster_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters(spark, sf_dir).select("doc_id", "dhash", *(F.round(F.col("mean_rgb")[i], 6).alias(c) for i, c in enumerate(("red", "green", "blue"))))
+
+
+@query(
+    f"""with {_RASTERS}, r as (select doc_id, dhash, red, green, blue from hashed join means using (doc_id))
+    select x.doc_id as a, y.doc_id as b from r x join r y on x.doc_id < y.doc_id and bit_count(xor(x.dhash, y.dhash)) <= 4 where greatest(abs(x.red - y.red), abs(x.green - y.green), abs(x.blue - y.blue)) <= 12.0"""
+)
+def near_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.near_pairs(materialize(rasters(spark, sf_dir).withColumnRenamed("doc_id", "record_idx").drop("data"), "rasters"), 4)
+
+
 def customers_as_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Orders in groups of one customer's, and their boxes."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_idx"), F.col("o_custkey").alias("component_id"))

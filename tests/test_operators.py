@@ -233,7 +233,7 @@ def test_raster_features():
     assert raster.difference_hash(flat) == 0 and raster.mean_rgb(flat) == [130.0] * 3
     ramp = np.repeat(np.arange(0, 240, 10, dtype=np.uint8)[None, :, None], 24, axis=0).repeat(3, axis=2)
     assert raster.difference_hash(ramp) == -1  # all 64 bits
-    assert np.allclose(raster.weights(24, 9, raster.lanczos, 3).sum(axis=1), 1)
+    assert np.allclose(raster.weights(24, 9, raster.lanczos, 3).sum(axis=1) / (1 << raster.BITS), 1)
 
 
 def test_plain_and_other_lines_follow_the_same_rules(spark):
@@ -290,3 +290,26 @@ def test_adapter_of_maps(spark):
     assert np.allclose(np.reshape(logits, (7, 3, 4)), np.einsum("kc,chw->khw", head[0], one) + head[1][:, None, None])
     with pytest.raises(ValueError, match="branch"):
         adapter.adapt_maps(maps, left, right, out, branch=(head[0], head[1][:2]))
+
+
+def test_rasters_in_a_column(spark):
+    """A ramp, a flat picture, one with a short last row and none; the grid's hash by built-in functions is a second way to the same bits."""
+    rng = np.random.default_rng(2)
+    noise = rng.integers(0, 256, (50, 40, 3), dtype=np.uint8)
+    ramp = np.repeat(np.arange(40, dtype=np.uint8)[None, :, None] * 6, 30, axis=0).repeat(3, axis=2)
+    rows = [(1, ramp.tobytes()), (2, bytes([7]) * 40 * 3 * 9), (3, noise.tobytes()), (4, noise.tobytes()[:-31]), (5, b""), (6, None)]
+    held = raster.sample_features(spark.createDataFrame(rows, "i int, data binary"), "data", 40)
+    got = {r.i: r for r in held.collect()}
+    assert got[1].dhash == -1 and got[2].dhash == 0 and got[2].mean_rgb == [7.0, 7.0, 7.0]
+    assert got[5].dhash is None and got[6].mean_rgb is None
+    cut = noise.copy().reshape(-1)
+    cut[-31:] = 0
+    for i, picture in ((3, noise), (4, cut.reshape(noise.shape))):
+        small = raster.resample(raster.grey(picture), raster.HASH_SIZE, raster.lanczos, 3)
+        bits = spark.createDataFrame([(small.ravel().tolist(),)], "g array<long>").select(hashes.grid_difference_hash("g").alias("h")).first().h
+        assert got[i].dhash == bits == raster.difference_hash(picture)
+        assert np.allclose(got[i].mean_rgb, [raster.resample(picture[..., c], raster.MEAN_SIZE, raster.triangle, 1).mean() for c in range(3)])
+    # a flat picture keeps its brightness at any size, and fixed weights differ from exact ones by less than a step
+    exact = rng.integers(0, 256, (33, 21)).astype(float)
+    away = raster.weights(21, 9, raster.lanczos, 3) / (1 << raster.BITS)
+    assert np.abs(np.clip(exact @ away.T, 0, 255) - raster.resample(exact, (9, 33), raster.lanczos, 3)).max() <= 1.01
