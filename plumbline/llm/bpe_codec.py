@@ -52,15 +52,15 @@ def encode_words(model: BpeModel, words: Iterable[str]) -> dict[str, list[int]]:
 class Codec:
     """Encodes and decodes texts with one byte-level vocabulary."""
 
-    def __init__(self, path: str):
-        self.model = BpeModel(path)
+    def __init__(self, path: str, held: int = HELD, group: int = GROUP):
+        self.model, self.group = BpeModel(path), group
         byte_of = {letter: b for b, letter in enumerate(self.model.letters_of_bytes)}
         self.bytes_of: dict[bytes, bytes] = {}
         for token, i in [*self.model.ids.items(), *self.model.special.items()]:
             self.bytes_of[b"%d" % i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         text_of = {int(i): i for i in self.bytes_of}
         self.decimal = {token: text_of[i] for token, i in self.model.ids.items()}
-        self._known: Recent[str, bytes] = Recent(HELD)  # words, and stretches: those after a blank with it, those that begin a line without
+        self._known: Recent[str, bytes] = Recent(held)  # words, and stretches: those after a blank with it, those that begin a line without
         self.newline = b"%d" % self.model.ids[self.model.letters("\n")]
 
     def _learn(self, words: set[str]) -> None:
@@ -83,10 +83,11 @@ class Codec:
         """The decimal ids of each text joined by commas."""
         model = self.model
         out: list[bytes] = []
-        for group in by_size(((0, t) for t in texts), GROUP):
+        for group in by_size(((0, t) for t in texts), self.group):
             self._known.turn()
             parts = [[(part, special, not special and model.evenly_spaced(part)) for part, special in model.sections(t)] for _, t in group]
-            seen, rest = set(), []
+            seen: set[str] = set()
+            words: set[str] = set()
             for each in parts:
                 for part, special, even in each:
                     if even:
@@ -95,16 +96,18 @@ class Codec:
                             seen.add(first)
                             seen.update(map(" ".__add__, later))
                     elif not special:
-                        rest.append(model.words(part))
+                        words.update(model.words(part))
             new = self._known.missing(seen)
             plain = [r for r in new if r.removeprefix(" ").isalpha()]  # a word by itself
             cut = [(r, model.words(r)) for r in new.difference(plain)]
-            self._learn({w for words in (plain, *(c[1] for c in cut), *rest) for w in words})
+            words.update(plain, *(c[1] for c in cut))
+            self._learn(words)
             known = self._known.young
-            self._known.add({r: b",".join(map(known.__getitem__, words)) for r, words in cut})
-            left = iter(rest)
+            self._known.add({r: b",".join(map(known.__getitem__, held)) for r, held in cut})
+            del seen, words, new, plain, cut
             for each in parts:
-                coded = [b"%d" % model.special[part] if special else self._even(part) if even else b",".join(map(known.__getitem__, next(left))) for part, special, even in each]
+                # a stretch is cut into words again rather than held as words: it has many more of them than are different
+                coded = [b"%d" % model.special[part] if special else self._even(part) if even else b",".join(map(known.__getitem__, model.words(part))) for part, special, even in each]
                 out.append(b",".join(x for x in coded if x))
         return out
 
@@ -113,27 +116,27 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(b","))).decode("utf-8", "replace") if ids else ""
 
 
-def codec(path: str) -> Codec:
-    return kept((Codec, path), lambda: Codec(path))
+def codec(path: str, held: int = HELD, group: int = GROUP) -> Codec:
+    return kept((Codec, path, held, group), lambda: Codec(path, held, group))
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", held: int = HELD, group: int = GROUP) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) for every row.
 
     Ids are the tokenizers library's with ``add_special_tokens=False``; special strings inside a text are special tokens. Null
     counts as empty: no tokens, both digests those of the empty string. Repeated rows and null ids stay; other columns are not
-    looked at; an empty table gives an empty result, a text of any length is one text. One pass without a shuffle; memory is that of the kept words and of
-    4 MB of text or one longer text.
+    looked at; an empty table gives an empty result, a text of any length is one text. One pass without a shuffle; memory is that of ``held`` kept words or
+    twice as many and of ``group`` code points of text or one longer text. Smaller ones take less memory and more time; results are the same.
     """
     short_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):
-        c = codec(tokenizer)
+        c = codec(tokenizer, held, group)
 
         def each():
-            for group in by_size(rows(batches, "id", "text"), GROUP):
-                for (i, _), coded in zip(group, c.encode([t for _, t in group]), strict=True):
+            for some in by_size(rows(batches, "id", "text"), group):
+                for (i, _), coded in zip(some, c.encode([t for _, t in some]), strict=True):
                     yield i, coded.count(b",") + 1 if coded else 0, hashlib.sha256(coded).hexdigest(), hashlib.sha256(c.decode(coded).encode()).hexdigest()
 
         return batched(schema, each())

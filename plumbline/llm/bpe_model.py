@@ -127,7 +127,7 @@ class BpeModel:
         """Whether the encoding of the joint text of two tokens, each encoding itself, is these two."""
         known = self._apart.get((a, b))
         if known is None:
-            if len(self._apart) > 250_000:
+            if len(self._apart) > 150_000:
                 self._apart.clear()
             known = self._apart[a, b] = self._first_across(a, b) == _NEVER
         return known
