@@ -32,7 +32,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text that they decode to. Nulls, repeated rows, an empty table and other columns: see ``bpe_codec.encode_decode``."""
-    return bpe_codec.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+    return bpe_codec.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), held=HELD, group=GROUP).withColumnRenamed("id", "doc_id")
+
+
+#: Words that an encoding worker keeps, and code points whose words it looks at together: less than by itself, as executors come from the other stages with their memory touched.
+HELD, GROUP = 30_000, 1 << 20
 
 
 STAGES = [("toxicity", harmless), ("quality", good), ("simhash_near_dedup", distinct), ("mixing", mixed), ("bpe_codec", encoded)]
