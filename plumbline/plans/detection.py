@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import detection
+from plumbline.functions import canvas
+from plumbline.operators import detection, pictures
 from plumbline.plans.registry import query, table
 
 # the same text for both engines; {d} makes a literal a double
@@ -143,3 +147,32 @@ def boxes_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"))
     held = detection.side_by_side(images, boxes(spark, sf_dir), findings(spark, sf_dir))
     return held.select("image", *(F.array_join(F.transform(c, lambda x: x.class_id), ",").alias(c) for c in ("truths", "predictions")))
+
+
+def _outlined(name: str, boxes_: str) -> str:
+    """{name} (doc_id, n): how many pixels of a document's picture are on the outline of any of its boxes."""
+    edge = "(y < trunc(t / 256 * h) + 3 or y > trunc(b / 256 * h) - 3 or x < trunc(l / 256 * 32) + 3 or x > trunc(r / 256 * 32) - 3)"
+    inside = "y between trunc(t / 256 * h) and trunc(b / 256 * h) and x between trunc(l / 256 * 32) and trunc(r / 256 * 32)"
+    return f"{name} as (select doc_id, count(distinct y * 32 + x) as n from sizes join {boxes_} on image = doc_id, range(32) c(x), range(h) d(y) where {inside} and {edge} group by doc_id)"
+
+
+@query(
+    f"""with {_boxes_sql(1.5)}, sizes as (select doc_id, (octet_length(encode(text)) + 95) // 96 as h from documents where length(text) > 0), {_outlined('blue', 'truth')}, {_outlined('red', 'guess')}
+    select doc_id as image, 64 as width, cast(h + 24 as int) as height, coalesce(blue.n, 0) as blue, coalesce(red.n, 0) as red from sizes left join blue using (doc_id) left join red using (doc_id)"""
+)
+def pair_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pictures beside themselves, with order lines of the same number as boxes; the files are read back, and the pixels in each colour counted."""
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0").select(F.col("doc_id").alias("image"), F.encode("text", "UTF-8").alias("bytes"))
+    rows = F.ceil(F.octet_length("bytes") / 96).cast("int")
+    full = F.unhex(F.rpad(F.hex("bytes"), rows * 192, F.lit("0")))
+    held = docs.select("image", F.lit(32).alias("width"), rows.alias("height"), full.alias("data"))
+    shares = lambda df: df.withColumns({c: F.col(c) / 256 for c in detection.CORNERS})
+    files = pictures.as_png(pictures.pairs(held, shares(boxes(spark, sf_dir)), shares(findings(spark, sf_dir))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [canvas.pixels(x.as_py()) for x in batch.column("png")]
+            n = lambda colour: pa.array([int((p == colour).all(2).sum()) for p in found], pa.int64())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image", "width", "height")), n(canvas.TRUTH), n(canvas.FOUND)], ["image", "width", "height", "blue", "red"])
+
+    return files.mapInArrow(count, "image long, width int, height int, blue long, red long")

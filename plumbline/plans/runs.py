@@ -7,10 +7,10 @@ few dozen a model; counts are rows of ``reports.count_errors``, which are as man
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators import detection, reports
+from plumbline.operators import detection, pictures, reports
 from plumbline.plans import dataset
 from plumbline.sources import sinks, tree
 from plumbline.sources.scratch import materialize
@@ -155,12 +155,30 @@ def screen_trees(spark: SparkSession, root: str, output_root: str, seed: int, pr
 
 
 def visual_audit(spark: SparkSession, root: str, output_root: str, predictions: DataFrame, checkpoint: str, samples: int = 12, seed: int = 42, confidence: float = 0.25) -> dict:
-    """``counted_boxes`` of the test split; predictions below the confidence don't count."""
+    """``counted_boxes`` of the test split; predictions below the confidence don't count. Of the picked images that can be decoded, the comparison with their
+    boxes and a contact sheet are drawn, as PNG files."""
     layout = tree.discover(spark, root)
     images, truths = split_boxes(spark, layout, "test")
     sure = predictions.where(F.col("conf") >= confidence)
     rows = reports.count_errors(images, truths, sure).join(images, "image").drop("image").withColumnRenamed("image_path", "image")
-    return counted_boxes(spark, output_root, rows, checkpoint, layout.root, samples, seed, confidence)
+    report = counted_boxes(spark, output_root, rows, checkpoint, layout.root, samples, seed, confidence)
+    draw_picks(spark, output_root, report["selected"], images, truths, corners(sure))
+    return report
+
+
+def draw_picks(spark: SparkSession, output_root: str, picks: list[dict], images: DataFrame, truths: DataFrame, predictions: DataFrame) -> None:
+    """A PNG file for each picked image at its ``comparison``, and ``contact_sheet.png`` of all; as many as samples, and none of images that aren't pictures."""
+    if not picks:
+        return
+    named = spark.createDataFrame([(k, p["image"], p["comparison"]) for k, p in enumerate(picks)], "rank int, image_path string, target string")
+    shown = pictures.decoded(spark, [p["image"] for p in picks]).withColumnRenamed("image", "image_path").join(named, "image_path").join(images, "image_path")
+    held = materialize(shown.select("rank", "target", "image", "width", "height", "data"), "picked-pictures")
+    drawn = materialize(pictures.pairs(held.select("image", "width", "height", "data"), truths, predictions).join(held.select("image", "rank", "target"), "image"), "drawn-pictures")
+    for row in pictures.as_png(drawn).select("target", "png").toLocalIterator():
+        sinks.write_bytes(spark, [bytes(row.png)], row.target)
+    dense = drawn.drop("rank").withColumn("rank", (F.row_number().over(Window.orderBy("target")) - 1).cast("int"))  # of the picks; their names begin with their rank
+    if held.count():
+        sinks.write_bytes(spark, pictures.sheet_file(pictures.sheet_bands(dense)), f"{output_root}/contact_sheet.png")
 
 
 def baseline_summary(spark: SparkSession, output_root: str, config: dict, seed: int, data_root: str, audit_path: str, evaluated: dict) -> dict:
@@ -192,7 +210,7 @@ def counted_boxes(spark: SparkSession, output_root: str, rows: DataFrame, checkp
     held.write.mode("overwrite").json(f"{output_root}/rows")
     totals = sinks.one_row(reports.count_summary(held))
     picks = reports.select_for_audit(held, samples, seed)
-    named = F.concat(F.lit(f"{output_root}/pairs/"), reports.pair_name(F.col("pick") + 1, F.col("image")))
+    named = F.concat(F.lit(f"{output_root}/pairs/"), F.regexp_replace(reports.pair_name(F.col("pick") + 1, F.col("image")), "jpg$", "png"))
     selected = held.join(F.broadcast(picks), "image").withColumn("comparison", named).orderBy("pick").drop("pick")  # as many as samples
     report = {"checkpoint": checkpoint, "data_root": data_root, **totals, "confidence_threshold": confidence, "selected": [r.asDict() for r in selected.collect()]}
     sinks.write_json(spark, report, f"{output_root}/visual_audit.json")

@@ -22,6 +22,18 @@ def write_text(spark: SparkSession, text: str, path: str) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, pieces, path: str) -> str:
+    """A file of some pieces, one after the other; missing folders are made."""
+    fs, at = _store(spark, path)
+    stream = fs.create(at, True)
+    try:
+        for piece in pieces:
+            stream.write(bytearray(piece))
+    finally:
+        stream.close()
+    return path
+
+
 def write_json(spark: SparkSession, payload, path: str) -> str:
     """JSON with two blanks a level, in UTF-8."""
     return write_text(spark, json.dumps(payload, indent=2, ensure_ascii=False, default=str), path)

@@ -93,4 +93,4 @@ def test_visual(spark, place, capsys):
     found = told(capsys)
     assert (found["images"], found["truth"], found["predicted"], found["exact"]) == (4, 3, 4, 3)
     picked = json.loads((place / "v/visual_audit.json").read_text())["selected"]
-    assert picked[0]["image"].endswith("test0.jpg") and picked[0]["comparison"].endswith("01_test0.jpg")
+    assert picked[0]["image"].endswith("test0.jpg") and picked[0]["comparison"].endswith("01_test0.png")

@@ -77,7 +77,7 @@ def test_counted_boxes(spark, tmp_path, n):
     report = runs.counted_boxes(spark, f"file://{tmp_path}", rows, "best.pt", "root", samples=2)
     assert report == read(tmp_path / "visual_audit.json")
     assert (report["images"], report["exact"], report["wrong"]) == (n, min(n, 1), max(n - 1, 0))
-    assert [s["comparison"].rpartition("/")[2] for s in report["selected"]] == ["01_im4.jpg", "02_im3.jpg"][:n]
+    assert [s["comparison"].rpartition("/")[2] for s in report["selected"]] == ["01_im4.png", "02_im3.png"][:n]
     assert spark.read.schema("image string").json(f"file://{tmp_path}/rows").count() == n
 
 
