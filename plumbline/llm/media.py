@@ -93,7 +93,8 @@ def interleave(html: str) -> list[dict]:
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    """(id, segments) for every row; null html counts as empty and has none."""
+    """(id, segments) for every row; null html counts as empty and has none; null ids and repeated rows each keep their row; an empty table gives an
+    empty result; other columns are not looked at. A document of any length is one task's."""
     segment = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
     schema = pa.schema([("id", pa.int64()), ("segments", pa.list_(segment))])
 
@@ -106,9 +107,14 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", html_col: str = "html") -
 def resolve(sequences: DataFrame, store: DataFrame, copies: str | None = None) -> DataFrame:
     """One row for each segment with the columns of ``store`` (one row a digest) beside it; texts and references without a medium have nulls there.
 
-    Columns of ``sequences`` beside ``segments`` stay. Where ``store`` counts in ``copies`` how many segments refer to a digest, media that
+    Columns of ``sequences`` beside ``segments`` stay; one that a segment or the store has, too, is an error, as is one that both of these have. Null and unknown
+    digests match nothing; repeated rows each keep their segments; an empty table on either side gives no rows or nulls. Where ``store`` counts in ``copies`` how many segments refer to a digest, media that
     very many share are broadcast instead of bringing their references together.
     """
+    held, named = [c for c in sequences.columns if c != "segments"], ["position", "kind", "text", "digest", "caption"]
+    beside = [c for c in store.columns if c != "digest"]
+    if clash := {c.lower() for c in held} & {c.lower() for c in (*named, *beside)} | {c.lower() for c in beside} & set(named):
+        raise ValueError(f"columns of one name: {', '.join(sorted(clash))}")
     segments = sequences.select(*[c for c in sequences.columns if c != "segments"], F.explode("segments").alias("s")).select("*", "s.*").drop("s")
     return join_one(segments, store, "digest", copies, "left") if copies else segments.join(store, "digest", "left")
 

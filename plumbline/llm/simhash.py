@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._common import batched, materialize, rows, text_bytes
+from plumbline.llm._common import batched, materialize, release, rows, text_bytes
 from plumbline.operators.components import connected_components
+from plumbline.operators.skew import join_one
 
 BITS = 64
 CHUNK = 1 << 20  # bytes of text whose words are held at a time
@@ -81,7 +82,8 @@ def of_hashes(parts: Iterable[np.ndarray]) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): a signed 64-bit fingerprint for every row, null and empty texts included (zero)."""
+    """(id, fp): a signed 64-bit fingerprint for every row, null and empty texts included (zero). Null ids and repeated rows each keep their row; an empty
+    table gives an empty result; other columns are not looked at; a text of any length is hashed piece by piece."""
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
@@ -141,16 +143,17 @@ def links(fps: DataFrame, max_diff: int = 2, segments: int = 8, most: int = 64)
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_diff: int = 2, segments: int = 8, most: int = 64) -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
-    Rows of equal fingerprint are one node with its smallest id, so copies never make pairs. ``component_id`` is the
+    Rows of equal fingerprint are one node with its smallest id, so copies never make pairs, and those of a fingerprint that very many share aren't shuffled. ``component_id`` is the
     smallest id reachable over links. Null and empty texts have fingerprint zero and link like any other; null
     ids stay in the result and never name a component unless all of its ids are null; repeated rows
     are kept; an empty table gives an empty result; other columns of ``docs`` are not looked at.
     """
     each = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    nodes = materialize(each.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = materialize(each.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = materialize(connected_components(links(nodes.select("fp"), max_diff, segments, most)), "roots")
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes, F.col("node") == F.col("fp"))
     smallest = members.groupBy("root").agg(F.min("least").alias("component"))
     moved = members.select("node", "root").join(smallest, "root").select(F.col("node").alias("fp"), "component")
-    named = materialize(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "named")
-    return each.join(named, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = materialize(nodes.join(moved, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id")), "named")
+    release(nodes, roots)
+    return join_one(each, named, "fp", "n").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

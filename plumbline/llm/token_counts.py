@@ -152,7 +152,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     Counts are those of the tokenizers library without begin and end tokens; special strings inside a text are special
     tokens. ``fit_chars`` is the length in code points of the longest prefix of the normalised text within ``limit`` tokens,
     null where the whole text is. Null counts as empty: 0 bytes, 0 tokens. Repeated rows and null ids stay; other columns are
-    not looked at. One pass without a shuffle; a worker keeps counts of words, not of texts.
+    not looked at; an empty table gives an empty result; a text of any length is one text. One pass without a shuffle; a worker keeps counts of words, not of texts.
     """
     schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fit_chars", pa.int64())])
 

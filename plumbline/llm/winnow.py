@@ -102,7 +102,8 @@ def _sets_alike(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """(id, fingerprint, hashes, positions) for every row; see ``selected``. Null counts as empty. No shuffle."""
+    """(id, fingerprint, hashes, positions) for every row; see ``selected``. Null counts as empty and has none; null ids and repeated rows each keep their row;
+    an empty table gives an empty result; other columns are not looked at. A text of any length is one task's. No shuffle."""
     schema = pa.schema([("id", pa.int64()), ("fingerprint", pa.string()), ("hashes", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))])
 
     def one(i, text):

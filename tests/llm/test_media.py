@@ -53,3 +53,13 @@ def test_query_against_recomputation(spark):
         want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature(np.frombuffer(payload, np.uint8)), len(lines(t)) // 2, len(lines(t)) + 1, f"text of {len(raw)} bytes"))
     assert got == sorted(want, key=str)
     assert media.media_features(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_clashing_columns_are_refused(spark):
+    held = spark.createDataFrame([(1, [(0, "media", None, "d", None)])], f"id long, segments {media.SEGMENTS}")
+    store = spark.createDataFrame([("d", 5)], "digest string, size long")
+    assert [tuple(r) for r in media.resolve(held, store).select("id", "position", "digest", "size").collect()] == [(1, 0, "d", 5)]
+    for seen, kept in ((held.withColumnRenamed("id", "caption"), store), (held, store.withColumnRenamed("size", "text")), (held, store.withColumnRenamed("size", "ID"))):
+        with pytest.raises(ValueError, match="columns of one name"):
+            media.resolve(seen, kept)
+    assert media.resolve(held.limit(0), store).collect() == []
