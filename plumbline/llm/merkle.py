@@ -220,7 +220,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     of_block = _descend(tiers, ways).withColumnRenamed("pos", "block")
     each = F.transform(F.sequence(F.lit(0), F.size("rows") - 1), lambda i: F.struct(F.get("rows", i).alias("row"), _way(i).alias("own")))
     out = blocks.join(of_block, ["tree", "block"]).select("subroot", "way", F.explode(each).alias("x")).select("x.row.*", "subroot", F.concat("x.own", "way").alias("way"))
-    folded = out.select("doc_id", "leaf", "subroot", root.alias("root"), proof(F.col("way")).alias("proof_sha256"), F.when(F.col("altered").isNull(), root).otherwise(fold(F.col("altered"), F.col("way"))).alias("folded_root"))
+    folded = out.select("doc_id", "leaf", "subroot", root.alias("root"), proof(F.col("way")).alias("proof_sha256"), fold(F.coalesce("altered", "leaf"), F.col("way")).alias("folded_root"))
     release(held)
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import merkle
 
@@ -96,3 +97,12 @@ def test_ranks_of_a_crowded_id(spark, monkeypatch):
         assert got[k] == (before, sum(r[2] for r in rows[:-1]))
         before += n
     assert got["0" * 17 + "ab"] == (0, 2)
+
+
+def test_untouched_documents_are_folded_too(spark, monkeypatch):
+    """With a wrong sibling on every way no document may be found whole, whether its text was tampered with or not."""
+    way = merkle._way
+    monkeypatch.setattr(merkle, "_way", lambda i: F.transform(way(i), lambda s: F.struct(s.before.alias("before"), F.concat(s.after, F.lit("0")).alias("after"))))
+    data = [(i, "s", "en", 1, "no line feed", 1, "x") for i in range(5)]
+    got = merkle.manifest(spark.createDataFrame(data, SCHEMA)).collect()
+    assert len(got) == 5 and not any(r.verified or r.folded_root == r.root for r in got)
