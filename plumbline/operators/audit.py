@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashes import BANDS, COLOUR_GATE, bands, hamming, largest_difference
+from plumbline.functions.groups import whole_groups
+from plumbline.functions.hashes import BANDS, COLOUR_GATE, bands, largest_difference
 from plumbline.operators.components import connected_components
 from plumbline.operators.skew import join_one
 from plumbline.sources.scratch import materialize
 
 EXAMPLES = 50  # fixed values: components and conflicts that a report names,
 FILES = 1000  # and files of each; counts are of all
+BLOCK = 1 << 14  # hashes of one value that are compared as one block
+SMALL = 64  # rows of a group that is compared together with others
+PAIRS = 1 << 16  # of a batch of results
 
 
 def star_edges(records: DataFrame, *keys: str | Column, idx: str = "record_idx") -> DataFrame:
@@ -49,33 +56,102 @@ def equal_bytes(nodes: int, threshold: int) -> int:
     return min(max(BANDS - threshold, 1), max(1, math.ceil(math.log2(max(nodes, 2)) / 8)))
 
 
+def close_in_groups(h: np.ndarray, at: np.ndarray, side: np.ndarray, threshold: int, most: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i before j, of hashes of one group that differ in at most ``threshold`` bits. ``at`` has the groups' first places and the end.
+
+    Rows of side 0 are compared with each other, those of side 1 with those of side 2, which follow them. Small groups are compared together, each row with the
+    next one, the one after it and so on; others row block by row block.
+    """
+    sizes = np.diff(at)
+    ends = np.repeat(at[1:], sizes)
+    found = []
+    rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= most), sizes))
+    step = 1
+    while len(rows := rows[rows + step < ends[rows]]):
+        for cut in range(0, len(rows), BLOCK * 16):
+            i = rows[cut : cut + BLOCK * 16]
+            hit = (np.bitwise_count(h[i] ^ h[i + step]) <= threshold) & ((side[i] == 0) | (side[i] != side[i + step]))
+            found.append((i[hit], i[hit] + step))
+        step += 1
+    for g in np.flatnonzero(sizes > most):
+        low, high = at[g], at[g + 1]
+        middle = low + np.searchsorted(side[low:high], 2) if side[low] else None
+        last = high if middle is None else middle
+        for i in range(low, last, 64):
+            till, first = min(i + 64, last), i + 1 if middle is None else middle
+            x, y = np.nonzero(np.bitwise_count(h[i:till, None] ^ h[None, first:high]) <= threshold)
+            hit = x + i < y + first
+            found.append((x[hit] + i, y[hit] + first))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *(f[k] for f in found)]) for k in range(2))
+
+
+def _first_combo(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The place among ``chosen`` of the first combination of bytes that are all zero in each of ``x``."""
+    zero = (x[:, None] >> (8 * np.arange(BANDS, dtype=np.uint64))) & np.uint64(255) == 0
+    return np.argmax(zero[:, chosen].all(axis=2), axis=1)
+
+
+def near_hashes(hashes: DataFrame, threshold: int, combos: list[tuple[int, ...]]) -> DataFrame:
+    """Pairs (h_a, h_b) of the distinct ``hashes`` (h) that share the bytes of a combination and differ in at most ``threshold`` bits, each once, in no order.
+
+    A task sorts the hashes of its combinations' values and compares them in numpy; the pair is taken at the first combination that it shares. A value that
+    more than ``BLOCK`` hashes have is cut into blocks of about so many, each two of which are a group of their own, so no group is longer than two blocks or so.
+    """
+    byte = bands("h")
+    # only a value all of whose bytes are frequent can be a long group: 2,048 counts tell which those are
+    counted = hashes.select(F.posexplode(byte).alias("i", "v")).groupBy("i", "v").count().where(F.col("count") > BLOCK).collect()
+    often = [[r.v for r in counted if r.i == i] for i in range(BANDS)]
+    key = lambda combo: reduce(lambda x, i: F.shiftleft(x, 8).bitwiseOR(byte[i].cast("long")), combo, F.lit(0).cast("long"))
+    hot = lambda combo: reduce(lambda x, i: x & byte[i].isin(often[i]), combo, F.lit(all(often[i] for i in combo)))
+    each = F.array(*(F.struct(F.lit(k).alias("combo"), key(c).alias("value"), (hot(c) if all(often[i] for i in c) else F.lit(False)).alias("often")) for k, c in enumerate(combos)))
+    keyed = hashes.select("h", F.explode(each).alias("k")).select("h", "k.*")
+    plain = keyed.where("not often").select("combo", "value", F.lit(0).alias("cell"), F.lit(0).cast("byte").alias("side"), "h")
+    if any(all(often[i] for i in c) for c in combos):
+        heavy = keyed.where("often")
+        sizes = heavy.groupBy("combo", "value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        own = heavy.join(sizes.hint("shuffle_hash"), ["combo", "value"]).withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct((F.least("block", x) * F.col("blocks") + F.greatest("block", x)).alias("cell"), F.when(F.col("block") == x, 0).when(F.col("block") < x, 1).otherwise(2).cast("byte").alias("side")))
+        plain = plain.unionByName(own.select("combo", "value", "h", F.explode(cells).alias("c")).select("combo", "value", "c.cell", "c.side", "h"))
+    at = ["combo", "value", "cell"]
+    together = plain.repartition(*at).sortWithinPartitions(*at, "side")
+    chosen = np.array(combos)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in whole_groups(batches, at):
+            h = batch.column("h").to_numpy().view(np.uint64)
+            i, j = close_in_groups(h, bounds, batch.column("side").to_numpy(), threshold)
+            first = _first_combo(h[i] ^ h[j], chosen) == batch.column("combo").to_numpy()[i]
+            i, j = i[first], j[first]
+            for cut in range(0, len(i), PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(h[x[cut : cut + PAIRS]].view(np.int64)) for x in (i, j)], ["h_a", "h_b"])
+
+    return together.mapInArrow(compare, "h_a long, h_b long")
+
+
 def _near_nodes(records: DataFrame, threshold: int, idx: str, bits: str, colour: str | None) -> tuple[DataFrame, DataFrame]:
     """Nodes (hash, colour, node, n) of records with equal hash and colour, and the pairs (node_a, node_b) of near ones.
 
     Hashes that differ in ``threshold`` bits share ``BANDS - threshold`` bytes at least, or else, by the search's definition, one. Keys are combinations of so
-    many equal bytes, or of fewer while these are rare enough among the hashes, and, with colours, a step of the first channel as wide as the gate,
-    which one side takes with its neighbours. A pair is taken at the first combination that it shares.
+    many equal bytes, or of fewer while these are rare enough among the hashes. With colours, nodes of near hashes and of one hash meet in a
+    step of the first channel as wide as the gate, which one side takes with its neighbours. No side of a join is sent whole to all tasks.
     """
     c = [colour] if colour else []
     nodes = materialize(records.dropna(subset=[bits, *c]).groupBy(bits, *c).agg(F.min(idx).alias("node"), F.count("*").alias("n")), "hash-nodes")
-    chosen = list(combinations(range(BANDS), equal_bytes(nodes.count(), threshold)))
-    byte = bands("h")
-    key = lambda combo: reduce(lambda x, i: F.shiftleft(x, 8).bitwiseOR(byte[i].cast("long")), combo, F.lit(0).cast("long"))
-    keyed = nodes.select("node", F.col(bits).alias("h"), *(F.col(x).alias("m") for x in c))
-    keyed = keyed.select("*", F.posexplode(F.array(*map(key, chosen))).alias("combo", "value"))
-    step = F.floor(F.col("m")[0] / COLOUR_GATE).cast("int") if colour else F.lit(0)
-    keyed = keyed.withColumn("step", step)
-    near_steps = F.explode(F.sequence(F.col("step") - 1, F.col("step") + 1)) if colour else F.col("step")
-    at = ["combo", "value", "step"]
-    side = lambda df, x: df.select(*at, *(F.col(k).alias(f"{k}_{x}") for k in keyed.columns if k not in at))
-    close = side(keyed.withColumn("step", near_steps), "a").join(side(keyed, "b"), at)
-    close = close.where((F.col("node_a") < F.col("node_b")) & (hamming("h_a", "h_b") <= threshold))
+    hashes = nodes.select(F.col(bits).alias("h"))
+    hashes = materialize(hashes.distinct(), "hashes") if colour else hashes
+    close = materialize(near_hashes(hashes, threshold, list(combinations(range(BANDS), equal_bytes(hashes.count(), threshold)))), "near-hashes")
+    side = lambda x: nodes.select(F.col(bits).alias(f"h_{x}"), F.col("node").alias(f"node_{x}"), *(F.col(k).alias(f"m_{x}") for k in c))
+    one, two = side("a").hint("merge"), side("b").hint("merge")
     if colour:
-        close = close.where(largest_difference("m_a", "m_b") <= COLOUR_GATE)
-    equal = F.filter(F.transform(F.zip_with(bands("h_a"), bands("h_b"), lambda x, y: x == y), lambda same, i: F.when(same, i)), lambda i: i.isNotNull())
-    first = F.slice(equal, 1, len(chosen[0]))
-    combos = F.array(*(F.array(*map(F.lit, combo)) for combo in chosen))
-    return nodes, close.where(first == F.element_at(combos, F.col("combo") + 1)).select("node_a", "node_b")
+        step = lambda x: F.floor(F.col(f"m_{x}")[0] / COLOUR_GATE)
+        several = materialize(nodes.groupBy(F.col(bits).alias("h_a")).count().where("count > 1").select("h_a"), "shared-hashes")
+        to = close.unionByName(several.withColumn("h_b", F.col("h_a"))).join(one, "h_a").withColumn("step", F.explode(F.sequence(step("a") - 1, step("a") + 1)))
+        met = to.join(two.withColumn("step", step("b")), ["h_b", "step"]).where(largest_difference("m_a", "m_b") <= COLOUR_GATE)
+        met = met.where((F.col("h_a") != F.col("h_b")) | (F.col("node_a") < F.col("node_b")))
+    else:
+        met = close.join(one, "h_a").join(two, "h_b")
+    return nodes, materialize(met.select(F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b")), "near-nodes")
 
 
 def near_pairs(records: DataFrame, threshold: int, idx: str = "record_idx", bits: str = "dhash", colour: str | None = "mean_rgb") -> DataFrame:
@@ -88,9 +164,9 @@ def near_pairs(records: DataFrame, threshold: int, idx: str = "record_idx", bits
     c = [colour] if colour else []
     nodes, close = _near_nodes(records, threshold, idx, bits, colour)
     own = nodes.where("n > 1").select(F.col("node").alias("node_a"), F.col("node").alias("node_b"))
-    members = records.join(nodes.drop("n"), [bits, *c]).select("node", F.col(idx).alias("i"))
+    members = records.join(nodes.drop("n").hint("merge"), [bits, *c]).select("node", F.col(idx).alias("i"))
     first, second = members.withColumnsRenamed({"node": "node_a", "i": "x"}), members.withColumnsRenamed({"node": "node_b", "i": "y"})
-    pairs = close.unionByName(own).join(first, "node_a").join(second, "node_b").where((F.col("node_a") != F.col("node_b")) | (F.col("x") < F.col("y")))
+    pairs = close.unionByName(own).join(first.hint("merge"), "node_a").join(second.hint("merge"), "node_b").where((F.col("node_a") != F.col("node_b")) | (F.col("x") < F.col("y")))
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -98,7 +174,7 @@ def near_pair_count(records: DataFrame, threshold: int, idx: str = "record_idx",
     """One row: how many pairs ``near_pairs`` has, from the sizes of nodes."""
     nodes, close = _near_nodes(records, threshold, idx, bits, colour)
     one, two = (nodes.select(F.col("node").alias(f"node_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    across = close.join(one, "node_a").join(two, "node_b").select((F.col("n_a") * F.col("n_b")).alias("n"))
+    across = close.join(one.hint("merge"), "node_a").join(two.hint("merge"), "node_b").select((F.col("n_a") * F.col("n_b")).alias("n"))
     within = nodes.select(F.expr("n * (n - 1) div 2").alias("n"))
     return across.unionByName(within).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("near_pairs"))
 

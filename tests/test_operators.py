@@ -115,6 +115,37 @@ def test_near_pairs_by_combinations_of_bytes(spark, monkeypatch, threshold, keye
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("colour", ["mean_rgb", None])
+def test_frequent_bytes_are_compared_block_by_block(spark, monkeypatch, colour):
+    """Most hashes share six bytes, so each key of theirs is cut into many blocks, some of them empty."""
+    monkeypatch.setattr(audit, "BLOCK", 5)
+    rnd = random.Random(8)
+    rows = [(i, rnd.getrandbits(6) << 8 | rnd.getrandbits(3) if rnd.random() < 0.8 else rnd.getrandbits(62), [float(rnd.choice([0, 12, 13, 40])), 0.0, 0.0]) for i in range(150)]
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and bin(x[1] ^ y[1]).count("1") <= 3 and (not colour or abs(x[2][0] - y[2][0]) <= 12)}
+    pairs = audit.near_pairs(spark.createDataFrame(rows, "record_idx long, dhash long, mean_rgb array<double>"), 3, colour=colour)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_long_groups_are_compared_in_rows_of_blocks():
+    h = np.array([random.Random(i).getrandbits(6) for i in range(400)], np.uint64)
+    side = np.array([0] * 200 + [1] * 90 + [2] * 110, np.int8)
+    at = np.array([0, 200, 400])
+    near = lambda i, j: bin(int(h[i]) ^ int(h[j])).count("1") <= 1
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if near(i, j)} | {(i, j) for i in range(200, 290) for j in range(290, 400) if near(i, j)}
+    for most in (8, 1000):
+        i, j = audit.close_in_groups(h, at, side, 1, most)
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_near_pairs_send_no_side_of_a_join_to_all_tasks(spark):
+    rows = [(i, i * 7919, [float(i % 40)] * 3) for i in range(50)]
+    records = spark.createDataFrame(rows, "record_idx long, dhash long, mean_rgb array<double>")
+    for colour in ("mean_rgb", None):
+        for found in (audit.near_pairs(records, 4, colour=colour), audit.near_pair_count(records, 4, colour=colour)):
+            assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keys_grow_with_the_hashes():
     assert [audit.equal_bytes(n, 4) for n in (0, 200, 257, 1 << 17, 1 << 30)] == [1, 1, 2, 3, 4]
     assert [audit.equal_bytes(1 << 40, t) for t in (0, 3, 7, 8, 16)] == [5, 5, 1, 1, 1]
