@@ -1,19 +1,21 @@
 """Detection metrics from boxes: one-to-one matching in each image, precision and recall over all predictions, average precision.
 
-Boxes are rows (image, class_id, left, top, right, bottom), predictions also have ``conf``. Images are matched one at a time while a task
-streams over its sorted part; the order of all predictions by confidence is a range sort with running sums, so no class is one task.
+Boxes are rows (image, class_id, left, top, right, bottom), predictions also have ``conf``. A task streams over its sorted
+part and matches many images side by side in numpy; the order of all predictions by confidence is a range sort with running sums, so no class is one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ordering import running_sums
+from plumbline.functions.groups import starts, whole_groups
 from plumbline.sources.scratch import materialize
 
 CORNERS = ("left", "top", "right", "bottom")
@@ -21,6 +23,7 @@ THRESHOLDS = tuple((50 + 5 * i) / 100 for i in range(10))  # fixed values: 0.50
 SIZES = (("small", 0.0, 1024.0), ("medium", 1024.0, 9216.0), ("large", 9216.0, float("inf")))  # fixed values: areas below 32 and 96 pixels squared, and others
 CROWDS = (("few", 1, 3), ("some", 4, 10), ("many", 11, 1 << 62))  # true objects in an image
 HIT, MISS, IGNORED = 1, 0, -1
+PAIRS = 1 << 20  # of boxes whose overlaps are found together
 GRID = 100  # precision is read at so many steps of recall, and at none
 
 
@@ -53,8 +56,56 @@ def match_boxes(predictions: list, truths: list, thresholds=THRESHOLDS, span: tu
     return found
 
 
+def _overlaps(guesses: np.ndarray, truths: np.ndarray, first: np.ndarray, count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, v) of guesses and truths that overlap by ``least`` or more; guess i may have the ``count[i]`` truths from ``first[i]`` on."""
+    found = []
+    ends = np.cumsum(count)
+    low = 0
+    while low < len(count):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, "right")))
+        n = count[low:high]
+        i = np.repeat(np.arange(low, high), n)
+        j = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        a, b = guesses[i].T, truths[j].T
+        inner = np.maximum(0.0, np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])) * np.maximum(0.0, np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]))
+        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inner
+        v = np.divide(inner, union, out=np.zeros(len(i)), where=union > 0)
+        near = v >= least
+        found.append((i[near], j[near], v[near]))
+        low = high
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def match_groups(guesses: np.ndarray, truths: np.ndarray, place: np.ndarray, first: np.ndarray, count: np.ndarray, thresholds=THRESHOLDS, spans=((None, None),)) -> Iterator[np.ndarray]:
+    """What ``match_boxes`` finds for many groups at once: for each span an array of outcomes, a row a guess and a column a threshold.
+
+    ``place`` is a guess's place in its group, ``first`` and ``count`` tell its group's truths. Groups go side by side: their first guesses choose, then their second ones.
+    """
+    i, j, v = _overlaps(guesses, truths, first, count, min(thresholds))
+    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+    inside = lambda x, low, high: np.ones(len(x), bool) if low is None else (low <= area(x)) & (area(x) < high)
+    reached = v[:, None] >= np.array(thresholds)
+    for low, high in spans:
+        other = ~inside(truths, low, high)
+        out = np.where(inside(guesses, low, high), MISS, IGNORED).astype(np.int8)[:, None].repeat(len(thresholds), 1)
+        order = np.lexsort((j, -v, other[j], i, place[i]))
+        taken = np.zeros((len(truths), len(thresholds)), bool)
+        turns = np.flatnonzero(np.diff(place[i[order]], prepend=-1))
+        for start, end in pairwise([*turns, len(order)]):
+            at = order[start:end]
+            free = reached[at] & ~taken[j[at]]
+            heads = np.flatnonzero(np.diff(i[at], prepend=-1))
+            best = np.minimum.reduceat(np.where(free, np.arange(len(at))[:, None], len(at)), heads, axis=0)
+            head, k = np.nonzero(best < len(at))
+            chosen = at[best[head, k]]
+            taken[j[chosen], k] = True
+            out[i[at[heads[head]]], k] = np.where(other[j[chosen]], IGNORED, HIT)
+        yield out
+
+
 def match(truths: DataFrame, predictions: DataFrame, thresholds=THRESHOLDS, spans=None) -> DataFrame:
-    """(bucket, image, class_id, k, conf, hits), a row for each prediction and bucket: its place in its image and class, and an outcome for each threshold.
+    """(bucket, image, class_id, k, conf, hit, seen), a row for each prediction and bucket: its place in its image and class, and two numbers with a bit for
+    each threshold, lowest first: whether it is a hit, and whether it counts.
 
     ``spans`` are (bucket, least area, area from which on it isn't in it); without them the one bucket is empty. A prediction that a
     bucket ignores at every threshold has no row there. Predictions come by falling confidence, equal ones by their corners, as truths do, so reruns
@@ -67,41 +118,25 @@ def match(truths: DataFrame, predictions: DataFrame, thresholds=THRESHOLDS, span
     together = both.repartition(key).sortWithinPartitions("image", "class_id", "kind", F.desc("conf"), *CORNERS)
     image_type, class_type = (both.schema[c].dataType.simpleString() for c in ("image", "class_id"))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                yield from zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple] = []
-        kinds: list[pa.DataType] = []
-
-        def peeked() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kinds[:] = [batch.schema.field(c).type for c in ("image", "class_id")]
-                yield batch
-
-        def cut() -> pa.RecordBatch:
-            types = [pa.string(), *kinds, pa.int64(), pa.float64(), pa.list_(pa.int8())]
-            columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
-            made.clear()
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "image", "class_id", "k", "conf", "hits"])
-
-        for (image, kind), group in groupby(rows(peeked()), key=lambda r: r[:2]):
-            truth, guess = [], []
-            for r in group:
-                (guess if r[2] else truth).append(r)
-            if not guess:
+        bits = np.int64(1) << np.arange(len(thresholds))
+        for batch, bounds in whole_groups(batches, ["image", "class_id"]):
+            guess = batch.column("kind").to_numpy() == 1
+            if not guess.any():
                 continue
-            for bucket, low, high in each:
-                outcomes = match_boxes([r[4:] for r in guess], [r[4:] for r in truth], thresholds, None if low is None else (low, high))
-                made += [(bucket, image, kind, k, r[3], hits) for k, (r, hits) in enumerate(zip(guess, outcomes, strict=True)) if max(hits) > IGNORED]
-            if len(made) >= 8192:
-                yield cut()
-        if made:
-            yield cut()
+            boxes = np.stack([batch.column(c).to_numpy() for c in CORNERS], axis=1)
+            n_truths = np.add.reduceat(~guess, bounds[:-1])
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[guess]
+            place = np.flatnonzero(guess) - bounds[group] - n_truths[group]
+            found = match_groups(boxes[guess], boxes[~guess], place, (np.cumsum(n_truths) - n_truths)[group], n_truths[group], thresholds, [x[1:] for x in each])
+            rows = batch.filter(pa.array(guess))
+            for (bucket, _, _), outcome in zip(each, found, strict=True):
+                hit, seen = ((x @ bits) for x in (outcome == HIT, outcome != IGNORED))
+                kept = rows.filter(pa.array(seen > 0))
+                columns = [pa.array([bucket] * kept.num_rows, pa.string()), kept.column("image"), kept.column("class_id"), pa.array(place[seen > 0]), kept.column("conf"), pa.array(hit[seen > 0]), pa.array(seen[seen > 0])]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "image", "class_id", "k", "conf", "hit", "seen"])
 
-    return together.mapInArrow(run, f"bucket string, image {image_type}, class_id {class_type}, k long, conf double, hits array<tinyint>")
+    return together.mapInArrow(run, f"bucket string, image {image_type}, class_id {class_type}, k long, conf double, hit long, seen long")
 
 
 def truth_counts(truths: DataFrame, spans=None) -> DataFrame:
@@ -114,16 +149,58 @@ def truth_counts(truths: DataFrame, spans=None) -> DataFrame:
 
 
 def curves(matched: DataFrame, counts: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """(bucket, class_id, n_truth, t, conf, tp, seen), a row for each prediction and threshold that counts it: how many hits and predictions there are up to it.
+    """(bucket, class_id, n_truth, t, step, p, tp, seen), t being the threshold's position: for each step of recall that a stretch of predictions reaches the best
+    precision there, and, with a null step, the point of the first threshold with the best F1 score, the earliest such.
 
-    ``matched`` are the rows of ``match``, ``counts`` those of ``truth_counts``; t is the threshold's position.
+    ``matched`` is a written table of the rows of ``match``, ``counts`` has those of ``truth_counts``. Predictions are sorted by range and cut into stretches of a class,
+    which are written as bytes with their sums; sums before a stretch come from a window over stretches, so no class is one task and no point is a row.
     """
-    known = matched.join(counts, ["bucket", "class_id"])  # a row a bucket and class
-    each = range(len(thresholds))
-    values = {f"tp{i}": (F.col("hits")[i] == HIT).cast("long") for i in each} | {f"seen{i}": (F.col("hits")[i] != IGNORED).cast("long") for i in each}
-    summed = running_sums(known, ["bucket", "class_id"], [F.desc("conf"), F.asc("image"), F.asc("k")], values)
-    points = F.array(*(F.struct(F.lit(i).alias("t"), F.col(f"tp{i}").alias("tp"), F.col(f"seen{i}").alias("seen"), (F.col("hits")[i] != IGNORED).alias("counts")) for i in each))
-    return summed.select("bucket", "class_id", "n_truth", "conf", F.explode(F.filter(points, lambda x: x["counts"])).alias("x")).select("bucket", "class_id", "n_truth", "x.t", "conf", "x.tp", "x.seen")
+    order = ["bucket", "class_id", F.desc("conf"), F.asc("image"), F.asc("k")]
+    sorted_ = matched.repartitionByRange(*order).sortWithinPartitions(*order).select("bucket", "class_id", "hit", "seen")
+    class_type = matched.schema["class_id"].dataType.simpleString()
+    n = len(thresholds)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            bounds = np.append(starts(batch, ["bucket", "class_id"]), batch.num_rows) if batch.num_rows else [0]
+            for low, high in pairwise(bounds):
+                held = [batch.column(c).to_numpy()[low:high] for c in ("hit", "seen")]
+                sums = [[int((x >> k & 1).sum()) for k in range(n)] for x in held]
+                columns = [batch.column("bucket").slice(low, 1), batch.column("class_id").slice(low, 1), [part], [at], [held[0].tobytes()], [held[1].tobytes()], [sums[0]], [sums[1]]]
+                types = [None, None, pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([c if t is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "class_id", "part", "at", "hits", "seens", "tp", "seen"])
+                at += 1
+
+    stretches = materialize(sorted_.mapInArrow(cut, f"bucket string, class_id {class_type}, part int, at long, hits binary, seens binary, tp array<long>, seen array<long>"), "stretches")
+    earlier = Window.partitionBy("bucket", "class_id").orderBy("part", "at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c: F.array(*(F.coalesce(F.sum(F.col(c)[k]).over(earlier), F.lit(0)) for k in range(n))).alias(c)
+    before = stretches.select("bucket", "class_id", "part", "at", "tp", "seen").join(counts, ["bucket", "class_id"]).select("part", "at", "n_truth", sums("tp"), sums("seen"))
+    known = stretches.drop("tp", "seen").join(before, ["part", "at"]).select("bucket", "class_id", "n_truth", "hits", "seens", "tp", "seen")
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                total = batch.column("n_truth")[r].as_py()
+                hits, seens = (np.frombuffer(batch.column(c)[r].as_py(), np.int64) for c in ("hits", "seens"))
+                made: list[tuple] = []
+                for t in range(n):
+                    counted = (seens >> t & 1).astype(bool)
+                    tp = np.cumsum(hits[counted] >> t & 1) + batch.column("tp")[r][t].as_py()
+                    seen = np.arange(1, len(tp) + 1) + batch.column("seen")[r][t].as_py()
+                    if not len(tp):
+                        continue
+                    step = GRID * tp // total
+                    heads = np.flatnonzero(np.diff(step, prepend=-1))
+                    made += [(t, s, p, None, None) for s, p in zip(step[heads].tolist(), np.maximum.reduceat(tp / seen, heads).tolist(), strict=True)]
+                    if t == 0:
+                        best = int(np.argmax(2 * tp / (seen + total)))
+                        made.append((0, None, None, int(tp[best]), int(seen[best])))
+                same = [pa.concat_arrays([batch.column(c).slice(r, 1)] * len(made)) if made else batch.column(c).slice(0, 0) for c in ("bucket", "class_id", "n_truth")]
+                types = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array([m[i] for m in made], x) for i, x in enumerate(types))], ["bucket", "class_id", "n_truth", "t", "step", "p", "tp", "seen"])
+
+    return known.mapInArrow(points, f"bucket string, class_id {class_type}, n_truth long, t int, step long, p double, tp long, seen long")
 
 
 def average_precision(truths: DataFrame, predictions: DataFrame, thresholds=THRESHOLDS, spans=None) -> DataFrame:
@@ -134,17 +211,17 @@ def average_precision(truths: DataFrame, predictions: DataFrame, thresholds=THRE
     without predictions all four are zero. Predictions of classes without a true box count nowhere.
     """
     counts = materialize(truth_counts(truths, spans), "truths")
-    points = materialize(curves(match(truths, predictions, thresholds, spans), counts, thresholds), "curves")
+    points = materialize(curves(materialize(match(truths, predictions, thresholds, spans), "matched"), counts, thresholds), "curves")
     at = ["bucket", "class_id", "t"]
     # the best precision of each step of recall, then of this or a later one: of GRID + 1 rows
-    steps = points.groupBy(*at, F.expr(f"{GRID} * tp div n_truth").alias("step")).agg(F.max(F.col("tp") / F.col("seen")).alias("p"))
+    steps = points.where("step is not null").groupBy(*at, "step").agg(F.max("p").alias("p"))
     down = Window.partitionBy(*at).orderBy(F.desc("step"))
     best = F.max("p").over(down.rowsBetween(Window.unboundedPreceding, 0))
     width = F.col("step") - F.coalesce(F.lead("step").over(down), F.lit(-1))
     by_threshold = steps.select(*at, (best * width).alias("part")).groupBy(*at).agg((F.sum("part") / (GRID + 1)).alias("ap"))
     areas = by_threshold.groupBy("bucket", "class_id").agg(F.sum(F.when(F.col("t") == 0, F.col("ap"))).alias("ap50"), (F.sum("ap") / len(thresholds)).alias("ap"))
     f1 = 2 * F.col("tp") / (F.col("seen") + F.col("n_truth"))
-    top = points.where("t = 0").groupBy("bucket", "class_id").agg(F.max_by(F.struct((F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("n_truth")).alias("recall")), F.struct(f1, -F.col("seen"))).alias("x"))
+    top = points.where("step is null").groupBy("bucket", "class_id").agg(F.max_by(F.struct((F.col("tp") / F.col("seen")).alias("precision"), (F.col("tp") / F.col("n_truth")).alias("recall")), F.struct(f1, -F.col("seen"))).alias("x"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c.split(".")[-1])
     found = counts.join(areas, ["bucket", "class_id"], "left").join(top, ["bucket", "class_id"], "left")
     return found.select("bucket", "class_id", "n_truth", zero("ap50"), zero("ap"), zero("x.precision"), zero("x.recall"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,20 @@ def test_a_match_outside_the_size_is_no_miss():
     assert detection.match_boxes([big], [], (0.5,), (0.0, 1024.0)) == [[-1]]
 
 
+@pytest.mark.parametrize("span", [None, (0.0, 1024.0), (1024.0, 9216.0)])
+def test_groups_side_by_side_are_matched_as_one_by_one(monkeypatch, span):
+    monkeypatch.setattr(detection, "PAIRS", 7)
+    truths, guesses = scene(30, 6)
+    keys = sorted({g[:2] for g in guesses})
+    t = {k: sorted(x[2:6] for x in truths if x[:2] == k) for k in keys}
+    g = {k: [x[2:6] for x in sorted((x for x in guesses if x[:2] == k), key=lambda x: (-x[6], x[2:6]))] for k in keys}
+    first = np.cumsum([0, *(len(t[k]) for k in keys)])
+    each = [(x, i, first[n], len(t[k])) for n, k in enumerate(keys) for i, x in enumerate(g[k])]
+    boxes, place, start, count = (np.array(c) for c in zip(*each, strict=True))
+    (got,) = detection.match_groups(boxes, np.array([x for k in keys for x in t[k]]).reshape(-1, 4), place, start, count, spans=[span or (None, None)])
+    assert got.tolist() == [hits for k in keys for hits in detection.match_boxes(g[k], t[k], span=span)]
+
+
 def test_crowds_take_whole_images(spark):
     truths, guesses = scene(50, 4)
     rows = detection.precision_by_crowd(*frames(spark, truths, guesses)).collect()
