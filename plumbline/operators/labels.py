@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What Python's str.split and str.splitlines take for white space and line ends, and int and float for numbers.
 BLANKS = r"[\s\x0b\x1c-\x1f\x85   -     　]+"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-INTEGER = r"^[+-]?[0-9](_?[0-9])*$"
-PLAIN = r"^[ \t]*[0-9]{1,9}([ \t]+-?([0-9]{1,200}(\.[0-9]*)?|\.[0-9]+)){4}[ \t]*$"  # a box as nearly all tools write it: no exponents, no names of numbers
-FLOAT = r"^[+-]?(([0-9](_?[0-9])*)(\.([0-9](_?[0-9])*)?)?|\.[0-9](_?[0-9])*)([eE][+-]?[0-9](_?[0-9])*)?$|^[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
+# a class and numbers; no part gives back what it took, so that a line is read once and a long polygon takes no stack
+_DIGITS = r"[0-9]++(?:_[0-9]++)*+"
+_NUMBER = rf"[+-]?+(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?+)?+|\.{_DIGITS})(?:[eE][+-]?+{_DIGITS})?+|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?+|[nN][aA][nN])"
+TIDY = rf"\A[+-]?+{_DIGITS}(?: {_NUMBER})*+\z"  # as nearly all tools write it
+NUMERIC = rf"\A(?:{BLANKS})?+[+-]?+{_DIGITS}(?:{BLANKS}+{_NUMBER})*+(?:{BLANKS})?+\z"
+SPELT = (("_", ""), ("infinity", "inf"), ("inf", "Infinity"), ("nan", "NaN"))  # lower-cased numbers as the engine's own parser takes them at once
+EVEN, ODD = (lambda _, i: i % 2 == 0), (lambda _, i: i % 2 == 1)  # a polygon's x and y
 
 
 def split_lines(texts: DataFrame, text_col: str = "text") -> DataFrame:
@@ -26,11 +33,17 @@ def outline(points: str | Column) -> Column:
     where it comes first, and then it stays.
     """
     v = F.col(points) if isinstance(points, str) else points
-    xs, ys = F.filter(v, lambda _, i: i % 2 == 0), F.filter(v, lambda _, i: i % 2 == 1)
-    # to the engine a NaN is greater than any number, so it is kept out by name
-    least = lambda a: F.aggregate(a, F.get(a, F.lit(0)), lambda m, x: F.when(~F.isnan(m) & (x < m), x).otherwise(m))
-    most = lambda a: F.aggregate(a, F.get(a, F.lit(0)), lambda m, x: F.when(~F.isnan(x) & (x > m), x).otherwise(m))
-    return F.struct(((least(xs) + most(xs)) / 2).alias("x"), ((least(ys) + most(ys)) / 2).alias("y"), (most(xs) - least(xs)).alias("w"), (most(ys) - least(ys)).alias("h"))
+    xs, ys = (F.filter(v, one) for one in (EVEN, ODD))
+    return F.struct(((_least(xs) + _most(xs)) / 2).alias("x"), ((_least(ys) + _most(ys)) / 2).alias("y"), (_most(xs) - _least(xs)).alias("w"), (_most(ys) - _least(ys)).alias("h"))
+
+
+# To the engine a NaN is greater than any number: the least one passes it by, and the greatest is it wherever there is one.
+def _least(a: Column) -> Column:
+    return F.when(F.isnan(F.get(a, F.lit(0))), float("nan")).otherwise(F.array_min(a))
+
+
+def _most(a: Column) -> Column:
+    return F.when(F.isnan(F.get(a, F.lit(0))), float("nan")).otherwise(F.array_max(F.array_remove(a, float("nan"))))
 
 
 def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") -> DataFrame:
@@ -40,23 +53,23 @@ def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") ->
     is taken. Errors in the order in which they are looked for: not_numeric, class, polygon, non_finite, range, empty_box. Centre and
     size must be within [0, 1]; the box's edges may overhang. What must be finite is the box: see ``outline`` for what a polygon's NaN does to it.
     """
-    plain_box = F.col("_plain")
-    at = lines.withColumn("_plain", F.coalesce(F.col(line_col).rlike(PLAIN), F.lit(False)))
-    # a plain box is cut and cast directly; only other lines go through the rules for each number
-    trimmed = F.regexp_replace(F.regexp_replace(line_col, f"^{BLANKS}", ""), f"{BLANKS}$", "")
-    at = at.withColumn("_t", F.when(plain_box, F.split(F.trim(F.translate(line_col, "\t", " ")), " +")).otherwise(F.split(trimmed, BLANKS)))
-    at = at.withColumn("_numeric", plain_box | (F.col("_t")[0].rlike(INTEGER) & F.forall(F.slice("_t", 2, 1 << 30), lambda s: s.rlike(FLOAT))))
-    at = at.withColumn("_c", F.expr("try_cast(if(_plain, _t[0], replace(_t[0], '_', '')) as bigint)"))
-    plain = lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "_", ""), "^([+-]?)inf$", "$1Infinity")
-    four = F.array(*(F.col("_t")[i].try_cast("double") for i in range(1, 5)))
-    at = at.withColumn("_v", F.when(plain_box, four).when(F.col("_numeric"), F.transform(F.slice("_t", 2, 1 << 30), lambda s: plain(s).try_cast("double"))).otherwise(F.array().cast("array<double>")))
+    at = lines.withColumn("_tidy", F.col(line_col).rlike(TIDY))
+    at = at.withColumn("_numeric", F.col("_tidy") | F.col(line_col).rlike(NUMERIC))
+    # with single spaces the engine splits without a pattern; all numbers are cast as one array, as functions of elements are interpreted
+    text = F.lower(F.when(F.col("_tidy"), F.col(line_col)).otherwise(F.trim(F.regexp_replace(line_col, BLANKS, " "))))
+    for seen, said in SPELT:
+        text = F.replace(text, F.lit(seen), F.lit(said))
+    at = at.withColumn("_t", F.when(F.col("_numeric"), F.split(text, " ")))
+    at = at.withColumns({"_c": F.col("_t")[0].try_cast("bigint"), "_v": F.slice("_t", 2, 1 << 30).try_cast("array<double>")})
     known = classes.select(F.col("class_id").cast("long").alias("_k"), F.lit(True).alias("_known")).distinct()
     at = at.join(F.broadcast(known), F.col("_c") == F.col("_k"), "left")  # a dataset's class list
-    around = outline(F.col("_v"))
     box = F.size("_v") == 4
     polygon = (F.size("_v") >= 6) & (F.size("_v") % 2 == 0)
-    at = at.withColumns({f"_{n}": F.when(box, F.get("_v", F.lit(i))).when(polygon, around[n]) for i, n in enumerate("xywh")})
-    finite = plain_box | F.forall(F.array("_x", "_y", "_w", "_h"), lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    at = at.withColumns({"_xs": F.when(polygon, F.filter("_v", EVEN)), "_ys": F.when(polygon, F.filter("_v", ODD))})
+    at = at.withColumns({"_l": _least(F.col("_xs")), "_r": _most(F.col("_xs")), "_t": _least(F.col("_ys")), "_b": _most(F.col("_ys"))})
+    around = {"_x": "(_l + _r) / 2", "_y": "(_t + _b) / 2", "_w": "_r - _l", "_h": "_b - _t"}
+    at = at.withColumns({n: F.when(box, F.get("_v", F.lit(i))).when(polygon, F.expr(e)) for i, (n, e) in enumerate(around.items())})
+    finite = reduce(and_, (F.abs(n) < float("inf") for n in ("_x", "_y", "_w", "_h")))  # a NaN is greater
     inside = F.col("_x").between(0.0, 1.0) & F.col("_y").between(0.0, 1.0) & F.col("_w").between(0.0, 1.0) & F.col("_h").between(0.0, 1.0)
     error = (
         F.when(~F.col("_numeric"), "not_numeric")
@@ -70,7 +83,7 @@ def parse_lines(lines: DataFrame, classes: DataFrame, line_col: str = "line") ->
     good = F.col("error").isNull()
     value = lambda c: F.when(good, F.col(c))
     out = {"class_id": F.when(good, F.col("_c").cast("int")), "x_center": value("_x"), "y_center": value("_y"), "width": value("_w"), "height": value("_h")}
-    return at.withColumns(out).drop("_plain", "_t", "_numeric", "_c", "_v", "_k", "_known", "_x", "_y", "_w", "_h")
+    return at.withColumns(out).drop("_tidy", "_numeric", "_c", "_v", "_k", "_known", "_xs", "_ys", "_l", "_r", "_t", "_b", "_x", "_y", "_w", "_h")
 
 
 def quarantine(parsed: DataFrame, *image: str, count: bool = False) -> DataFrame:

@@ -275,6 +275,18 @@ def test_plain_and_other_lines_follow_the_same_rules(spark):
     assert labels.quarantine(spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, None)], "image string, line_no int, error string"), "image", count=True).collect() == [("a", "y", 1, 2)]
 
 
+def test_polygons_are_read_without_a_function_for_each_number(spark):
+    """Signed names of numbers, a polygon of very many points, NaNs in each place; cast, checked and compared as whole arrays."""
+    points = " ".join(f"0.{1 + i % 8}" for i in range(60_000))
+    lines = ["0 +nan 0.5 0.2 0.2", "0 0.5 -NaN 0.2 0.2", "0 0.5 0.5 +Infinity 0.2", f"0 {points}", f"0 {points} x", "0  .1 1_0e-2\u2003.3 nan .3 0.4\r", "0 nan .1 .3 .1 .3 .4", "0 .1 .1 inf .1 .3 .4", "0 .1 .1 .3 nan nan .4", "+1_0 .1 .1 .3 .1 .3 .4", "0 .1 .1 .3 .1 .3 .4_", "1", "", None]
+    got = parsed(spark, lines)
+    assert [got[i].error for i in range(len(lines))] == ["non_finite"] * 3 + [None, "not_numeric", None, "non_finite", "non_finite", None, "class", "not_numeric", "polygon", "not_numeric", "class"]
+    boxes = [(got[i].x_center, got[i].y_center, got[i].width, got[i].height) for i in (3, 5, 8)]
+    assert np.allclose(boxes, [(0.4, 0.5, 0.6, 0.6), (0.2, 0.25, 0.2, 0.3), (0.2, 0.25, 0.2, 0.3)])
+    plan = labels.parse_lines(spark.createDataFrame([("0",)], "line string"), spark.createDataFrame([(0,)], "class_id int"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(") == 2  # a polygon's x and y
+
+
 def test_join_one_spreads_heavy_keys_and_keeps_the_others(spark, monkeypatch):
     monkeypatch.setattr(skew, "SHARE", 4)
     data = [(i, "hot" if i % 2 else None if i % 10 == 0 else f"k{i % 7}") for i in range(60)]
