@@ -1,4 +1,4 @@
-"""Arrow batches of sorted rows, cut where a group ends, so that many small groups go through numpy together."""
+"""Arrow batches: cut by bytes, and of sorted rows where a group ends, so that many small groups go through numpy together."""
 
 from __future__ import annotations
 
@@ -7,10 +7,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+BATCH, UNSAID = "4m", "67108864b"  # the second is Spark's own default
 ROWS = 1 << 16  # of a batch, unless its last group is longer
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Cut the Arrow batches of this session by ``BATCH`` bytes, unless it says otherwise: ten thousand texts at a time are many megabytes, held by the executor and its worker alike."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == UNSAID:
+        spark.conf.set(name, BATCH)
+
+
 def starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """Where a new group begins in rows sorted by ``keys``, none of which is null; the first row begins one."""
     new = np.ones(batch.num_rows, bool)

@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.groups import short_batches
 from plumbline.sources.scratch import materialize, release, scratch_path
 
 __all__ = ["Recent", "batched", "by_size", "column_of", "columns_of", "forget", "fresh", "give_back", "kept", "materialize", "release", "rows", "scratch_path", "short_batches", "table", "text_bytes", "trim"]
 
 K, V = TypeVar("K", bound=Hashable), TypeVar("V")
 
-BATCH, UNSAID = "4m", "67108864b"  # the second is Spark's own default
 SLICE = 128  # rows of an Arrow batch that are Python objects at a time
 _KEPT: dict[Hashable, Any] = {}
 
@@ -44,13 +44,6 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Cut the Arrow batches of this session by ``BATCH`` bytes, unless it says otherwise: ten thousand texts at a time are many megabytes, held by the executor and its worker alike."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) == UNSAID:
-        spark.conf.set(name, BATCH)
-
-
 def give_back() -> None:
     """Return what Arrow's pool holds of freed batches; by itself it may keep them for as long as the worker lives."""
     pa.default_memory_pool().release_unused()

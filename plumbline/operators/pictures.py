@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from plumbline.functions import canvas
+from plumbline.functions.groups import short_batches
 from plumbline.operators.detection import side_by_side
 from plumbline.operators.reports import THUMB
 from plumbline.sources.scratch import materialize
 
+HELD = 1 << 20  # bytes of pictures that come out of a task together, unless one has more
+
+
+def each_picture(f: Callable[[dict], tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: ``f`` of one row at a time; the last value of what it gives has the picture's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        size = 0
+        as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), schema.types, strict=True)], schema=schema)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made.append(f(batch.slice(i, 1).to_pylist()[0]))
+                size += len(made[-1][-1])
+                if size >= HELD:
+                    yield as_batch()
+                    made, size = [], 0
+        if made:
+            yield as_batch()
+
+    return run
+
 
 def decoded(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(image, width, height, data) of picture files that Spark decodes: red, green and blue of each pixel."""
@@ -42,30 +67,29 @@ def pairs(pictures: DataFrame, truths: DataFrame, predictions: DataFrame) -> Dat
     pixels = lambda c: F.transform(c, lambda b: F.struct(*((b[k] * F.col(side)).alias(k) for k, side in (("left", "width"), ("top", "height"), ("right", "width"), ("bottom", "height")))))
     held = pictures.join(boxes, "image").select("image", "width", "height", "data", pixels("truths").alias("truths"), pixels("predictions").alias("predictions"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                drawn = canvas.pair(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3), *([tuple(b.values()) for b in r[k]] for k in ("truths", "predictions")))
-                yield pa.RecordBatch.from_arrays([pa.array([r["image"]], batch.schema.field("image").type), pa.array([drawn.shape[1]], pa.int32()), pa.array([drawn.shape[0]], pa.int32()), pa.array([drawn.tobytes()], pa.binary())], ["image", "width", "height", "data"])
+    def draw(r: dict) -> tuple:
+        drawn = canvas.pair(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 3), *([tuple(b.values()) for b in r[k]] for k in ("truths", "predictions")))
+        return r["image"], drawn.shape[1], drawn.shape[0], drawn.tobytes()
 
-    return held.mapInArrow(run, f"image {pictures.schema['image'].dataType.simpleString()}, width int, height int, data binary")
+    short_batches(pictures.sparkSession)
+    out = StructType([pictures.schema["image"], *(StructField(n, IntegerType()) for n in ("width", "height")), StructField("data", BinaryType())])
+    return held.mapInArrow(each_picture(draw, to_arrow_schema(out)), out)
 
 
 def as_png(pictures: DataFrame, rows: int = 256) -> DataFrame:
     """``pictures`` (.., width, height, data) with ``png`` in place of ``data``: whole files, compressed ``rows`` rows at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            files = []
-            for w, h, data in zip(*(batch.column(c).to_pylist() for c in ("width", "height", "data")), strict=True):
-                flat = np.frombuffer(data, np.uint8).reshape(h, w, 3)
-                files.append(b"".join(canvas.png(w, h, (canvas.band(flat[at : at + rows], at + rows >= h) for at in range(0, h, rows)))))
-            kept = [c for c in batch.schema.names if c != "data"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(files, pa.binary())], [*kept, "png"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pictures.schema if f.name != "data") + ", png binary"
-    return pictures.mapInArrow(run, schema)
+    kept = [f for f in pictures.schema if f.name != "data"]
+
+    def file(r: dict) -> tuple:
+        w, h = r["width"], r["height"]
+        flat = np.frombuffer(r["data"], np.uint8).reshape(h, w, 3)
+        bands = (canvas.band(flat[at : at + rows], at + rows >= h) for at in range(0, h, rows))
+        return *(r[f.name] for f in kept), b"".join(canvas.png(w, h, bands))
+
+    short_batches(pictures.sparkSession)
+    out = StructType([*kept, StructField("png", BinaryType())])
+    return pictures.mapInArrow(each_picture(file, to_arrow_schema(out)), out)
 
 
 def sheet_bands(pictures: DataFrame, columns: int = 2) -> DataFrame:

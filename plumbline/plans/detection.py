@@ -171,8 +171,11 @@ def pair_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [canvas.pixels(x.as_py()) for x in batch.column("png")]
-            n = lambda colour: pa.array([int((p == colour).all(2).sum()) for p in found], pa.int64())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image", "width", "height")), n(canvas.TRUTH), n(canvas.FOUND)], ["image", "width", "height", "blue", "red"])
+            found = []
+            for x in batch.column("png"):  # one picture's pixels at a time
+                p = canvas.pixels(x.as_py())
+                found.append([int((p == colour).all(2).sum()) for colour in (canvas.TRUTH, canvas.FOUND)])
+            blue, red = (pa.array([n[k] for n in found], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("image", "width", "height")), blue, red], ["image", "width", "height", "blue", "red"])
 
     return files.mapInArrow(count, "image long, width int, height int, blue long, red long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.functions import canvas, raster
@@ -72,3 +73,24 @@ def test_pairs_and_sheet(spark):
     assert (sheet[: heights[1], THUMB:] == thumbs[1]).all() and (sheet[heights[1] :, :THUMB] == thumbs[2]).all()
     assert b"".join(pictures.sheet_file(pictures.sheet_bands(ranked.limit(0)))) == b""
     assert (thumbs[2][..., 0] == raster.resample(held[2][..., 0], (THUMB, THUMB), raster.triangle, 1)).all()
+
+
+def test_pictures_go_through_tasks_in_short_batches(spark, monkeypatch):
+    """However many rows come in a batch, one picture is drawn or compressed at a time and about so many bytes leave together."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(pictures, "HELD", 250)
+    seen = []
+
+    def draw(r):
+        seen.append(r["image"])
+        return r["image"], r["data"]
+
+    schema = pa.schema([("image", pa.int64()), ("data", pa.binary())])
+    given = [pa.record_batch({"image": pa.array(range(k, k + 5), pa.int64()), "data": pa.array([b"x" * 100] * 5, pa.binary())}) for k in (0, 5)]
+    out = pictures.each_picture(draw, schema)(iter(given))
+    assert next(out).column("image").to_pylist() == [0, 1, 2] and seen == [0, 1, 2]
+    assert [b.column("image").to_pylist() for b in out] == [[3, 4, 5], [6, 7, 8], [9]]
+    spark.conf.unset(name)
+    df = spark.createDataFrame([(1, 1, 1, b"abc")], "image long, width int, height int, data binary")
+    pictures.as_png(df)
+    assert spark.conf.get(name) == "4m"
