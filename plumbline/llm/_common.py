@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any, Generic, TypeVar
 
@@ -27,12 +28,14 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     if key not in _KEPT:
         forget()
         _KEPT[key] = make()
+        gc.freeze()  # the collector needn't walk a large model over and over
         trim()
     return _KEPT[key]
 
 
 def forget() -> None:
     """Let go of the kept object: for tasks that need their memory otherwise."""
+    gc.unfreeze()
     _KEPT.clear()
     give_back()
     trim()

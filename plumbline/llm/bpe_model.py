@@ -16,6 +16,7 @@ import regex
 from tokenizers import Tokenizer
 
 _NEVER = 1 << 60
+PAIRS = 300_000  # of tokens, whether they stand apart, that a model keeps
 #: Code points on which the ``regex`` and ``unicodedata`` modules are known to agree with the tokenizers library; texts
 #: with others (new scripts, capital sigma, whose lower case depends on its place here) take the library's own splitters.
 _KNOWN = r"\x00-\x1b\x20-˿Ͱ-΢Τ-ԧ֐-ۿऀ-ॣ‐-⁤€℀-⅏←-⏿─-➿、-鿿가-힣＀-～\U0001f300-\U0001f64f"
@@ -48,7 +49,8 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.letters_of_bytes = byte_letters()
         self._letters = dict(enumerate(self.letters_of_bytes))
-        self._apart: dict[tuple[str, str], bool] = {}
+        self._apart: dict[str, dict[str, bool]] = {}  # by the right token, then the left one
+        self._pairs = 0
         self._edges: tuple[dict, dict] = ({}, {})
         self._special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         # the library's splitters alone; the vocabulary is held once, here
@@ -64,6 +66,8 @@ class BpeModel:
 
     def letters(self, word: str) -> str:
         """The word's UTF-8 bytes as byte letters."""
+        if word.isascii() and word.isprintable():  # the blank alone has another letter
+            return word.replace(" ", self._letters[32])
         return word.encode().decode("latin-1").translate(self._letters)
 
     def words(self, text: str) -> list[str]:
@@ -125,11 +129,15 @@ class BpeModel:
 
     def apart(self, a: str, b: str) -> bool:
         """Whether the encoding of the joint text of two tokens, each encoding itself, is these two."""
-        known = self._apart.get((a, b))
+        lefts = self._apart.setdefault(b, {})
+        known = lefts.get(a)
         if known is None:
-            if len(self._apart) > 150_000:
-                self._apart.clear()
-            known = self._apart[a, b] = self._first_across(a, b) == _NEVER
+            if self._pairs >= PAIRS:
+                for each in self._apart.values():  # emptied where they are: the ends of beginnings hold them, too
+                    each.clear()
+                self._pairs = 0
+            self._pairs += 1
+            known = lefts[a] = self._first_across(a, b) == _NEVER
         return known
 
     def _self_encoding(self) -> frozenset[str]:
@@ -140,9 +148,11 @@ class BpeModel:
                 good.add(pair[0] + pair[1])
         return frozenset(good)
 
-    def _heads(self) -> tuple[dict[str, tuple[str, ...]], dict[str, tuple[str, ...]]]:
+    def _heads(self) -> tuple[dict[str, tuple[tuple[int, str, dict[str, bool]], ...]], dict[str, tuple[str, ...]]]:
         """For each beginning of a token: the tokens that it ends with, longest first; and those that it and the suffix, if there is one, end with.
 
+        Each of the first comes with its length and with what ``apart`` knows of it, so that a walk asks for a left neighbour alone.
+
         These are the states of a walk over a word's letters: what can still become a token is the longest end of the letters so far that
         is such a beginning, so a letter more is looked up among these alone.
         """
@@ -151,7 +161,8 @@ class BpeModel:
         opened = {t for t in self.whole if not n or not t.endswith(self.suffix)}
         heads = {t[:i] for t in (*opened, *closed) for i in range(len(t) + 1)}
         ends = lambda head, held: [head[i:] for i in range(len(head)) if head[i:] in held]
-        return {h: tuple(ends(h, opened)) for h in heads}, {h: tuple(t + self.suffix for t in ends(h, closed)) for h in heads if n}
+        told = {t: (len(t), t, self._apart.setdefault(t, {})) for t in opened}
+        return {h: tuple(told[t] for t in ends(h, opened)) for h in heads}, {h: tuple(t + self.suffix for t in ends(h, closed)) for h in heads if n}
 
     def extend(self, letters: str, lasts: list[str], states: list[str]) -> None:
         """Carry on along a word: ``lasts[i]`` is the last token of the encoding of its first i letters, ``states[i]`` their state.
@@ -159,24 +170,20 @@ class BpeModel:
         Both lists hold the letters that are known, from none (two empty strings) on, and are extended by the others. A prefix has one last
         token: the one that stands apart from the last token of what is before it.
         """
-        heads, known = self.heads, self._apart
-        state = states[-1]
-        for depth in range(len(lasts), len(letters) + 1):
-            state += letters[depth - 1]
+        heads, state = self.heads, states[-1]
+        for letter in letters[len(lasts) - 1 :]:
+            state += letter
             while (ends := heads.get(state)) is None:
                 state = state[1:]
-            for token in ends:
-                start = depth - len(token)
-                if not start:
-                    break
-                pair = (lasts[start], token)
-                fits = known.get(pair)
+            for n, token, lefts in ends:
+                left = lasts[-n]  # none, an empty string, where the token is all of the prefix
+                fits = lefts.get(left)
                 if fits is None:
-                    fits = self.apart(*pair)
+                    fits = self.apart(left, token)
                 if fits:
                     break
             else:
-                raise ValueError(f"no token ends {letters[:depth]!r}")
+                raise ValueError(f"no token ends {letters[: len(lasts)]!r}")
             lasts.append(token)
             states.append(state)
 

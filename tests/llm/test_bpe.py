@@ -96,3 +96,31 @@ def test_caches_forget_and_learn_again(libraries, monkeypatch):
         assert ids.decode() == ",".join(map(str, byte.encode(text, add_special_tokens=False).ids))
         assert counter.count(text) == len(word.encode(text, add_special_tokens=False).ids)
     assert len(codec._known.young) + len(codec._known.old) < 200
+
+
+def test_a_stretch_is_looked_up_once_however_often_it_comes(libraries):
+    _, byte = libraries
+    asked = []
+
+    class Counted(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    codec = Codec(BYTE)
+    codec._known.young = Counted()
+    held = ["one two, naïve\nthree two,\nfour " * n + "end." for n in (1, 700, 2000)] + ["\n", "", "a\nb", "a  b"]
+    coded = codec.encode(held)
+    assert [c.decode() for c in coded] == [",".join(map(str, byte.encode(t, add_special_tokens=False).ids)) for t in held]
+    assert codec.decode_all(coded) == held and codec.decode_all([]) == [] and codec.decode_all([b"", b""]) == ["", ""]
+    assert len(asked) < 100
+
+
+def test_forgotten_pairs_are_found_again(libraries, monkeypatch):
+    from plumbline.llm import bpe_model
+
+    monkeypatch.setattr(bpe_model, "PAIRS", 7)
+    model, (_, byte) = BpeModel(BYTE), libraries
+    for w, ids in encode_words(model, ["internationalisation", "aaaaaaaaaaa", "thththing", "in", "zzzzz"]).items():
+        assert ids == byte.encode(w, add_special_tokens=False).ids
+    assert sum(map(len, model._apart.values())) == model._pairs <= 7
